@@ -34,19 +34,14 @@ def arrival_source(spark: SparkSession, folder: str, glob: str = "*.pdf") -> Dat
     )
 
 
-def table_stream(spark: SparkSession, folder: str, name: str, schema: StructType) -> DataFrame:
-    """A table of arrivals as a stream: the parquet files of ``folder`` that match ``name``."""
-    return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
+def table_stream(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """A parquet table of arrivals as a stream."""
+    return spark.readStream.schema(schema).parquet(path)
 
 
-def recent_arrivals(arrivals: DataFrame, created: str = "created", look_back: str = LOOK_BACK) -> DataFrame:
-    """Accept arrivals up to ``look_back`` behind the newest one and count them per polling window."""
-    return (
-        arrivals.withWatermark(created, look_back)
-        .groupBy(F.window(created, look_back, EVERY).alias("w"))
-        .agg(F.count("*").alias("arrivals"))
-        .select(F.col("w.start").alias("from_time"), F.col("w.end").alias("to_time"), "arrivals")
-    )
+def recent_arrivals(arrivals: DataFrame, polled: Column, created: str = "created", look_back: str = LOOK_BACK) -> DataFrame:
+    """Arrivals at most ``look_back`` older than the poll that sees them."""
+    return arrivals.filter(F.col(created) >= polled - F.expr(f"interval {look_back}"))
 
 
 def arrival_dedupe(arrivals: DataFrame, keys: list[str], created: str = "created", delay: str = LOOK_BACK) -> DataFrame:
