@@ -81,11 +81,11 @@ def benchmark_words(s: Source) -> DataFrame:
 LARGE_SQL = f"""
 WITH words AS ({WORDS_SQL}),
 parts AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z0-9]+|[^A-Za-z0-9]+') AS p FROM documents),
-flat AS (SELECT doc_id, unnest(p) AS part, generate_subscripts(p, 1) AS at FROM parts)
+flat AS (SELECT doc_id, unnest(p) AS part, generate_subscripts(p, 1) AS nr FROM parts)
 SELECT doc_id, string_agg(CASE WHEN w.original IS NULL THEN part
     WHEN part = upper(part) AND part <> lower(part) THEN upper(w.replacement)
     WHEN part = lower(part) AND part <> upper(part) THEN lower(w.replacement)
-    ELSE w.replacement END, '' ORDER BY at) AS redacted,
+    ELSE w.replacement END, '' ORDER BY nr) AS redacted,
   count(w.original) AS replacements
 FROM flat LEFT JOIN words AS w ON w.original = lower(part) GROUP BY doc_id"""
 
@@ -224,7 +224,7 @@ def split_at_links(s: Source) -> DataFrame:
 FORMATS = {
     "bold": "turn % 2 = conv_id % 2",
     "italic": "role = 'user'",
-    "font_size": "length(text) % 12 + 8",
+    "font_size": "CAST(length(text) % 12 + 8 AS BIGINT)",
     "font_name": "CASE WHEN length(text) % 3 = 0 THEN 'Serif' ELSE 'Sans' END",
 }
 

@@ -20,13 +20,7 @@ _UNIT = "struct<unit_kind:string,unit_no:int,text:string,url:string,in_link:bool
 def page_units(pages: DataFrame) -> DataFrame:
     """Titles, headings, paragraphs, links and footers of HTML pages; each page is read once."""
     html = F.col("html")
-    kinds = [
-        F.transform(
-            F.regexp_extract_all(html, F.lit(pattern), F.lit(1)),
-            lambda text, at, kind=kind: _unit(F.lit(kind), at, text, F.lit(None), F.lit(False)),
-        )
-        for kind, pattern in PAGE_UNITS.items()
-    ]
+    kinds = [_matches(html, kind, pattern) for kind, pattern in PAGE_UNITS.items()]
     links = F.zip_with(
         F.regexp_extract_all(html, F.lit(LINK), F.lit(2)),
         F.regexp_extract_all(html, F.lit(LINK), F.lit(1)),
@@ -52,6 +46,13 @@ def conversation_units(turns: DataFrame) -> DataFrame:
     )
 
 
+def _matches(html: Column, kind: str, pattern: str) -> Column:
+    return F.transform(
+        F.regexp_extract_all(html, F.lit(pattern), F.lit(1)),
+        lambda text, at: _unit(F.lit(kind), at, text, F.lit(None), F.lit(False)),
+    )
+
+
 def _unit(kind: Column, number: Column, text: Column, url: Column, in_link: Column) -> Column:
     return F.struct(
         kind.alias("unit_kind"), number.alias("unit_no"), text.alias("text"),
