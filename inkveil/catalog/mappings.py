@@ -11,6 +11,7 @@ from inkveil.functions import texts
 from inkveil.operators import mapping as M
 from inkveil.operators.dictionary import key_pattern
 from inkveil.operators.report import ranked_within
+from inkveil.session import written
 from inkveil.sources.sheets import mapping_cells, mapping_source
 
 catalog = Catalog()
@@ -85,7 +86,7 @@ mapping AS (SELECT * FROM named UNION ALL SELECT book, ordinal, original, replac
 
 
 def cells(s: Source) -> DataFrame:
-    return s.derived(inputs.CELLS)
+    return written(s.derived(inputs.CELLS), "cells")
 
 
 def chosen(s: Source) -> DataFrame:
@@ -145,9 +146,7 @@ def reverse_names(s: Source) -> DataFrame:
 
 @add("suffix_base", STEPS + "SELECT book, ordinal, original, replacement FROM base")
 def suffix_base(s: Source) -> DataFrame:
-    rows = direct(s)
-    named = rows.select("book", "ordinal", "original", "replacement").unionByName(M.reverse_names(rows, BOOK))
-    return M.suffix_base(named, BOOK)
+    return M.suffix_base(direct(s), BOOK)
 
 
 @add("mapping_union", STEPS + "SELECT book, ordinal, original, replacement, kind FROM mapping")
@@ -159,7 +158,7 @@ def mapping_union(s: Source) -> DataFrame:
 SELECT s.book, coalesce(n, 0) AS n_keys, n IS NOT NULL AS is_valid
 FROM sheets AS s LEFT JOIN (SELECT book, count(*) AS n FROM mapping GROUP BY book) AS m ON m.book = s.book""")
 def mapping_validate(s: Source) -> DataFrame:
-    return M.mapping_validate(cells(s).select("book").distinct(), full(s), BOOK)
+    return M.mapping_validate(s.table("supplier").select(F.col("s_suppkey").alias("book")), full(s), BOOK)
 
 
 @add("tier_rank", STEPS + f"""

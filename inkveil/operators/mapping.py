@@ -68,20 +68,24 @@ def column_detect(cells: DataFrame, by: list[str]) -> DataFrame:
     """The last source and the last target column of the header row; a source cell is never a target."""
     source = holds_any(F.col("value"), SOURCE_WORDS)
     target = ~source & holds_any(F.col("value"), TARGET_WORDS)
-    headers = cells.filter(F.col("row_no") <= HEADER_ROWS).join(header_detect(cells, by), by)
-    return (
-        headers.filter(F.col("row_no") == F.col("header_row"))
-        .groupBy(*by, "header_row")
+    headings = (
+        cells.filter(F.col("row_no") <= HEADER_ROWS)
+        .groupBy(*by, "row_no")
         .agg(
             F.max(F.when(source, F.col("col_no"))).alias("source_col"),
             F.max(F.when(target, F.col("col_no"))).alias("target_col"),
         )
+        .filter("source_col is not null")
+    )
+    first = F.min_by(F.struct("source_col", "target_col"), "row_no")
+    return headings.groupBy(*by).agg(F.min("row_no").alias("header_row"), first.alias("_cols")).select(
+        *by, "header_row", "_cols.source_col", "_cols.target_col"
     )
 
 
 def raw_pairs(cells: DataFrame, by: list[str]) -> DataFrame:
     """Source and target cell of each row below the header; sheets without both columns yield nothing."""
-    heads = column_detect(cells, by).filter("source_col is not null and target_col is not null")
+    heads = column_detect(cells, by).filter("target_col is not null")
     placed = cells.join(heads, by).filter(
         (F.col("row_no") > F.col("header_row")) & F.col("col_no").isin(F.col("source_col"), F.col("target_col"))
     )
@@ -113,52 +117,68 @@ def last_value_wins(pairs: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def reverse_names(mapping: DataFrame, by: list[str]) -> DataFrame:
-    """``first second`` also as ``second first``, where both sides are two words and it is new."""
+KINDS = ["direct", "reversed", "base"]
+_OFFER = "struct<ordinal:long,original:string,replacement:string,kind:int>"
+
+
+def with_reversed(direct: DataFrame, by: list[str]) -> DataFrame:
+    """Direct rows, and ``first second`` also as ``second first`` where both sides are two words."""
 
     def swapped(name: str) -> Column:
         words = F.split(strip(F.col(name)), r"(?U)\s+")
         two = (F.size(words) == 2) & F.contains(F.col(name), F.lit(" "))
         return F.when(two, F.concat(words[1], F.lit(" "), words[0]))
 
-    offered = (
-        mapping.select(*by, "ordinal", swapped("original").alias("original"), swapped("replacement").alias("replacement"))
-        .filter("original is not null and replacement is not null")
-    )
-    return last_value_wins(offered, by).join(mapping.select(*by, "original"), [*by, "original"], "left_anti").select(
-        *by, (F.col("ordinal") + _REVERSED_FROM).alias("ordinal"), "original", "replacement"
-    )
+    original, replacement = swapped("original"), swapped("replacement")
+    offer = F.struct(F.col("ordinal") + _REVERSED_FROM, original, replacement, F.lit(1)).cast(_OFFER)
+    own = F.struct("ordinal", "original", "replacement", F.lit(0)).cast(_OFFER)
+    offers = F.when(original.isNotNull() & replacement.isNotNull(), F.array(own, offer)).otherwise(F.array(own))
+    offered = direct.select(*by, F.inline(offers))
+    return _earlier_kind_wins(offered, by, last_value=True)
 
 
-def suffix_base(mapping: DataFrame, by: list[str]) -> DataFrame:
+def with_bases(named: DataFrame, by: list[str]) -> DataFrame:
     """Keys with a title or company ending also without it; the first producer of a base wins."""
     suffixes = F.array(*[F.lit(s) for s in EXECUTIVE_SUFFIXES + COMPANY_SUFFIXES])
-    original, replacement, suffix = F.col("original"), F.col("replacement"), F.col("suffix")
+    original, replacement = F.col("original"), F.col("replacement")
 
-    def without(value: Column) -> Column:
+    def without(value: Column, suffix: Column) -> Column:
         return F.substring(value, F.lit(1), F.length(value) - F.length(suffix))
 
-    endings = F.explode(F.filter(suffixes, lambda s: F.endswith(original, s))).alias("suffix")
-    offered = mapping.select(*by, "ordinal", "original", "replacement", endings).select(
-        *by,
-        "ordinal",
-        without(original).alias("original"),
-        F.when(F.endswith(replacement, suffix), without(replacement)).otherwise(replacement).alias("replacement"),
-    ).filter("original != ''")
-    first = offered.groupBy(*by, "original").agg(
-        F.min_by("replacement", "ordinal").alias("replacement"), F.min("ordinal").alias("ordinal")
-    )
-    return first.join(mapping.select(*by, "original"), [*by, "original"], "left_anti").select(
-        *by, (F.col("ordinal") + _BASE_FROM).alias("ordinal"), "original", "replacement"
-    )
+    def base(suffix: Column) -> Column:
+        kept = F.when(F.endswith(replacement, suffix), without(replacement, suffix)).otherwise(replacement)
+        return F.struct(F.col("ordinal") + _BASE_FROM, without(original, suffix), kept, F.lit(2)).cast(_OFFER)
+
+    found = F.filter(suffixes, lambda s: F.endswith(original, s) & (F.length(original) > F.length(s)))
+    own = F.array(F.struct("ordinal", "original", "replacement", "kind").cast(_OFFER))
+    offers = F.concat(own, F.transform(found, base))
+    return _earlier_kind_wins(named.select(*by, F.inline(offers)), by, last_value=False)
+
+
+def _earlier_kind_wins(offered: DataFrame, by: list[str], last_value: bool) -> DataFrame:
+    """One row per original: its first place in the earliest kind, with the first or last value there."""
+    first = F.struct("kind", "ordinal")
+    last = F.struct(-F.col("kind"), F.col("ordinal"))
+    value = F.max_by("replacement", last) if last_value else F.min_by("replacement", first)
+    return offered.groupBy(*by, "original").agg(
+        value.alias("replacement"), F.min(first).alias("_first")
+    ).select(*by, "_first.ordinal", "original", "replacement", "_first.kind")
+
+
+def reverse_names(direct: DataFrame, by: list[str]) -> DataFrame:
+    """Only the reversed names that a mapping gains."""
+    return with_reversed(direct, by).filter("kind = 1").drop("kind")
+
+
+def suffix_base(direct: DataFrame, by: list[str]) -> DataFrame:
+    """Only the base names that a mapping gains, after its reversed names."""
+    return with_bases(with_reversed(direct, by), by).filter("kind = 2").drop("kind")
 
 
 def mapping_union(direct: DataFrame, by: list[str]) -> DataFrame:
     """Direct, reversed and base rows; an earlier kind wins."""
-    columns = [*by, "ordinal", "original", "replacement"]
-    direct = direct.select(*columns, F.lit("direct").alias("kind"))
-    named = direct.unionByName(reverse_names(direct, by).withColumn("kind", F.lit("reversed")))
-    return named.unionByName(suffix_base(named, by).withColumn("kind", F.lit("base")))
+    names = F.array(*[F.lit(k) for k in KINDS])
+    return with_bases(with_reversed(direct, by), by).withColumn("kind", F.get(names, F.col("kind")))
 
 
 def load_mapping(cells: DataFrame, by: list[str]) -> DataFrame:
