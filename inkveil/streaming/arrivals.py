@@ -35,8 +35,9 @@ def arrival_source(spark: SparkSession, folder: str, glob: str = "*.pdf") -> Dat
 
 
 def table_stream(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """A parquet table of arrivals as a stream."""
-    return spark.readStream.schema(schema).parquet(path)
+    """A parquet table as a stream.  Written as a pattern, the path may be one file or a folder."""
+    folder, _, name = path.rpartition("/")
+    return spark.readStream.schema(schema).parquet(f"{folder}/{{{name}}}")
 
 
 def recent_arrivals(arrivals: DataFrame, polled: Column, created: str = "created", look_back: str = LOOK_BACK) -> DataFrame:
