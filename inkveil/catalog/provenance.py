@@ -90,7 +90,7 @@ TICK = "CAST(ceil(unix_micros(created) / 300000000) AS BIGINT) * 300000000"
 
 def polled(s: Source) -> DataFrame:
     polls = arriving(s).select(
-        "event_id", "file", "created", F.explode(F.sequence(F.lit(0), F.lit(2))).cast("long").alias("poll_no")
+        "event_id", "file", "created", F.explode(F.expr("sequence(0L, 2L)")).alias("poll_no")
     )
     at = F.timestamp_micros(F.expr(TICK) + F.col("poll_no") * 300_000_000)
     return A.recent_arrivals(polls, at)

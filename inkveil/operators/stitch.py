@@ -43,8 +43,7 @@ def stitched(
     blocks = runs.groupBy(*by, F.floor(F.col(order) / block).alias("_block")).agg(
         joined_text(F.collect_list(run), order, text).alias("_text")
     )
-    pattern = F.lit(cut_pattern(dictionary))
-    head = F.regexp_extract("_text", pattern, F.lit(1))
+    head = F.regexp_extract("_text", cut_pattern(dictionary), 1)
     cut = blocks.select(
         *by, "_block", head.alias("_head"),
         F.when(head == "", F.col("_text")).otherwise(F.substring("_text", F.length(head) + 1, F.length("_text"))).alias("_tail"),
