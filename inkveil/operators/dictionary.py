@@ -16,13 +16,14 @@ from pyspark.sql import functions as F
 from inkveil.functions import redaction
 from inkveil.functions.patterns import NOT_AFTER_WORD, NOT_BEFORE_WORD, WORD_CLASS, combined_pattern
 from inkveil.operators.mapping import casefold_lookup
+from inkveil.session import written
 
-MAX_KEYS = 10_000
-MAX_KEY_CHARS = 1_000_000
+MAX_KEYS = 100_000
+MAX_KEY_CHARS = 4_000_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 SALTS = 16
 
-_ENTRY = "struct<size:int,ordinal:long,pattern:string,lower:string,original:string,replacement:string>"
+_ENTRY = "struct<size:int,ordinal:long,guarded:boolean,pattern:string,lower:string,original:string,replacement:string>"
 _GRAM = 3
 
 
@@ -61,6 +62,7 @@ class Dictionary:
                 combined_pattern(originals), redaction.literal_lookup(rows), None, (), False,
                 tuple(sorted({c for key in originals for c in key[:-1]})),
             )
+        keys = written(keys, "dictionary")
         grams = [
             r[0]
             for r in keys.filter(F.size(_words(F.col("original"))) == 0)
@@ -71,18 +73,28 @@ class Dictionary:
         # Distinct characters, so at most the size of an alphabet.
         inner = F.explode(F.split(F.expr("left(original, length(original) - 1)"), ""))
         chars = keys.select(inner.alias("c")).filter("c != ''").distinct().collect()
-        small = (n_chars + 200 * n_keys) * 4 <= broadcast_bytes
+        small = fits_broadcast(n_keys, n_chars, broadcast_bytes)
         return cls(
-            None, None, _anchored(keys), tuple(sorted(grams)), small, tuple(sorted(r[0] for r in chars))
+            None, None, written(_anchored(keys), "anchors"), tuple(sorted(grams)), small, tuple(sorted(r[0] for r in chars))
         )
 
 
-def key_pattern(original: Column) -> Column:
+def escaped(key: Column) -> Column:
+    return F.regexp_replace(key, r"([^\p{L}\p{N}])", r"\\$1")
+
+
+def left_guarded(key: Column) -> Column:
+    return key.rlike(r"^[\p{L}\p{N}]")
+
+
+def right_guard(key: Column) -> Column:
+    return F.when(key.rlike(r"[\p{L}\p{N}]$"), F.lit(NOT_BEFORE_WORD)).otherwise(F.lit(""))
+
+
+def key_pattern(key: Column) -> Column:
     """The escaped key, guarded on each side that is alphanumeric."""
-    escaped = F.regexp_replace(original, r"([^\p{L}\p{N}])", r"\\$1")
-    left = F.when(original.rlike(r"^[\p{L}\p{N}]"), F.lit(NOT_AFTER_WORD)).otherwise(F.lit(""))
-    right = F.when(original.rlike(r"[\p{L}\p{N}]$"), F.lit(NOT_BEFORE_WORD)).otherwise(F.lit(""))
-    return F.concat(left, escaped, right)
+    left = F.when(left_guarded(key), F.lit(NOT_AFTER_WORD)).otherwise(F.lit(""))
+    return F.concat(left, escaped(key), right_guard(key))
 
 
 def with_candidates(df: DataFrame, dictionary: Dictionary, text: str, keys: list[str]) -> DataFrame:
@@ -92,29 +104,50 @@ def with_candidates(df: DataFrame, dictionary: Dictionary, text: str, keys: list
     if dictionary.broadcast_keys:
         found = needles.join(F.broadcast(dictionary.anchored), "anchor")
     else:
-        salt = F.pmod(F.xxhash64(*keys), F.lit(SALTS)).alias("salt")
-        spread = dictionary.anchored.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        found = needles.select("*", salt.cast("int")).join(spread, ["anchor", "salt"])
+        found = salted_join(needles, dictionary.anchored, "anchor", keys)
     # One row per key found in a text: a group is never larger than the text itself.
     per_row = found.groupBy(*keys).agg(F.sort_array(F.collect_set("entry")).alias("_entries"))
-    pattern = F.concat(
-        F.lit("(?iu)(?:"), F.array_join(F.transform("_entries", lambda e: e["pattern"]), "|"), F.lit(")")
-    )
+    # Keys with and without a left guard never compete for one place, so the guard is tested once.
+    guarded = _alternatives(F.filter("_entries", lambda e: e["guarded"]), NOT_AFTER_WORD)
+    free = _alternatives(F.filter("_entries", lambda e: ~e["guarded"]), "")
+    pattern = F.concat(F.lit("(?iu)(?:"), F.concat_ws("|", guarded, free), F.lit(")"))
     lookup = F.map_from_entries(
         F.transform(
             "_entries",
             lambda e: F.struct(e["lower"], F.struct(e["original"], e["replacement"])),
         )
     )
-    candidates = per_row.select(*keys, pattern.alias("_pattern"), lookup.alias("_lookup"))
-    return df.join(candidates, keys, "left")
+    candidates = per_row.select(
+        *[F.col(k).alias(f"_key_{k}") for k in keys], pattern.alias("_pattern"), lookup.alias("_lookup")
+    )
+    # Null-safe, so that a row without a key value is redacted like any other.
+    same_row = [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys]
+    return df.join(candidates, same_row, "left").drop(*[f"_key_{k}" for k in keys])
+
+
+def salted_join(many: DataFrame, few: DataFrame, on: str, spread_by: list[str]) -> DataFrame:
+    """Inner join in which a value that most rows of ``many`` share is dealt out over several tasks."""
+    salt = F.pmod(F.xxhash64(*spread_by), F.lit(SALTS)).cast("int").alias("_salt")
+    copies = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return many.select("*", salt).join(copies, [on, "_salt"]).drop("_salt")
+
+
+def fits_broadcast(n_rows: int, n_chars: int, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether rows with these many characters stay below ``limit`` as a hash table, estimated high."""
+    return ((n_chars or 0) + 200 * n_rows) * 4 <= limit
+
+
+def _alternatives(entries: Column, guard: str) -> Column:
+    joined = F.array_join(F.transform(entries, lambda e: e["pattern"]), "|")
+    return F.when(F.size(entries) > 0, F.concat(F.lit(guard + "(?:"), joined, F.lit(")")))
 
 
 def _anchored(keys: DataFrame) -> DataFrame:
     """Each key under its least shared anchor, so that common words do not gather many keys."""
+    key = F.col("original")
     entry = F.struct(
-        (-F.length("original")).alias("size"), "ordinal", key_pattern(F.col("original")).alias("pattern"),
-        "lower", "original", "replacement",
+        (-F.length(key)).alias("size"), "ordinal", left_guarded(key).alias("guarded"),
+        F.concat(escaped(key), right_guard(key)).alias("pattern"), "lower", "original", "replacement",
     ).cast(_ENTRY)
     anchors = F.explode(_key_anchors(F.col("original"))).alias("anchor")
     offered = keys.select("lower", entry.alias("entry"), anchors)

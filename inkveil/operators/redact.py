@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from inkveil.functions import redaction
 from inkveil.functions.patterns import combined_pattern
-from inkveil.operators.dictionary import Dictionary, with_candidates
+from inkveil.operators.dictionary import BROADCAST_BYTES, Dictionary, fits_broadcast, salted_join, with_candidates
 
 
 def with_entries(df: DataFrame, dictionary: Dictionary, text: str, keys: list[str]) -> DataFrame:
@@ -122,18 +122,21 @@ def residual_leaks(
 
 
 def dictionary_hits(
-    df: DataFrame, mapping: DataFrame, text: str = "text", keys: list[str] | None = None
+    df: DataFrame, mapping: DataFrame, text: str = "text", keys: list[str] | None = None,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Hits of single-word keys by joining words instead of running a pattern.
 
-    Words are counted per row before they meet the dictionary, and Spark sizes the join itself.
+    A dictionary of a measured small size filters the words where they are read.  For a larger one the
+    words are counted per row before they are shuffled, and frequent words are salted.
     """
     keys = keys or ["doc_id"]
     words = F.regexp_extract_all(F.lower(F.col(text)), F.lit("[a-z0-9]+"), F.lit(0))
-    counted = (
-        df.select(*keys, F.explode(words).alias("lower"))
-        .groupBy(*keys, "lower")
-        .agg(F.count("*").alias("occurrences"))
-    )
-    wanted = mapping.select(F.lower("original").alias("lower")).distinct()
-    return counted.join(wanted, "lower").select(*keys, F.col("lower").alias("term"), "occurrences")
+    said = df.select(*keys, F.explode(words).alias("term"))
+    wanted = mapping.select(F.lower("original").alias("term")).distinct()
+    n_keys, n_chars = wanted.agg(F.count("*"), F.sum(F.length("term"))).first()
+    if fits_broadcast(n_keys, n_chars, broadcast_bytes):
+        hits = said.join(F.broadcast(wanted), "term")
+        return hits.groupBy(*keys, "term").agg(F.count("*").alias("occurrences"))
+    counted = said.groupBy(*keys, "term").agg(F.count("*").alias("occurrences"))
+    return salted_join(counted, wanted, "term", keys).select(*keys, "term", "occurrences")

@@ -123,8 +123,17 @@ def test_passes_rescan_replacements(spark):
 def test_word_join_agrees_with_the_pattern(spark):
     mapping = spark.createDataFrame([(1, "box", "n"), (2, "BOX", "m"), (3, "cat", "c")], MAPPING)
     frame = spark.createDataFrame([(1, "Box box-cat boxer"), (2, "dog")], "doc_id long, text string")
-    joined = R.dictionary_hits(frame, mapping)
-    assert sorted(map(tuple, joined.collect())) == [(1, "box", 2), (1, "cat", 1)]
+    for size in (1 << 20, 0):
+        joined = R.dictionary_hits(frame, mapping, broadcast_bytes=size)
+        assert sorted(map(tuple, joined.collect())) == [(1, "box", 2), (1, "cat", 1)]
+
+
+def test_rows_without_a_key_value_are_redacted_too(spark):
+    mapping = spark.createDataFrame([(1, "Box", "Nest")], MAPPING)
+    frame = spark.createDataFrame([(None, "a box"), (None, "Box"), (1, "x")], "doc_id long, text string")
+    for form in FORMS.values():
+        done = R.redact(frame, Dictionary.build(mapping, **form))
+        assert sorted(r["redacted"] for r in done.collect()) == ["Nest", "a nest", "x"]
 
 
 def test_leaks_are_found(spark):
