@@ -37,9 +37,7 @@ UNKNOWN = [(1, "The", "Thy"), (2, "eſ", "X")]
 
 
 def mapping(source: Source, rows: list[tuple] | None = None) -> DataFrame:
-    return source.spark.createDataFrame(
-        rows or MAPPING_ROWS, "ordinal long, original string, replacement string"
-    )
+    return source.spark.sql(mapping_sql(rows or MAPPING_ROWS))
 
 
 def dictionary(source: Source, rows: list[tuple] | None = None) -> Dictionary:

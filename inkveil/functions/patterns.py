@@ -21,6 +21,14 @@ NOT_AFTER_WORD = f"(?-i:(?<!{WORD_CLASS}))"
 NOT_BEFORE_WORD = f"(?-i:(?!{WORD_CLASS}))"
 
 
+# Forks that a pattern may nest; keys that are prefixes of each other many times over go deeper.
+MAX_FORKS = 300
+
+
+class PatternTooDeepError(ValueError):
+    """The keys share too many nested prefixes for one pattern."""
+
+
 def fold(text: str) -> str:
     """Fold each character the way case-insensitive matching compares it; length never changes."""
     return "".join(_fold_char(c) for c in text)
@@ -80,15 +88,17 @@ def _insert(root: dict, key: str) -> None:
     node[_END] = NOT_BEFORE_WORD if is_alnum(key[-1]) else ""
 
 
-def _render(node: dict) -> str:
+def _render(node: dict, forks: int = 0) -> str:
     """Render a prefix tree: single-child chains become plain text, forks become groups."""
+    if forks > MAX_FORKS:
+        raise PatternTooDeepError(f"more than {MAX_FORKS} nested prefixes")
     branches = []
     for char in sorted(k for k in node if k != _END):
         text, child = char, node[char]
         while len(child) == 1 and _END not in child:
             ((step, child),) = child.items()
             text += step
-        branches.append(escape(text) + _render(child))
+        branches.append(escape(text) + _render(child, forks + 1))
     if _END in node:
         branches.append(node[_END])
     return branches[0] if len(branches) == 1 else "(?:" + "|".join(branches) + ")"

@@ -8,13 +8,20 @@ match, so both ways give the same result.
 
 from __future__ import annotations
 
+import contextlib
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkveil.functions import redaction
-from inkveil.functions.patterns import NOT_AFTER_WORD, NOT_BEFORE_WORD, WORD_CLASS, combined_pattern
+from inkveil.functions.patterns import (
+    NOT_AFTER_WORD,
+    NOT_BEFORE_WORD,
+    WORD_CLASS,
+    PatternTooDeepError,
+    combined_pattern,
+)
 from inkveil.operators.mapping import casefold_lookup
 from inkveil.session import written
 
@@ -58,10 +65,11 @@ class Dictionary:
         if n_keys <= max_keys and n_chars <= MAX_KEY_CHARS:
             rows = [tuple(r) for r in keys.select("lower", "original", "replacement").collect()]
             originals = [original for _, original, _ in rows]
-            return cls(
-                combined_pattern(originals), redaction.literal_lookup(rows), None, (), False,
-                tuple(sorted({c for key in originals for c in key[:-1]})),
-            )
+            with contextlib.suppress(PatternTooDeepError):
+                return cls(
+                    combined_pattern(originals), redaction.literal_lookup(rows), None, (), False,
+                    tuple(sorted({c for key in originals for c in key[:-1]})),
+                )
         keys = written(keys, "dictionary")
         grams = [
             r[0]

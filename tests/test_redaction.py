@@ -140,3 +140,24 @@ def test_leaks_are_found(spark):
     mapping = Dictionary.build(spark.createDataFrame([(1, "Box", "the cat"), (2, "cat", "")], MAPPING))
     frame = spark.createDataFrame([(1, "a box"), (2, "a cat")], "doc_id long, text string")
     assert [tuple(r) for r in R.residual_leaks(R.redact(frame, mapping), mapping).collect()] == [(1, 1)]
+
+
+def test_deeply_nested_prefixes(spark):
+    """Keys that continue each other hundreds of times leave the single pattern, not the result."""
+    rows = [("a" + " a" * n, f"x{n}") for n in range(350)]
+    ready = Dictionary.build(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], MAPPING))
+    assert ready.pattern is None
+    texts = ["a" + " a" * 349 + " b", "a a a", "A"]
+    assert run(spark, texts, rows) == [("x349 b", 1), ("x2", 1), ("X0", 1)]
+    assert run(spark, texts, rows[:250]) == [model(t, rows[:250]) for t in texts]
+
+
+def test_many_long_keys(spark):
+    """The largest dictionary that still becomes one pattern."""
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(400)]
+    rows = list({" ".join(rng.choices(words, k=rng.randint(1, 5))): "q" for _ in range(90_000)}.items())
+    texts = [" ".join(rng.choices(words, k=60)) for _ in range(40)]
+    assert sum(len(a) + len(b) for a, b in rows) < 4_000_000
+    small, large = run(spark, texts, rows), run(spark, texts, rows, max_keys=0)
+    assert small == large and sum(n for _, n in small) > 100
