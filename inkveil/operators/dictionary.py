@@ -27,7 +27,7 @@ from inkveil.session import written
 
 MAX_KEYS = 100_000
 MAX_KEY_CHARS = 4_000_000
-BROADCAST_BYTES = 64 * 1024 * 1024
+BROADCAST_BYTES = 256 * 1024 * 1024
 SALTS = 16
 
 _ENTRY = "struct<size:int,ordinal:long,guarded:boolean,pattern:string,lower:string,original:string,replacement:string>"
@@ -43,6 +43,7 @@ class Dictionary:
     anchored: DataFrame | None
     gram_sizes: tuple[int, ...]
     broadcast_keys: bool
+    broadcast_anchors: bool
     open_chars: tuple[str, ...]
 
     @property
@@ -59,7 +60,7 @@ class Dictionary:
             F.count("*"), F.sum(F.length("original") + F.length("replacement")), F.min(F.length("original"))
         ).first()
         if not n_keys:
-            return cls(None, None, None, (), False, ())
+            return cls(None, None, None, (), False, False, ())
         if shortest == 0:
             raise ValueError("a dictionary key must not be empty")
         if n_keys <= max_keys and n_chars <= MAX_KEY_CHARS:
@@ -67,7 +68,7 @@ class Dictionary:
             originals = [original for _, original, _ in rows]
             with contextlib.suppress(PatternTooDeepError):
                 return cls(
-                    combined_pattern(originals), redaction.literal_lookup(rows), None, (), False,
+                    combined_pattern(originals), redaction.literal_lookup(rows), None, (), False, False,
                     tuple(sorted({c for key in originals for c in key[:-1]})),
                 )
         keys = written(keys, "dictionary")
@@ -81,9 +82,10 @@ class Dictionary:
         # Distinct characters, so at most the size of an alphabet.
         inner = F.explode(F.split(F.expr("left(original, length(original) - 1)"), ""))
         chars = keys.select(inner.alias("c")).filter("c != ''").distinct().collect()
-        small = fits_broadcast(n_keys, n_chars, broadcast_bytes)
         return cls(
-            None, None, written(_anchored(keys), "anchors"), tuple(sorted(grams)), small, tuple(sorted(r[0] for r in chars))
+            None, None, written(_anchored(keys), "anchors"), tuple(sorted(grams)),
+            fits_broadcast(n_keys, n_chars, broadcast_bytes), fits_broadcast(n_keys, None, broadcast_bytes),
+            tuple(sorted(r[0] for r in chars)),
         )
 
 
@@ -112,6 +114,9 @@ def with_candidates(df: DataFrame, dictionary: Dictionary, text: str, keys: list
     if dictionary.broadcast_keys:
         found = needles.join(F.broadcast(dictionary.anchored), "anchor")
     else:
+        if dictionary.broadcast_anchors:
+            # The anchors alone are far smaller than the keys; words that are in no key stop here.
+            needles = needles.join(F.broadcast(dictionary.anchored.select("anchor").distinct()), "anchor", "left_semi")
         found = salted_join(needles, dictionary.anchored, "anchor", keys)
     # One row per key found in a text: a group is never larger than the text itself.
     per_row = found.groupBy(*keys).agg(F.sort_array(F.collect_set("entry")).alias("_entries"))
@@ -140,9 +145,10 @@ def salted_join(many: DataFrame, few: DataFrame, on: str, spread_by: list[str])
     return many.select("*", salt).join(copies, [on, "_salt"]).drop("_salt")
 
 
-def fits_broadcast(n_rows: int, n_chars: int, limit: int = BROADCAST_BYTES) -> bool:
-    """Whether rows with these many characters stay below ``limit`` as a hash table, estimated high."""
-    return ((n_chars or 0) + 200 * n_rows) * 4 <= limit
+def fits_broadcast(n_rows: int, n_chars: int | None, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether so many rows stay below ``limit`` as a hash table; ``None`` stands for rows of one number."""
+    size = 40 * n_rows if n_chars is None else 250 * n_rows + 2 * n_chars
+    return size <= limit
 
 
 def _alternatives(entries: Column, guard: str) -> Column:

@@ -135,7 +135,7 @@ def dictionary_hits(
     said = df.select(*keys, F.explode(words).alias("term"))
     wanted = mapping.select(F.lower("original").alias("term")).distinct()
     n_keys, n_chars = wanted.agg(F.count("*"), F.sum(F.length("term"))).first()
-    if fits_broadcast(n_keys, n_chars, broadcast_bytes):
+    if fits_broadcast(n_keys, n_chars or 0, broadcast_bytes):
         hits = said.join(F.broadcast(wanted), "term")
         return hits.groupBy(*keys, "term").agg(F.count("*").alias("occurrences"))
     counted = said.groupBy(*keys, "term").agg(F.count("*").alias("occurrences"))

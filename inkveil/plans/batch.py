@@ -1,4 +1,4 @@
-"""A whole run: redact a corpus, reconcile it with its outputs and build the report tables."""
+"""The end of a run: reconcile files with their outputs and build the report tables."""
 
 from __future__ import annotations
 
@@ -6,25 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkveil.functions.texts import file_name, file_suffix, parent_folder
-from inkveil.operators.dictionary import Dictionary
 from inkveil.operators.mapping import action_label
 from inkveil.operators.reconcile import details_to_mapping, in_out_reconcile
-from inkveil.operators.redact import replacement_details
 from inkveil.operators.report import error_log, folder_stats, run_totals, success_rate
 from inkveil.sources.files import copy_manifest
 
 
-def redacted_files(documents: DataFrame, dictionary: Dictionary) -> DataFrame:
-    """Details per file and key; the flagship query of this library."""
-    return replacement_details(documents, dictionary)
-
-
-def with_counts(files: DataFrame, details: DataFrame, key: str) -> DataFrame:
-    """Files with the number of replacements that their details add up to."""
-    totals = details.groupBy(key).agg(F.sum("occurrences").alias("replacements"))
-    return files.join(totals, key, "left").fillna(0, ["replacements"])
-
-
 def report_tables(
     files: DataFrame, outputs: DataFrame, details: DataFrame, mapping: DataFrame, output_root: str
 ) -> dict[str, DataFrame]:
