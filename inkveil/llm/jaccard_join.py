@@ -99,8 +99,29 @@ def _entries(shingles: np.ndarray, frequent: np.ndarray, percent: int) -> np.nda
     return np.concatenate((rare, mix(common[:-1] * np.uint64(0xD6E8FEB86659FD93) + mix(common[1:]))))
 
 
+def _summary(shingles: np.ndarray) -> bytes | None:
+    """How many shingles fall into each of a power of two of classes, about two into each; None if a count is too large."""
+    classes = max(64, 1 << (max(1, len(shingles) // 2) - 1).bit_length())
+    counts = np.bincount((shingles >> np.uint64(20)).astype(np.int64) & (classes - 1), minlength=classes)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else None
+
+
+def _may_link(left: bytes | None, right: bytes | None, sizes: int, percent: int) -> bool:
+    """Whether two summaries allow a link: no class shares more shingles than the set with fewer of it has."""
+    if left is None or right is None:
+        return True
+    x, y = np.frombuffer(left, np.uint8).astype(np.int32), np.frombuffer(right, np.uint8).astype(np.int32)
+    classes = min(len(x), len(y))
+    x, y = x.reshape(-1, classes).sum(axis=0), y.reshape(-1, classes).sum(axis=0)
+    most = int(np.minimum(x, y).sum())
+    return 100 * most >= percent * (sizes - most)
+
+
 def _indexed(docs: DataFrame, k: int, percent: int, least: int) -> DataFrame:
-    """One row per document: doc_id, node (name of its set), n_shingles, entries."""
+    """One row per document: doc_id, node (name of its set), n_shingles, entries and summary.
+
+    A task gives entries and summary of a set once.
+    """
     counts = _class_counts(docs, k)
     mean = counts.mean(axis=1, keepdims=True)
     frequent = docs.sparkSession.sparkContext.broadcast(counts > mean + np.maximum(least, 6 * np.sqrt(mean)))
@@ -114,12 +135,12 @@ def _indexed(docs: DataFrame, k: int, percent: int, least: int) -> DataFrame:
                 new = node is not None and len(shingles) > 1 and node not in seen
                 seen.add(node)
                 entries = _entries(shingles, frequent.value, percent).view(np.int64) if new else None
-                out.append((doc_id, node, len(shingles), entries))
-            yield pd.DataFrame(out, columns=["doc_id", "node", "n_shingles", "entries"]).astype(
+                out.append((doc_id, node, len(shingles), entries, _summary(shingles) if new else None))
+            yield pd.DataFrame(out, columns=["doc_id", "node", "n_shingles", "entries", "summary"]).astype(
                 {"doc_id": "Int64", "node": "Int64"}
             )
 
-    schema = "doc_id long, node long, n_shingles long, entries array<long>"
+    schema = "doc_id long, node long, n_shingles long, entries array<long>, summary binary"
     return written(docs.select("doc_id", "text").mapInPandas(index, schema), "entries")
 
 
@@ -157,8 +178,26 @@ def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     return written(found.join(wanted, ["doc_id", "node"]).dropDuplicates(["node"]).select("node", "shingles"), "sets")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _plausible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sizes and summaries allow a link."""
+
+    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = zip(batch["x"], batch["y"], batch["sizes"], strict=True)
+            yield batch.loc[np.array([_may_link(*r, percent) for r in rows], dtype=bool), ["a", "b"]]
+
+    x = nodes.select(F.col("node").alias("a"), F.col("summary").alias("x"), F.col("n_shingles").alias("m"))
+    y = nodes.select(F.col("node").alias("b"), F.col("summary").alias("y"), F.col("n_shingles").alias("n"))
+    fits = f"100 * least(m, n) >= {percent} * greatest(m, n)"
+    joined = pairs.select("a", "b").join(x, "a").join(y, "b").where(fits)
+    found = joined.select("a", "b", "x", "y", (F.col("m") + F.col("n")).alias("sizes")).mapInPandas(keep, "a long, b long")
+    return written(found, "plausible")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = _sets(docs, nodes.where("doc_id is not null").join(wanted, "node").select("doc_id", "node"), k)
 
     def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -173,8 +212,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     lefts = sets.select(F.col("node").alias("a"), F.col("shingles").alias("left"))
     rights = sets.select(F.col("node").alias("b"), F.col("shingles").alias("right"))
-    joined = pairs.select("a", "b").join(lefts, "a").join(rights, "b")
-    return joined.select("a", "b", "left", "right").mapInPandas(keep, "a long, b long")
+    joined = pairs.join(lefts, "a").join(rights, "b")
+    return written(joined.select("a", "b", "left", "right").mapInPandas(keep, "a long, b long"), "links")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, frequent: int = FREQUENT) -> DataFrame:
@@ -194,36 +233,33 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, frequent: in
     small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     indexed = _indexed(docs, k, percent, frequent)
+    nodes = written(
+        indexed.where("node is not null").groupBy("node")
+        .agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"), F.max("summary").alias("summary")), "nodes",
+    )
     by_entry = Window.partitionBy("entry")
-    entries = indexed.select("node", "n_shingles", F.explode("entries").alias("entry"))
-    shared = (
+    entries = indexed.select("node", F.explode("entries").alias("entry"))
+    shared = written(
         entries.withColumns({"leader": F.min("node").over(by_entry), "last": F.max("node").over(by_entry)})
-        .where("leader < last").select("entry", "node", "n_shingles", "leader")
+        .where("leader < last").select("entry", "node", "leader").distinct(), "shared",
     )
-    shared = written(shared.distinct(), "shared")
-    nodes = indexed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    sets = _sets(docs, nodes.where("doc_id is not null").join(shared.select("node").distinct(), "node"), k)
-
-    sizes = shared.select("node", "n_shingles").distinct()
-    leaders = sizes.select(F.col("node").alias("leader"), F.col("n_shingles").alias("size"))
-    first = shared.where("node <> leader").select("node", "n_shingles", "leader").distinct().join(leaders, "leader")
-    fits = f"100 * least(n_shingles, size) >= {percent} * greatest(n_shingles, size)"
-    tried = first.where(fits).select(F.col("leader").alias("a"), F.col("node").alias("b"))
-    links = written(_verified(tried, sets, percent), "stars")
+    first = shared.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    tried = _plausible(first, nodes, percent)
+    links = _verified(tried, docs, nodes, k, percent)
     groups = written(components(links, "a", "b"), "groups")
 
-    grouped = shared.join(groups, "node", "left").select(
-        "entry", "node", "n_shingles", F.coalesce("component", "node").alias("component")
-    )
+    grouped = shared.join(groups, "node", "left").select("entry", "node", F.coalesce("component", "node").alias("component"))
     apart = written(
         grouped.withColumns({"low": F.min("component").over(by_entry), "high": F.max("component").over(by_entry)})
         .where("low < high").drop("low", "high"), "apart",
     )
-    other = apart.select("entry", F.col("node").alias("b"), F.col("n_shingles").alias("size"), F.col("component").alias("c"))
-    left = apart.withColumnRenamed("node", "a")
-    pairs = left.join(other, "entry").where("a < b and component <> c").where(fits).select("a", "b").distinct()
-    more = _verified(pairs.join(tried, ["a", "b"], "left_anti"), sets, percent)
-    final = components(written(links.unionByName(more), "all-links"), "a", "b")
+    sizes = nodes.select("node", "n_shingles")
+    left = apart.join(sizes, "node").select("entry", F.col("node").alias("a"), F.col("n_shingles").alias("m"), F.col("component").alias("c"))
+    right = left.select("entry", F.col("a").alias("b"), F.col("m").alias("n"), F.col("c").alias("d"))
+    fits = f"a < b and c <> d and 100 * least(m, n) >= {percent} * greatest(m, n)"
+    pairs = left.join(right, "entry").where(fits).select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
+    more = _verified(_plausible(pairs, nodes, percent), docs, nodes, k, percent)
+    final = components(links.unionByName(more), "a", "b")
 
     named = indexed.join(final, "node", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "node").alias("component")
