@@ -9,14 +9,20 @@ prefixes that are long enough for any two linked texts to share an entry:
 * With only ``r <= t`` rare shingles that are all lost, ``t - r`` frequent ones can be lost. A lost one breaks two
   neighbouring pairs and a foreign one breaks one, so the first ``2 * (t - r) + e + 2`` frequent shingles hold
   a pair that both texts have as neighbours. The number of entries stays below the number of shingles.
+
+This holds for any division into classes. Each round indexes the texts that the round before left in different groups
+under a common entry; shingles that such texts share are frequent from then on. Passages that many texts
+share thus leave the index. In each round texts are compared with leaders of their entries only, and all pairs
+that are still apart under the last index are compared in the end.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -25,20 +31,16 @@ from inkveil.llm.common import small_batches, written
 from inkveil.llm.components import components
 from inkveil.llm.shingles import mix, shingle_sets
 
-#: Classes in each row of the frequency sketch; two rows.
-CLASSES = 1 << 17
-#: A class is frequent when more texts than this above the mean hold it.
-FREQUENT = 256
-_CHUNK = 1 << 12
+#: Classes of shingles; how many texts of different groups make a class frequent; how often texts are indexed.
+CLASSES = 1 << 26
+FREQUENT = 4
+ROUNDS = 3
 #: Bits of the filter for texts that have candidates. False positives cost work, not results.
 _FILTER_BITS = 1 << 24
 
 
-def _rows(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return (
-        (hashes & np.uint64(CLASSES - 1)).astype(np.int64),
-        ((hashes >> np.uint64(32)) & np.uint64(CLASSES - 1)).astype(np.int64),
-    )
+def _class(shingles: np.ndarray) -> np.ndarray:
+    return (shingles & np.uint64(CLASSES - 1)).astype(np.int64)
 
 
 def _identity(shingles: np.ndarray) -> int:
@@ -48,50 +50,17 @@ def _identity(shingles: np.ndarray) -> int:
     return int(mix(both).view(np.int64)[0])
 
 
-def _class_counts(docs: DataFrame, k: int) -> np.ndarray:
-    """How many texts hold a shingle of each class: sums of fixed size from every task."""
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, seen = np.zeros((2, CLASSES), dtype=np.int64), set()
-        for batch in batches:
-            for shingles in shingle_sets(list(batch["text"]), k):
-                name = _identity(shingles)
-                if name in seen:
-                    continue
-                seen.add(name)
-                for row, at in enumerate(_rows(shingles)):
-                    np.add.at(total[row], at, 1)
-        flat = total.ravel().astype("<u4")
-        for chunk in range(len(flat) // _CHUNK):
-            part = flat[chunk * _CHUNK : (chunk + 1) * _CHUNK]
-            if part.any():
-                yield pd.DataFrame({"chunk": [chunk], "counts": [part.tobytes()]})
-
-    def add(rows: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(_CHUNK, dtype=np.int64)
-        for counts in rows["counts"]:
-            total += np.frombuffer(counts, dtype="<u4")
-        return pd.DataFrame({"chunk": rows["chunk"][:1], "counts": [total.tobytes()]})
-
-    parts = docs.select("text").mapInPandas(count, "chunk int, counts binary")
-    total = np.zeros(2 * CLASSES, dtype=np.int64)
-    for row in parts.groupBy("chunk").applyInPandas(add, "chunk int, counts binary").collect():  # 2 MB at any size
-        total[row["chunk"] * _CHUNK : (row["chunk"] + 1) * _CHUNK] = np.frombuffer(row["counts"], dtype=np.int64)
-    return total.reshape(2, CLASSES)
-
-
 def _least_overlap(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def _entries(shingles: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
+def _entries(shingles: np.ndarray, frequent: np.ndarray | None, percent: int) -> np.ndarray:
     """The index entries of one set (see the module's text)."""
     n = len(shingles)
     lost = n - _least_overlap(n, percent)
     most = 100 * n // percent
     foreign = most - _least_overlap(most, percent)
-    first, second = _rows(shingles)
-    often = frequent[0][first] & frequent[1][second]
+    often = _set_bits(frequent, _class(shingles))
     rare = shingles[~often][: lost + 1]
     if len(rare) > lost:
         return rare
@@ -117,57 +86,72 @@ def _may_link(left: bytes | None, right: bytes | None, sizes: int, percent: int)
     return 100 * most >= percent * (sizes - most)
 
 
-def _indexed(docs: DataFrame, k: int, percent: int, least: int) -> DataFrame:
+def _set_bits(bitmap: np.ndarray | None, at: np.ndarray) -> np.ndarray:
+    if bitmap is None:
+        return np.zeros(len(at), dtype=bool)
+    return ((bitmap[at >> 6].view(np.uint64) >> (at & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
+
+
+def _bitmap(
+    numbers: DataFrame, bits: int, position: Callable[[np.ndarray], np.ndarray], before: Broadcast | None = None
+) -> Broadcast:
+    """``before`` with the positions of the only column of ``numbers`` set as well. Its size is fixed."""
+    name = numbers.columns[0]
+
+    def positions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            at = position(batch[name].to_numpy(np.int64).view(np.uint64))
+            yield pd.DataFrame({"word": at >> 6, "bits": (np.uint64(1) << (at & 63).astype(np.uint64)).view(np.int64)})
+
+    parts = numbers.mapInPandas(positions, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    bitmap = before.value.copy() if before else np.zeros(bits >> 6, dtype=np.int64)
+    merged = parts.toPandas()  # at most bits / 64 rows
+    bitmap[merged["word"].to_numpy()] |= merged["bits"].to_numpy()
+    return numbers.sparkSession.sparkContext.broadcast(bitmap)
+
+
+def _position(doc_id: np.ndarray) -> np.ndarray:
+    return (mix(doc_id) & np.uint64(_FILTER_BITS - 1)).astype(np.int64)
+
+
+def _filtered(batch: pd.DataFrame, bitmap: np.ndarray) -> pd.DataFrame:
+    """Rows whose doc_id may be one of those in the bitmap."""
+    batch = batch[batch["doc_id"].notna()]
+    return batch[_set_bits(bitmap, _position(batch["doc_id"].to_numpy(np.int64).view(np.uint64)))]
+
+
+def _indexed(docs: DataFrame, k: int, percent: int, often: Broadcast | None, wanted: Broadcast | None) -> DataFrame:
     """One row per document: doc_id, node (name of its set), n_shingles, entries and summary.
 
-    A task gives entries and summary of a set once.
+    A task gives entries and summary of a set once. ``often``: frequent classes; ``wanted``: filter for documents.
     """
-    counts = _class_counts(docs, k)
-    mean = counts.mean(axis=1, keepdims=True)
-    frequent = docs.sparkSession.sparkContext.broadcast(counts > mean + np.maximum(least, 6 * np.sqrt(mean)))
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
         for batch in batches:
             out = []
+            batch = batch if wanted is None else _filtered(batch, wanted.value)
             for doc_id, shingles in zip(batch["doc_id"], shingle_sets(list(batch["text"]), k), strict=True):
                 node = _identity(shingles) if len(shingles) else None
                 new = node is not None and len(shingles) > 1 and node not in seen
                 seen.add(node)
-                entries = _entries(shingles, frequent.value, percent).view(np.int64) if new else None
+                entries = _entries(shingles, often.value if often else None, percent).view(np.int64) if new else None
                 out.append((doc_id, node, len(shingles), entries, _summary(shingles) if new else None))
             yield pd.DataFrame(out, columns=["doc_id", "node", "n_shingles", "entries", "summary"]).astype(
-                {"doc_id": "Int64", "node": "Int64"}
+                {"doc_id": "Int64", "node": "Int64", "n_shingles": "int64"}
             )
 
     schema = "doc_id long, node long, n_shingles long, entries array<long>, summary binary"
     return written(docs.select("doc_id", "text").mapInPandas(index, schema), "entries")
 
 
-def _bit(doc_id: np.ndarray) -> np.ndarray:
-    return (mix(doc_id.view(np.uint64)) & np.uint64(_FILTER_BITS - 1)).astype(np.int64)
-
-
 def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """node and shingles (sorted, as bytes) of ``wanted`` (doc_id, node), one row per node."""
-
-    def positions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            bits = _bit(batch["doc_id"].to_numpy(np.int64))
-            yield pd.DataFrame({"word": bits >> 6, "bits": (1 << (bits & 63).astype(np.uint64)).view(np.int64)})
-
-    parts = wanted.select("doc_id").mapInPandas(positions, "word long, bits long")
-    bitmap = np.zeros(_FILTER_BITS >> 6, dtype=np.int64)
-    merged = parts.groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()  # at most 2**18 rows
-    bitmap[merged["word"].to_numpy()] = merged["bits"].to_numpy()
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+    shared = _bitmap(wanted.select("doc_id"), _FILTER_BITS, _position)
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            batch = batch[batch["doc_id"].notna()]
-            bits = _bit(batch["doc_id"].to_numpy(np.int64))
-            hit = (shared.value[bits >> 6].view(np.uint64) >> (bits & 63).astype(np.uint64)) & np.uint64(1)
-            batch = batch[hit.astype(bool)]
+            batch = _filtered(batch, shared.value)
             found = [(s.tobytes(), _identity(s)) for s in shingle_sets(list(batch["text"]), k)]
             yield pd.DataFrame(
                 {"doc_id": batch["doc_id"].to_numpy(np.int64), "shingles": [f[0] for f in found], "node": [f[1] for f in found]}
@@ -216,6 +200,13 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, perce
     return written(joined.select("a", "b", "left", "right").mapInPandas(keep, "a long, b long"), "links")
 
 
+def _grouped(entries: DataFrame, groups: DataFrame | None) -> DataFrame:
+    """Adds the component of each node; a node without links is its own."""
+    if groups is None:
+        return entries.withColumn("component", F.col("node"))
+    return entries.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, frequent: int = FREQUENT) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs`` (doc_id, text).
 
@@ -224,46 +215,59 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, frequent: in
     empty; an empty text links with nothing and has its own doc_id as component. Repeated rows stay repeated.
     Rows with a null doc_id stay; they group with rows of an equal set only. Other columns are ignored.
     ``frequent`` decides which shingles count as frequent, not which links are found.
-
-    Sets with many partners are first compared with one leader per index entry; pairs are formed only between
-    groups that this leaves apart, so a group of near copies never costs the square of its size.
     """
     if not 80 <= percent <= 100:
         raise ValueError("prefixes are long enough for 80 to 100 percent only")
     small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
-    indexed = _indexed(docs, k, percent, frequent)
-    nodes = written(
-        indexed.where("node is not null").groupBy("node")
-        .agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"), F.max("summary").alias("summary")), "nodes",
-    )
     by_entry = Window.partitionBy("entry")
-    entries = indexed.select("node", F.explode("entries").alias("entry"))
-    shared = written(
-        entries.withColumns({"leader": F.min("node").over(by_entry), "last": F.max("node").over(by_entry)})
-        .where("leader < last").select("entry", "node", "leader").distinct(), "shared",
-    )
-    first = shared.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    tried = _plausible(first, nodes, percent)
-    links = _verified(tried, docs, nodes, k, percent)
-    groups = written(components(links, "a", "b"), "groups")
-
-    grouped = shared.join(groups, "node", "left").select("entry", "node", F.coalesce("component", "node").alias("component"))
-    apart = written(
-        grouped.withColumns({"low": F.min("component").over(by_entry), "high": F.max("component").over(by_entry)})
-        .where("low < high").drop("low", "high"), "apart",
+    low, high = F.min("component").over(by_entry), F.max("component").over(by_entry)
+    often = wanted = groups = links = tried = None
+    for _ in range(ROUNDS):
+        indexed = _indexed(docs, k, percent, often, wanted)
+        if groups is None:
+            every = indexed.select("doc_id", "node", "n_shingles")
+            nodes = written(
+                indexed.where("node is not null").groupBy("node")
+                .agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"), F.max("summary").alias("summary")), "nodes",
+            )
+        band = F.floor(F.log(F.col("n_shingles")) / F.log(F.lit(100 / percent)) - 1e-9)
+        entries = indexed.select("node", band.alias("band"), F.explode("entries").alias("entry"))
+        entries = _grouped(entries, groups).withColumns({"low": low, "high": high}).where("low < high").drop("low", "high")
+        # linked sets have sizes of the same band or of neighbouring ones
+        bands = F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band")
+        entries = entries.distinct().select("node", "component", F.col("entry").alias("single"), bands)
+        entries = entries.select("node", "component", "single", F.xxhash64("single", "band").alias("entry"))
+        entries = entries.withColumns({"low": low, "high": high}).where("low < high").drop("low", "high")
+        entries = written(entries, "entries-apart")
+        # two leaders of each entry: one of the first group, and any
+        one = F.struct("component", "node")
+        leaders = F.array(F.min(one).over(by_entry), F.min_by(one, F.xxhash64("node", "entry")).over(by_entry))
+        stars = entries.withColumn("leaders", leaders).select("node", "component", F.explode("leaders").alias("leader"))
+        stars = stars.where("component <> leader.component")
+        pairs = stars.select(F.least("node", "leader.node").alias("a"), F.greatest("node", "leader.node").alias("b")).distinct()
+        pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "tried")
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        found = _verified(_plausible(pairs, nodes, percent), docs, nodes, k, percent)
+        links = found if links is None else links.unionByName(found)
+        groups = components(links, "a", "b")
+        apart = _grouped(entries.drop("component"), groups).withColumns({"low": low, "high": high, "size": F.count("*").over(by_entry)})
+        apart = written(apart.where("low < high").drop("low", "high"), "apart")
+        some = apart.select("node").distinct().join(nodes.where("doc_id is not null"), "node").select("doc_id")
+        wanted = _bitmap(some, _FILTER_BITS, _position)
+        common = apart.where(F.col("size") >= frequent).select("single").distinct()
+        often = _bitmap(common, CLASSES, _class, often)
+
+    left = apart.join(nodes.select("node", "n_shingles"), "node").select(
+        "entry", F.col("node").alias("a"), F.col("n_shingles").alias("m"), F.col("component").alias("c")
     )
-    sizes = nodes.select("node", "n_shingles")
-    left = apart.join(sizes, "node").select("entry", F.col("node").alias("a"), F.col("n_shingles").alias("m"), F.col("component").alias("c"))
     right = left.select("entry", F.col("a").alias("b"), F.col("m").alias("n"), F.col("c").alias("d"))
     fits = f"a < b and c <> d and 100 * least(m, n) >= {percent} * greatest(m, n)"
-    pairs = left.join(right, "entry").where(fits).select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
+    pairs = left.join(right, "entry").where(fits).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
     more = _verified(_plausible(pairs, nodes, percent), docs, nodes, k, percent)
     final = components(links.unionByName(more), "a", "b")
 
-    named = indexed.join(final, "node", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component", "node").alias("component")
-    )
+    named = every.join(final, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component"))
     least = named.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return named.join(least, "component", "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
