@@ -131,15 +131,18 @@ def _indexed(docs: DataFrame, k: int, percent: int, often: Broadcast | None, wan
         for batch in batches:
             out = []
             batch = batch if wanted is None else _filtered(batch, wanted.value)
-            for doc_id, shingles in zip(batch["doc_id"], shingle_sets(list(batch["text"]), k), strict=True):
+            for shingles in shingle_sets(list(batch["text"]), k):
                 node = _identity(shingles) if len(shingles) else None
                 new = node is not None and len(shingles) > 1 and node not in seen
                 seen.add(node)
                 entries = _entries(shingles, often.value if often else None, percent).view(np.int64) if new else None
-                out.append((doc_id, node, len(shingles), entries, _summary(shingles) if new else None))
-            yield pd.DataFrame(out, columns=["doc_id", "node", "n_shingles", "entries", "summary"]).astype(
-                {"doc_id": "Int64", "node": "Int64", "n_shingles": "int64"}
-            )
+                out.append((node, len(shingles), entries, _summary(shingles) if new else None))
+            names, sizes, entry_lists, summaries = zip(*out, strict=True) if out else ([],) * 4
+            # integers with nulls would become floating point and lose digits
+            yield pd.DataFrame({
+                "doc_id": batch["doc_id"].astype("Int64").array, "node": pd.array(list(names), dtype="Int64"),
+                "n_shingles": np.array(sizes, dtype=np.int64), "entries": pd.Series(list(entry_lists), dtype=object), "summary": pd.Series(list(summaries), dtype=object),
+            })
 
     schema = "doc_id long, node long, n_shingles long, entries array<long>, summary binary"
     return written(docs.select("doc_id", "text").mapInPandas(index, schema), "entries")
@@ -154,7 +157,10 @@ def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
             batch = _filtered(batch, shared.value)
             found = [(s.tobytes(), _identity(s)) for s in shingle_sets(list(batch["text"]), k)]
             yield pd.DataFrame(
-                {"doc_id": batch["doc_id"].to_numpy(np.int64), "shingles": [f[0] for f in found], "node": [f[1] for f in found]}
+                {
+                    "doc_id": batch["doc_id"].to_numpy(np.int64), "shingles": pd.Series([f[0] for f in found], dtype=object),
+                    "node": np.array([f[1] for f in found], dtype=np.int64),
+                }
             )
 
     found = docs.select("doc_id", "text").mapInPandas(sets, "doc_id long, shingles binary, node long")

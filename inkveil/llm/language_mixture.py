@@ -111,7 +111,7 @@ def identify(text: str | None, names: list[str], logp: np.ndarray) -> tuple[str,
 
 
 def predict(docs: DataFrame, names: list[str], logp: np.ndarray) -> DataFrame:
-    """``docs`` with lang_pred, score and languages added.
+    """``docs`` with lang_pred, score, languages and their shares added.
 
     lang_pred is ``und`` with score 0 when the text is null or has no letter, or no language was learned. Ties
     go to the language that is first by name. Columns of ``docs`` with these names are replaced.
@@ -119,18 +119,19 @@ def predict(docs: DataFrame, names: list[str], logp: np.ndarray) -> DataFrame:
     small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast((names, logp))
 
-    @F.pandas_udf("lang_pred string, score double, languages map<string, double>")
+    @F.pandas_udf("lang_pred string, score double, languages array<string>, shares array<double>")
     def guess(texts: pd.Series) -> pd.DataFrame:
         rows = [identify(t, *model.value) for t in texts]
-        return pd.DataFrame(rows, columns=["lang_pred", "score", "languages"])
+        rows = [(name, score, list(found), list(found.values())) for name, score, found in rows]
+        return pd.DataFrame(rows, columns=["lang_pred", "score", "languages", "shares"])
 
-    added = {"lang_pred", "score", "languages"}
+    added = {"lang_pred", "score", "languages", "shares"}
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in added]
     return docs.select(*kept, guess("text").alias("__guess")).select(*kept, "__guess.*")
 
 
 def language_folds(docs: DataFrame, learn_not: int = 2, folds: int = 4) -> DataFrame:
-    """doc_id, held_out, lang_pred, score, languages: learned from all documents outside the held-out fold."""
+    """doc_id, held_out, lang_pred, score, languages, shares: learned from all documents outside the held-out fold."""
     held_out = fold(F.col("doc_id"), folds) == learn_not
     names, logp = fit(docs.where(~held_out))
     return predict(docs.select("doc_id", "text", held_out.alias("held_out")), names, logp).drop("text")
