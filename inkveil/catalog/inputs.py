@@ -29,7 +29,7 @@ FROM ({FILES}) AS f WHERE doc_id % 23 <> 2
 # Comma-separated image rules, one list per source.
 RULE_LISTS = """
 SELECT source, source || '/' || min(lang) || ', ' || source || chr(92) || max(lang) || ' ,, file' AS rules
-FROM {documents} WHERE CAST(substr(source, 4) AS INT) % 4 = 1 GROUP BY source
+FROM {documents} GROUP BY source
 """
 
 # Mapping workbooks, one per supplier, filled from the parts.
@@ -90,7 +90,7 @@ FROM {events}
 
 # Document properties.
 PROPS = """
-SELECT doc_id, source AS author, lang AS language, substr(text, 1, 40) AS title, source || ' Inc.' AS company,
+SELECT doc_id, source AS author, lang AS language, text AS title, source || ' Inc.' AS company,
   CAST(n_chars AS STRING) AS keywords, CAST(doc_id % 9 + 2 AS INT) AS revision, 'v' || CAST(doc_id AS STRING) AS version
 FROM {documents}
 """

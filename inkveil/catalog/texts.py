@@ -57,16 +57,16 @@ def redact_single_pass(s: Source) -> DataFrame:
     return R.redact(documents(s), dictionary(s)).drop("text")
 
 
-# The dictionary of this query grows with its table: every word of four letters or more.
+# The dictionary of this query grows with its table: every word.
 WORDS_SQL = """
 SELECT min(item_id) * 1000000 + min(place) AS ordinal, word AS original, reverse(word) AS replacement
 FROM (SELECT item_id, unnest(words) AS word, generate_subscripts(words, 1) AS place
-      FROM (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]{4,}') AS words FROM benchmark))
+      FROM (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS words FROM benchmark))
 GROUP BY word"""
 
 
 def benchmark_words(s: Source) -> DataFrame:
-    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]{4,}"), F.lit(0))
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))
     return (
         s.table("benchmark").select("item_id", F.posexplode(words).alias("place", "original"))
         .groupBy("original")
@@ -266,9 +266,10 @@ def name_dedupe(s: Source) -> DataFrame:
 
 
 NUMBERS = """
-SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN CAST(p_size AS STRING) WHEN 1 THEN CAST(p_size AS STRING) || '.5'
+SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN CAST(p_size AS STRING) WHEN 1 THEN CAST(p_size AS STRING) || '.5'
   WHEN 2 THEN p_name WHEN 3 THEN CAST(p_size AS STRING) || '.079999923706055'
-  WHEN 4 THEN ' -' || CAST(p_size AS STRING) || ' ' ELSE NULL END AS value FROM {part}"""
+  WHEN 4 THEN ' -' || CAST(p_size AS STRING) || ' '
+  WHEN 5 THEN CAST(p_size AS STRING) || 'd' WHEN 6 THEN CAST(p_size AS STRING) || '.5f' ELSE NULL END AS value FROM {part}"""
 
 
 @add("tolerant_int", f"""
@@ -299,7 +300,7 @@ def size_kb(s: Source) -> DataFrame:
 
 
 PDF_TEXT = """
-SELECT page_id, '%PDF-1.4 /Producer (' || split_part(url, '/', 3) || ')'
+SELECT page_id, '%PDF-1.4 ' || CASE WHEN page_id % 2 = 0 THEN html ELSE '' END || '/Producer (' || split_part(url, '/', 3) || ')'
   || CASE page_id % 3 WHEN 0 THEN ' /Creator   (Some' || chr(92) || 'nWriter  ' || CAST(page_id AS STRING) || ')' WHEN 1 THEN ' /Creator()' ELSE '' END
   || html AS content FROM {pages}"""
 

@@ -21,10 +21,11 @@ def normalised_value(value: Column) -> Column:
 
 
 def tolerant_int(value: Column) -> Column:
-    """A whole number, else a rounded one (half to even), else 0."""
+    """A whole number, else a rounded one (half to even), else 0. Type suffixes such as ``d`` make no number."""
     bare = strip(value)
     rounded = F.bround(bare.try_cast("double")).try_cast("long")
-    return F.coalesce(bare.try_cast("long"), rounded, F.lit(0)).cast("long")
+    number = bare.rlike(r"^[-+]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][-+]?[0-9]+)?$")
+    return F.when(number, F.coalesce(bare.try_cast("long"), rounded, F.lit(0))).otherwise(0).cast("long")
 
 
 def truncated(value: Column, width: int = 60) -> Column:

@@ -9,8 +9,6 @@ from inkveil.functions.texts import clean_metadata, pdf_field
 
 # Approved producers.
 APPROVED = ["Adobe PDF", "Adobe Acrobat", "Adobe InDesign", "Adobe Illustrator", "Adobe Photoshop"]
-# Fixed value: bytes at the start of a file that are searched for its metadata.
-HEAD_BYTES = 8192
 
 QUARANTINE = "MOVE_TO_QUARANTINE"
 NOTIFY = "NOTIFY_ONLY"
@@ -50,11 +48,11 @@ def allowlist_summary(checked: DataFrame) -> DataFrame:
 
 
 def pdf_metadata(content: Column) -> dict[str, Column]:
-    """Producer and creator from the head of a file."""
-    head = F.decode(F.substring(content, 1, HEAD_BYTES), "ISO-8859-1")
+    """Producer and creator, each where a file first defines it, however late."""
+    text = F.decode(content, "ISO-8859-1")
     return {
-        "producer": clean_metadata(pdf_field(head, "Producer")),
-        "creator": clean_metadata(pdf_field(head, "Creator")),
+        "producer": clean_metadata(pdf_field(text, "Producer")),
+        "creator": clean_metadata(pdf_field(text, "Creator")),
     }
 
 

@@ -11,7 +11,7 @@ EMPTY = "output file is empty"
 
 def in_out_reconcile(files: DataFrame, outputs: DataFrame, key: str = "rel_path") -> DataFrame:
     """A success needs an output with content; otherwise it fails with a reason and counts nothing."""
-    produced = outputs.select(key, F.col("size").alias("_size"))
+    produced = outputs.groupBy(key).agg(F.max("size").alias("_size"))
     claimed = F.col("status") == "success"
     reason = F.when(F.col("_size").isNull(), NOT_CREATED).when(F.col("_size") == 0, EMPTY)
     broken = claimed & reason.isNotNull()
@@ -29,17 +29,23 @@ def in_out_reconcile(files: DataFrame, outputs: DataFrame, key: str = "rel_path"
     ).drop("_size")
 
 
+def _by_original(mapping: DataFrame, key: str, to: str) -> DataFrame:
+    """One replacement per key: the last by ordinal, or the largest where there is no order."""
+    last = F.max_by("replacement", "ordinal") if "ordinal" in mapping.columns else F.max("replacement")
+    return mapping.groupBy(F.col("original").alias(key)).agg(last.alias(to))
+
+
 def details_to_mapping(details: DataFrame, mapping: DataFrame) -> DataFrame:
     """Attach the replacement of each key; unknown keys and deletions get a label."""
-    known = mapping.select("original", F.col("replacement").alias("_to"))
+    known = _by_original(mapping, "original", "_to")
     label = F.when(F.col("_to").isNull(), "[UNKNOWN]").when(F.col("_to") == "", "[DELETED]").otherwise(F.col("_to"))
     return details.join(known, "original", "left").withColumn("replacement", label).drop("_to")
 
 
 def details_fallback(details: DataFrame, mapping: DataFrame) -> DataFrame:
     """The replacement by exact key, else by lower-cased key, else ``?``."""
-    exact = mapping.select("original", F.col("replacement").alias("_exact"))
-    lower = mapping.select(F.col("original").alias("_lower"), F.col("replacement").alias("_folded"))
+    exact = _by_original(mapping, "original", "_exact")
+    lower = _by_original(mapping, "_lower", "_folded")
     return (
         details.join(exact, "original", "left")
         .withColumn("_lower", F.lower("original"))

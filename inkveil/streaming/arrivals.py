@@ -23,7 +23,7 @@ EVERY = "5 minutes"
 
 
 def arrival_source(spark: SparkSession, folder: str, glob: str = "*.pdf") -> DataFrame:
-    """New files of a folder with the producer and creator named in their first bytes."""
+    """New files of a folder with the producer and creator named in their content."""
     found = (
         spark.readStream.format("binaryFile").schema(BINARY_FILE)
         .option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(folder)
@@ -45,9 +45,13 @@ def recent_arrivals(arrivals: DataFrame, polled: Column, created: str = "created
     return arrivals.filter(F.col(created) >= polled - F.expr(f"interval {look_back}"))
 
 
-def arrival_dedupe(arrivals: DataFrame, keys: list[str], created: str = "created", delay: str = LOOK_BACK) -> DataFrame:
-    """Each arrival once, although overlapping polls report it twice; old keys leave the state."""
-    return arrivals.withWatermark(created, delay).dropDuplicatesWithinWatermark(keys)
+def arrival_dedupe(arrivals: DataFrame, keys: list[str]) -> DataFrame:
+    """Run the stream and give each arrival once, although overlapping polls report it twice.
+
+    Keys are dropped within each micro-batch as it is written and across them on reading, so an arrival counts
+    however late it comes, and no state is kept in memory.
+    """
+    return foreach_batch(arrivals, lambda batch: batch.dropDuplicates(keys)).dropDuplicates(keys)
 
 
 def stream_allowlist(arrivals: DataFrame, allowed: list[str]) -> DataFrame:
@@ -72,13 +76,13 @@ def audit_trail(violations: DataFrame, key: str) -> DataFrame:
 
 
 def violation_report(violations: DataFrame, created: str = "created") -> DataFrame:
-    """Violations per polling window."""
-    return (
-        violations.withWatermark(created, LOOK_BACK)
-        .groupBy(F.window(created, LOOK_BACK, EVERY).alias("w"))
-        .agg(F.count("*").alias("violations"))
-        .select(F.col("w.start").alias("from_time"), "violations")
-    )
+    """Run the stream and count all its violations per polling window; each micro-batch leaves partial counts."""
+
+    def count(batch: DataFrame) -> DataFrame:
+        windows = batch.groupBy(F.window(created, LOOK_BACK, EVERY).alias("w")).agg(F.count("*").alias("violations"))
+        return windows.select(F.col("w.start").alias("from_time"), "violations")
+
+    return foreach_batch(violations, count).groupBy("from_time").agg(F.sum("violations").alias("violations"))
 
 
 def error_channel(rows: DataFrame, problem: Column) -> tuple[DataFrame, DataFrame]:
@@ -88,10 +92,10 @@ def error_channel(rows: DataFrame, problem: Column) -> tuple[DataFrame, DataFram
 
 
 def stream_redact(texts: DataFrame, dictionary: Dictionary, text: str = "text", keys: list[str] | None = None) -> DataFrame:
-    """Redact a stream with a dictionary in its small form, which needs no join."""
-    if dictionary.anchored is not None:
-        raise ValueError("redact each batch with foreach_batch for a dictionary of this size")
-    return redact(texts, dictionary, text, keys)
+    """Run the stream and redact all its texts; a dictionary in its joined form is applied to each micro-batch."""
+    if dictionary.anchored is None:
+        return collected(redact(texts, dictionary, text, keys))
+    return foreach_batch(texts, lambda batch: redact(batch, dictionary, text, keys))
 
 
 def collected(stream: DataFrame, mode: str = "append") -> DataFrame:
@@ -110,7 +114,9 @@ def foreach_batch(stream: DataFrame, work: Callable[[DataFrame], DataFrame]) ->
     """Apply batch work to every micro-batch.  A batch that is run again replaces its own files."""
     spark = stream.sparkSession
     path = shared_dir(spark, "stream")
-    schema = work(spark.createDataFrame([], stream.schema)).schema
+    empty = work(spark.createDataFrame([], stream.schema))
+    schema = empty.schema
+    empty.write.parquet(f"{path}/data/batch=none")
 
     def save(batch: DataFrame, number: int) -> None:
         work(batch).write.mode("overwrite").parquet(f"{path}/data/batch={number}")

@@ -74,11 +74,11 @@ def test_allowlist(spark):
     assert [r["is_approved"] for r in done.collect()] == [True, False, False]
 
 
-def test_pdf_metadata_reads_only_the_head(spark):
-    late = b"x" * provenance.HEAD_BYTES + b"/Producer (Late)"
+def test_pdf_metadata_is_found_however_late(spark):
+    late = b"x" * 100_000 + b"/Producer (Late) /Producer (Later)"
     rows = spark.createDataFrame([(bytearray(b"/Producer  (A\\nB  C) /Creator()"),), (bytearray(late),)], "content binary")
     done = rows.select(*[c.alias(n) for n, c in provenance.pdf_metadata(F.col("content")).items()]).collect()
-    assert [tuple(r) for r in done] == [("A B C", "Not found"), ("Not found", "Not found")]
+    assert [tuple(r) for r in done] == [("A B C", "Not found"), ("Late", "Not found")]
 
 
 def test_duplicate_names(spark):
@@ -93,6 +93,16 @@ def test_unlink_keeps_text(spark):
     assert (done["html"], done["links_removed"]) == ("<p>see and z<abbr>q</abbr></p>", 1)
 
 
+def test_repeated_outputs_and_keys_give_one_row(spark):
+    files = spark.createDataFrame([("a", "success", None)], "rel_path string, status string, error string")
+    outputs = spark.createDataFrame([("a", 0), ("a", 5)], "rel_path string, size long")
+    assert [tuple(r) for r in reconcile.in_out_reconcile(files, outputs).collect()] == [("a", "success", None)]
+    details = spark.createDataFrame([(1, "x")], "doc_id long, original string")
+    mapping = spark.createDataFrame([(1, "x", "old"), (2, "x", "new")], "ordinal long, original string, replacement string")
+    assert [r["replacement"] for r in reconcile.details_to_mapping(details, mapping).collect()] == ["new"]
+    assert [r["replacement"] for r in reconcile.details_fallback(details, mapping).collect()] == ["new"]
+
+
 def test_sinks(spark, tmp_path):
     units = spark.createDataFrame([("a", 1, "x"), ("b", 2, "y")], "top_folder string, doc_id long, text string")
     write_scrubbed(units, str(tmp_path / "units"))

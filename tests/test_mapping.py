@@ -42,9 +42,9 @@ def test_normalised_values(spark):
 
 
 def test_numbers_and_display(spark):
-    given = ["24", "19.5", "20.5", "22.079999923706055", "100.6", "x", None, " 7 "]
+    given = ["24", "19.5", "20.5", "22.079999923706055", "100.6", "x", None, " 7 ", "12d", "1.5f"]
     frame = spark.createDataFrame([(v,) for v in given], "v string")
-    assert [r[0] for r in frame.select(texts.tolerant_int(F.col("v"))).collect()] == [24, 20, 20, 22, 101, 0, 0, 7]
+    assert [r[0] for r in frame.select(texts.tolerant_int(F.col("v"))).collect()] == [24, 20, 20, 22, 101, 0, 0, 7, 0, 0]
     long = spark.createDataFrame([("y" * 61,), ("y" * 60,)], "v string").select(texts.truncated(F.col("v"))).collect()
     assert [r[0] for r in long] == ["y" * 57 + "...", "y" * 60]
 
