@@ -52,7 +52,8 @@ def fit(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
             for text, lang in zip(batch["text"], batch["lang"], strict=True):
                 total = totals.setdefault(lang, np.zeros(BUCKETS, dtype=np.int64))
                 total += np.bincount(trigrams(text), minlength=BUCKETS)
-        yield pd.DataFrame({"lang": list(totals), "counts": [t.tobytes() for t in totals.values()]})
+        if totals:
+            yield pd.DataFrame({"lang": list(totals), "counts": [t.tobytes() for t in totals.values()]})
 
     def add(rows: pd.DataFrame) -> pd.DataFrame:
         total = sum(np.frombuffer(c, dtype=np.int64) for c in rows["counts"])
@@ -111,7 +112,7 @@ def identify(text: str | None, names: list[str], logp: np.ndarray) -> tuple[str,
 
 
 def predict(docs: DataFrame, names: list[str], logp: np.ndarray) -> DataFrame:
-    """``docs`` with lang_pred, score, languages and their shares added.
+    """``docs`` with lang_pred, score, languages (joined by commas) and their shares added.
 
     lang_pred is ``und`` with score 0 when the text is null or has no letter, or no language was learned. Ties
     go to the language that is first by name. Columns of ``docs`` with these names are replaced.
@@ -119,10 +120,10 @@ def predict(docs: DataFrame, names: list[str], logp: np.ndarray) -> DataFrame:
     small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast((names, logp))
 
-    @F.pandas_udf("lang_pred string, score double, languages array<string>, shares array<double>")
+    @F.pandas_udf("lang_pred string, score double, languages string, shares array<double>")
     def guess(texts: pd.Series) -> pd.DataFrame:
         rows = [identify(t, *model.value) for t in texts]
-        rows = [(name, score, list(found), list(found.values())) for name, score, found in rows]
+        rows = [(name, score, ",".join(found), list(found.values())) for name, score, found in rows]
         return pd.DataFrame(rows, columns=["lang_pred", "score", "languages", "shares"])
 
     added = {"lang_pred", "score", "languages", "shares"}

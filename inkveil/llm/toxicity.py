@@ -64,9 +64,9 @@ def _toxic_counts(rows: DataFrame) -> DataFrame:
                         if f not in here:
                             here.add(f)
                             entry[0] += 1
-        yield pd.DataFrame(
-            {"feature": list(found), "toxic": [e[0] for e in found.values()], "contexts": [e[1] for e in found.values()]}
-        ).astype({"toxic": "int64", "contexts": "int64"})
+        if found:
+            toxic, contexts = zip(*found.values(), strict=True)
+            yield pd.DataFrame({"feature": list(found), "toxic": toxic, "contexts": contexts})
 
     parts = rows.where("toxic = 1").select("text").mapInPandas(count, "feature string, toxic long, contexts long")
     return parts.groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.bit_or("contexts").alias("contexts"))
@@ -82,7 +82,8 @@ def _clean_counts(rows: DataFrame, candidates: list[str]) -> dict[str, int]:
                 here = {f for w in set(_WORD.findall((text or "").lower())) for f in _features(w)} & shared.value
                 for f in here:
                     found[f] = found.get(f, 0) + 1
-        yield pd.DataFrame({"feature": list(found), "clean": list(found.values())}).astype({"clean": "int64"})
+        if found:
+            yield pd.DataFrame({"feature": list(found), "clean": list(found.values())})
 
     parts = rows.where("toxic = 0").select("text").mapInPandas(count, "feature string, clean long")
     return {r["feature"]: r["clean"] for r in parts.groupBy("feature").agg(F.sum("clean").alias("clean")).collect()}
