@@ -30,6 +30,8 @@ GROUPS = 3
 STEMS = (4, 5, 6)
 #: Most entries that are considered and mined, most labelled ids that are broadcast, most rows the classifier is fitted on.
 CANDIDATES, ENTRIES, LABELS_BROADCAST, FIT_ROWS = 50_000, 2_000, 2_000_000, 20_000
+#: How much more frequent an entry is among toxic documents than among clean ones.
+LEAST_RATIO = 50
 _WORD = re.compile(r"[^\W\d_]+")
 VOTERS = ["seed", *(f"words{g}" for g in range(GROUPS)), *(f"stems{g}" for g in range(GROUPS)), "repeated", "dense"]
 EVIDENCE = 1 + 2 * GROUPS
@@ -100,7 +102,7 @@ def mine(rows: DataFrame) -> dict[str, int]:
         r["feature"]: np.log((r["toxic"] + 0.5) / (n_toxic + 1)) - np.log((clean.get(r["feature"], 0) + 0.5) / (n_clean + 1))
         for r in top
     }
-    best = sorted((f for f in odds if odds[f] >= np.log(8)), key=lambda f: (-odds[f], f))[:ENTRIES]
+    best = sorted((f for f in odds if odds[f] >= np.log(LEAST_RATIO)), key=lambda f: (-odds[f], f))[:ENTRIES]
     words, stems = [f for f in best if f[-1] != "-"], [f for f in best if f[-1] == "-"]
     return {f: 1 + i % GROUPS for i, f in enumerate(words)} | {f: 1 + GROUPS + i % GROUPS for i, f in enumerate(stems)}
 
