@@ -1,29 +1,33 @@
 """Near-duplicate groups by word-shingle Jaccard similarity, found through token-combination prefixes.
 
-Shingles are put in one global order: rare classes first, then frequent ones. A text is indexed under single
-shingles of the rare class and under combinations of two neighbouring shingles of the frequent class, over
-prefixes that are long enough for any two linked texts to share an entry:
-
-* A text x of n shingles lacks at most ``t = n - ceil(s * n)`` of them in a partner, and a partner has at
-  most ``e`` shingles that x lacks. The first ``t + 1`` rare shingles therefore hold a shared one.
-* With only ``r <= t`` rare shingles that are all lost, ``t - r`` frequent ones can be lost. A lost one breaks two
-  neighbouring pairs and a foreign one breaks one, so the first ``2 * (t - r) + e + 2`` frequent shingles hold
-  a pair that both texts have as neighbours. The number of entries stays below the number of shingles.
+Shingles are put in one global order, in a rare and a frequent class. A text is indexed under single shingles of
+the rare class and under combinations of several neighbouring shingles of the frequent class, over prefixes that are
+long enough for any two linked texts to share an entry:
+
+* A text x of n shingles lacks at most ``t = n - ceil(s * n)`` of them in a partner. Its first ``t + 1`` rare shingles
+  therefore hold a shared one; they are its entries.
+* With only ``r <= t`` rare shingles, which may all be lost, the prefix is extended over all frequent ones. Two linked
+  texts of at most m shingles differ in at most ``d = 2 * m * (1 - s) / (1 + s)``. The order is cut into ``d + 1 + z``
+  ranges, and the frequent shingles that a text has in one range are a combination, about five at s = 0.85. At least
+  ``1 + z`` ranges then hold the same shingles in both texts. Empty ranges are entries only in texts with more than z
+  of them. m comes from the text's size band, and a text is indexed for its own band and for the next one.
 
 This holds for any division into classes. Each round indexes the texts that the round before left in different groups
-under a common entry; shingles that such texts share are frequent from then on. Passages that many texts
-share thus leave the index. In each round texts are compared with leaders of their entries only, and all pairs
-that are still apart under the last index are compared in the end.
+under a common entry; shingles in entries of several such texts are frequent from then on. Only the shingles of
+prefixes are counted, so the last round, for the texts that two rounds could not tell apart, takes every shingle
+for frequent. In each round texts are compared with leaders of their entries only, and all pairs that are still
+apart under the last index are compared block by block in the end.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -37,6 +41,8 @@ FREQUENT = 4
 ROUNDS = 3
 #: Bits of the filter for texts that have candidates. False positives cost work, not results.
 _FILTER_BITS = 1 << 24
+#: Texts of one entry that meet others at once.
+_BLOCK = 256
 
 
 def _class(shingles: np.ndarray) -> np.ndarray:
@@ -54,18 +60,38 @@ def _least_overlap(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def _entries(shingles: np.ndarray, frequent: np.ndarray | None, percent: int) -> np.ndarray:
-    """The index entries of one set (see the module's text)."""
+def _band(n: int, percent: int) -> int:
+    """Linked sets have sizes of the same band or of neighbouring ones."""
+    return math.floor(math.log(n) / math.log(100 / percent) - 1e-9)
+
+
+def _combinations(common: np.ndarray, band: int, percent: int) -> np.ndarray:
+    """One entry for each range of the order with shingles of ``common``; linked sets of this band and the one before share one."""
+    most = math.ceil((100 / percent) ** (band + 1)) + 1
+    differ = 2 * most * (100 - percent) // (100 + percent)
+    spare = 1 + differ // 8
+    parts = differ + 1 + spare
+    width = (1 << 64) // parts + 1
+    cuts = np.searchsorted(common, np.arange(1, parts, dtype=np.uint64) * np.uint64(width)) if parts > 1 else np.zeros(0, np.int64)
+    ends = np.concatenate((cuts, [len(common)]))
+    starts = np.concatenate(([0], cuts))
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(common ^ np.uint64(0xD6E8FEB86659FD93)), dtype=np.uint64)))
+    place = mix(np.arange(parts, dtype=np.uint64) + np.uint64((band + 2) << 32))
+    entries = mix(place + total[ends] - total[starts])
+    filled = ends > starts
+    return entries if parts - int(filled.sum()) > spare else entries[filled]
+
+
+def _entries(shingles: np.ndarray, frequent: np.ndarray | None, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The index entries of one set (see the module's text): single shingles, and combinations."""
     n = len(shingles)
     lost = n - _least_overlap(n, percent)
-    most = 100 * n // percent
-    foreign = most - _least_overlap(most, percent)
     often = _set_bits(frequent, _class(shingles))
     rare = shingles[~often][: lost + 1]
     if len(rare) > lost:
-        return rare
-    common = shingles[often][: 2 * (lost - len(rare)) + foreign + 2]
-    return np.concatenate((rare, mix(common[:-1] * np.uint64(0xD6E8FEB86659FD93) + mix(common[1:]))))
+        return rare, rare[:0]
+    common, band = shingles[often], _band(n, percent)
+    return rare, np.concatenate([_combinations(common, b, percent) for b in (band, band + 1)])
 
 
 def _summary(shingles: np.ndarray) -> bytes | None:
@@ -121,9 +147,9 @@ def _filtered(batch: pd.DataFrame, bitmap: np.ndarray) -> pd.DataFrame:
 
 
 def _indexed(docs: DataFrame, k: int, percent: int, often: Broadcast | None, wanted: Broadcast | None) -> DataFrame:
-    """One row per document: doc_id, node (name of its set), n_shingles, entries and summary.
+    """One row per document: doc_id, node (name of its set), n_shingles, entries, combinations and summary.
 
-    A task gives entries and summary of a set once. ``often``: frequent classes; ``wanted``: filter for documents.
+    A task gives entries, combinations and summary of a set once. ``often``: frequent classes; ``wanted``: filter for documents.
     """
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -135,16 +161,18 @@ def _indexed(docs: DataFrame, k: int, percent: int, often: Broadcast | None, wan
                 node = _identity(shingles) if len(shingles) else None
                 new = node is not None and len(shingles) > 1 and node not in seen
                 seen.add(node)
-                entries = _entries(shingles, often.value if often else None, percent).view(np.int64) if new else None
-                out.append((node, len(shingles), entries, _summary(shingles) if new else None))
-            names, sizes, entry_lists, summaries = zip(*out, strict=True) if out else ([],) * 4
+                singles, combined = _entries(shingles, often.value if often else None, percent) if new else (None, None)
+                lists = (singles.view(np.int64), combined.view(np.int64)) if new else (None, None)
+                out.append((node, len(shingles), *lists, _summary(shingles) if new else None))
+            names, sizes, singles, combined, summaries = zip(*out, strict=True) if out else ([],) * 5
             # integers with nulls would become floating point and lose digits
             yield pd.DataFrame({
                 "doc_id": batch["doc_id"].astype("Int64").array, "node": pd.array(list(names), dtype="Int64"),
-                "n_shingles": np.array(sizes, dtype=np.int64), "entries": pd.Series(list(entry_lists), dtype=object), "summary": pd.Series(list(summaries), dtype=object),
+                "n_shingles": np.array(sizes, dtype=np.int64), "entries": pd.Series(list(singles), dtype=object),
+                "combinations": pd.Series(list(combined), dtype=object), "summary": pd.Series(list(summaries), dtype=object),
             })
 
-    schema = "doc_id long, node long, n_shingles long, entries array<long>, summary binary"
+    schema = "doc_id long, node long, n_shingles long, entries array<long>, combinations array<long>, summary binary"
     return written(docs.select("doc_id", "text").mapInPandas(index, schema), "entries")
 
 
@@ -184,6 +212,63 @@ def _plausible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return written(found, "plausible")
 
 
+def _cell(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """The pairs (a, b) of one cell, from its two blocks or inside its only one, that may link and are still apart."""
+    rows = rows.sort_values("block", kind="stable")
+    blocks, sizes = rows["block"].to_numpy(), rows["n_shingles"].to_numpy()
+    nodes, groups = rows["node"].to_numpy(), rows["component"].to_numpy()
+    known = rows["summary"].notna().to_numpy()
+    counts = [np.frombuffer(x, np.uint8) for x in rows["summary"][known]]
+    classes = min((len(c) for c in counts), default=1)
+    table = np.zeros((len(rows), classes), dtype=np.uint16)
+    for at, c in zip(np.flatnonzero(known), counts, strict=True):
+        table[at] = c.reshape(-1, classes).sum(axis=0)
+    first = int(np.searchsorted(blocks, blocks[0], "right"))
+    one = bool(rows["same"].iloc[0])
+    lefts, rights = [], []
+    for i in range(first):
+        others = slice(i + 1 if one else first, len(rows))
+        most = np.minimum(table[i], table[others]).sum(axis=1, dtype=np.int64)
+        small, large = np.minimum(sizes[i], sizes[others]), np.maximum(sizes[i], sizes[others])
+        may = 100 * most >= percent * (small + large - most)
+        fits = (may | ~known[others] | ~known[i]) & (100 * small >= percent * large) & (groups[others] != groups[i])
+        other = nodes[others][fits]
+        lefts.append(np.minimum(other, nodes[i]))
+        rights.append(np.maximum(other, nodes[i]))
+    return pd.DataFrame({"a": np.concatenate(lefts), "b": np.concatenate(rights)})
+
+
+def _cell_pairs(apart: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) under a common entry that are apart and whose sizes and summaries allow a link.
+
+    The texts of an entry are dealt to blocks of about ``_BLOCK``, and any two blocks meet in a cell, so a hot entry spreads
+    over many tasks, and only pairs that may link leave them.
+    """
+
+    def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        open_cell = None
+        for batch in batches:
+            rows = batch if open_cell is None else pd.concat([open_cell, batch], ignore_index=True)
+            cells = rows["cell"].to_numpy()
+            cuts = [0, *(np.flatnonzero(cells[1:] != cells[:-1]) + 1)]
+            found = [_cell(rows.iloc[i:j], percent) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+            open_cell = rows.iloc[cuts[-1] :]
+            if found:
+                yield pd.concat(found, ignore_index=True)
+        if open_cell is not None and len(open_cell):
+            yield _cell(open_cell, percent)
+
+    many = F.ceil(F.col("size") / _BLOCK)
+    rows = apart.select("entry", "node", "component", many.alias("many"), F.pmod(F.xxhash64("node", "entry"), many).alias("block"))
+    rows = rows.join(nodes.select("node", "n_shingles", "summary"), "node")
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("many") - 1)))
+    cell = F.xxhash64("entry", F.least("block", "other"), F.greatest("block", "other"))
+    rows = rows.select(
+        cell.alias("cell"), "block", (F.col("block") == F.col("other")).alias("same"), "node", "component", "n_shingles", "summary"
+    )
+    return rows.repartition("cell").sortWithinPartitions("cell").mapInPandas(pairs, "a long, b long").distinct()
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -206,6 +291,12 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, perce
     return written(joined.select("a", "b", "left", "right").mapInPandas(keep, "a long, b long"), "links")
 
 
+def _bands(percent: int) -> Column:
+    """The size bands under which a set is indexed."""
+    band = F.floor(F.log(F.col("n_shingles")) / F.log(F.lit(100 / percent)) - 1e-9)
+    return F.array(band, band + 1)
+
+
 def _grouped(entries: DataFrame, groups: DataFrame | None) -> DataFrame:
     """Adds the component of each node; a node without links is its own."""
     if groups is None:
@@ -229,7 +320,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, frequent: in
     by_entry = Window.partitionBy("entry")
     low, high = F.min("component").over(by_entry), F.max("component").over(by_entry)
     often = wanted = groups = links = tried = None
-    for _ in range(ROUNDS):
+    for turn in range(ROUNDS):
         indexed = _indexed(docs, k, percent, often, wanted)
         if groups is None:
             every = indexed.select("doc_id", "node", "n_shingles")
@@ -237,13 +328,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, frequent: in
                 indexed.where("node is not null").groupBy("node")
                 .agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"), F.max("summary").alias("summary")), "nodes",
             )
-        band = F.floor(F.log(F.col("n_shingles")) / F.log(F.lit(100 / percent)) - 1e-9)
-        entries = indexed.select("node", band.alias("band"), F.explode("entries").alias("entry"))
-        entries = _grouped(entries, groups).withColumns({"low": low, "high": high}).where("low < high").drop("low", "high")
-        # linked sets have sizes of the same band or of neighbouring ones
-        bands = F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band")
-        entries = entries.distinct().select("node", "component", F.col("entry").alias("single"), bands)
-        entries = entries.select("node", "component", "single", F.xxhash64("single", "band").alias("entry"))
+        single = indexed.select("node", _bands(percent).alias("bands"), F.explode("entries").alias("single"))
+        # a combination belongs to one band already
+        combined = indexed.select("node", F.explode("combinations").alias("entry"))
+        combined = combined.distinct().select("node", F.lit(None).cast("long").alias("single"), "entry")
+        alike = _grouped(single, groups).select("*", F.col("single").alias("entry"))
+        alike = alike.withColumns({"low": low, "high": high}).where("low < high").drop("low", "high", "entry", "component").distinct()
+        alike = alike.select("node", "single", F.explode("bands").alias("band"))
+        alike = alike.select("node", "single", F.xxhash64("single", "band").alias("entry"))
+        entries = _grouped(alike.unionByName(combined), groups)
         entries = entries.withColumns({"low": low, "high": high}).where("low < high").drop("low", "high")
         entries = written(entries, "entries-apart")
         # two leaders of each entry: one of the first group, and any
@@ -261,16 +354,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, frequent: in
         apart = written(apart.where("low < high").drop("low", "high"), "apart")
         some = apart.select("node").distinct().join(nodes.where("doc_id is not null"), "node").select("doc_id")
         wanted = _bitmap(some, _FILTER_BITS, _position)
-        common = apart.where(F.col("size") >= frequent).select("single").distinct()
-        often = _bitmap(common, CLASSES, _class, often)
-
-    left = apart.join(nodes.select("node", "n_shingles"), "node").select(
-        "entry", F.col("node").alias("a"), F.col("n_shingles").alias("m"), F.col("component").alias("c")
-    )
-    right = left.select("entry", F.col("a").alias("b"), F.col("m").alias("n"), F.col("c").alias("d"))
-    fits = f"a < b and c <> d and 100 * least(m, n) >= {percent} * greatest(m, n)"
-    pairs = left.join(right, "entry").where(fits).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-    more = _verified(_plausible(pairs, nodes, percent), docs, nodes, k, percent)
+        if turn + 2 < ROUNDS:
+            common = apart.where((F.col("size") >= frequent) & F.col("single").isNotNull()).select("single").distinct()
+            often = _bitmap(common, CLASSES, _class, often)
+        else:
+            often = docs.sparkSession.sparkContext.broadcast(np.full(CLASSES >> 6, -1, dtype=np.int64))
+
+    pairs = _cell_pairs(apart, nodes, percent).join(tried, ["a", "b"], "left_anti")
+    more = _verified(written(pairs, "plausible"), docs, nodes, k, percent)
     final = components(links.unionByName(more), "a", "b")
 
     named = every.join(final, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component"))
