@@ -1,12 +1,12 @@
-"""Language-model scores from a weighted backoff automaton.
+"""Language-model scores from a weighted backoff automaton over all n-grams.
 
-Discounted n-grams become states. A state has an arc for each retained continuation and one failure arc to the
-state of its longest proper suffix, weighted with what the discounts left over. A text is read once from left to
-right, carrying the state and adding log probabilities.
+Discounted n-grams are states. A state has an arc for each continuation in the training texts and one failure arc to
+the state of its longest proper suffix, weighted with what the discounts left over. No n-gram is pruned.
 
-The automaton holds the n-grams that make up a fixed share of the training tokens (``SHARES``), so its size has a
-bound at any corpus size. All other words are counted too: reading leaves their number in the text, and their
-unigram log probabilities, which the counts of the whole corpus give, are added by an equi-join on the word.
+The automaton is never in one place. The words of all texts are dealt by the hash of the two words before them, so a
+task has all arcs of its contexts and answers, for each text, those words that a trigram arc reads. Words that take
+a failure arc go on as rows, and are joined with bigram arcs, backoff weights and unigrams. ``build`` makes the same
+automaton in memory from given counts; tests compare both.
 """
 
 from __future__ import annotations
@@ -17,15 +17,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkveil.llm.common import fold, small_batches, written
 from inkveil.llm.shingles import mix, words
 
-#: A word of an n-gram of order o needs this share of all training tokens; an n-gram needs the first share.
-#: At most 1 / share words and n-grams of each order can have it.
-SHARES = (1e-6, 1e-5, 1e-4)
+#: Words with this share of all training tokens, at most 1 / share, have their counts broadcast; others are joined.
+SHARE = 1e-6
+#: What is taken off each count of a bigram or trigram; words of one bucket; distinct bigrams that a task adds up.
+DISCOUNT, _BUCKET, _TYPES = 0.75, 1 << 20, 1 << 21
 END, START = -1, -2
 _LOG10 = np.log(10)
 
@@ -69,39 +71,44 @@ def _word_counts(train: DataFrame) -> DataFrame:
     return written(parts.groupBy("word").agg(F.sum("count").alias("count")), "words")
 
 
-def _lookup(table: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Positions in a sorted table, -1 for values that aren't there."""
-    if not len(table):
-        return np.full(len(values), -1)
-    at = np.minimum(np.searchsorted(table, values), len(table) - 1)
-    return np.where(table[at] == values, at, -1)
+def _pair(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """64-bit names of pairs of words."""
+    return mix(mix(left.view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15) + right.view(np.uint64)).view(np.int64)
 
 
-def _ngram_counts(train: DataFrame, frequent: np.ndarray, limits: list[int]) -> DataFrame:
-    """order, gram (word numbers in base 2**20), count. Words of order o have numbers below limits[o - 1]."""
-    spark = train.sparkSession
-    shared = spark.sparkContext.broadcast((np.argsort(frequent), np.sort(frequent)))
+#: The context of the first word of a text; its arcs are the bigrams after START.
+_FIRST = int(_pair(np.array([START]), np.array([START]))[0])
+
+
+def _bigrams(streams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text number, word before and word, of each word of each text and of its end."""
+    before = np.concatenate([x for s in streams for x in ([START], s)] or [[]]).astype(np.int64)
+    word = np.concatenate([x for s in streams for x in (s, [END])] or [[]]).astype(np.int64)
+    return np.repeat(np.arange(len(streams)), [len(s) + 1 for s in streams]), before, word
+
+
+def _bigram_counts(train: DataFrame) -> DataFrame:
+    """low (name of the bigram), before, word, count over all training tokens."""
+
+    def merged(waiting: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+        low, before, word, n = (np.concatenate(x) for x in zip(*waiting, strict=True))
+        low, first, at = np.unique(low, return_index=True, return_inverse=True)
+        return low, before[first], word[first], np.bincount(at, weights=n).astype(np.int64)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        numbers, table = shared.value
         waiting = []
         for batch in batches:
-            streams = list(_streams(list(batch["text"])))
-            flat = np.concatenate([x for s in streams for x in ([START], s, [END])] or [np.zeros(0, np.int64)]).astype(np.int64)
-            at = _lookup(table, flat)
-            number = np.where(at >= 0, numbers[at] if len(numbers) else 0, 1 << 20).astype(np.int64)
-            # nothing continues after the end
-            ended = flat == END
-            two = (number[:-1] < limits[1]) & (number[1:] < limits[1]) & ~ended[:-1]
-            keys = [((number[:-1] << 20) | number[1:])[two]]
-            three = two[:-1] & two[1:] & (number[:-2] < limits[2]) & (number[1:-1] < limits[2]) & (number[2:] < limits[2])
-            keys.append((1 << 62) | ((number[:-2] << 40) | (number[1:-1] << 20) | number[2:])[three])
-            waiting = _merged([*waiting, _counted(np.concatenate(keys))], 8)
-        for found, n in _merged(waiting, 1):
-            yield pd.DataFrame({"gram": found, "count": n})
+            _, before, word = _bigrams(list(_streams(list(batch["text"]))))
+            waiting.append((_pair(before, word), before, word, np.ones(len(word), np.int64)))
+            if sum(len(w[0]) for w in waiting) >= _TYPES:
+                waiting = [merged(waiting)]
+                if len(waiting[0][0]) >= _TYPES // 2:
+                    yield pd.DataFrame(dict(zip(("low", "before", "word", "count"), waiting.pop(), strict=True)))
+        if waiting:
+            yield pd.DataFrame(dict(zip(("low", "before", "word", "count"), merged(waiting), strict=True)))
 
-    parts = train.select("text").mapInPandas(count, "gram long, count long")
-    return parts.groupBy("gram").agg(F.sum("count").alias("count"))
+    parts = train.select("text").mapInPandas(count, "low long, before long, word long, count long")
+    return written(parts.groupBy("low", "before", "word").agg(F.sum("count").alias("count")), "bigrams")
 
 
 @dataclass
@@ -151,8 +158,8 @@ class Unigrams:
         return np.log(np.where(count > 0, (count - self.discount) / max(self.tokens, 1), max(unseen, 1e-300)))
 
 
-def build(frequent: np.ndarray, counts: np.ndarray, grams: pd.DataFrame, unigrams: Unigrams, d: float = 0.75) -> Automaton:
-    """``frequent``: END, START, and words by falling count; ``grams``: the retained rows of ``_ngram_counts``."""
+def build(frequent: np.ndarray, counts: np.ndarray, grams: pd.DataFrame, unigrams: Unigrams, d: float = DISCOUNT) -> Automaton:
+    """``frequent``: END, START, and words by falling count; ``grams``: gram (word numbers in base 2**20, plus 2**62 for three) and count."""
     own = unigrams.log(counts)
     numbers = {int(w): i for i, w in enumerate(frequent) if w != START and counts[i] > 0}
     base = {i: own[i] for i in numbers.values()}
@@ -210,66 +217,190 @@ def build(frequent: np.ndarray, counts: np.ndarray, grams: pd.DataFrame, unigram
     return Automaton(numbers, arcs, weights, targets, failure, backoff, state_of.get((1,), 0))
 
 
-def score(docs: DataFrame, held_out: int = 1, folds: int = 5, shares: tuple[float, float, float] = SHARES) -> DataFrame:
+_META = "doc_id long, held_out boolean, n_tokens long, frequent long, base double, rare array<long>, times array<long>"
+_DEALT = f"batch long, bucket long, contexts binary, lows binary, places binary, pairs binary, held binary, text int, {_META}"
+_SETTLED = f"batch long, text int, total double, ctx long, low long, before long, word long, left double, {_META}"
+
+
+def _typed(rows: pd.DataFrame, schema: str) -> pd.DataFrame:
+    """The columns of ``schema``; integers with nulls would become floating point and lose digits."""
+    kinds = {"long": "Int64", "int": "Int32", "double": "Float64", "boolean": "boolean"}
+    fields = dict(x.split() for x in schema.split(", "))
+    rows = rows.reindex(columns=list(fields))
+    rows = rows.astype({c: kinds.get(kind, object) for c, kind in fields.items()})
+    for c, kind in fields.items():
+        if kind not in kinds:
+            rows[c] = rows[c].where(rows[c].notna(), None)
+    return rows
+
+
+def _settled(batch: np.ndarray, text: np.ndarray, held: np.ndarray, ctx: np.ndarray, low: np.ndarray, pairs: np.ndarray) -> Iterator[pd.DataFrame]:
+    """What a bucket knows: total of each text over trigram arcs; words that take a failure arc; arcs of the contexts they leave.
+
+    ``pairs``: the bigrams (before, word) of the words of held-out texts.
+    """
+    order = np.lexsort((low, ctx))
+    new_ctx = np.concatenate(([True], np.diff(ctx[order]) != 0))
+    new_gram = new_ctx | np.concatenate(([True], np.diff(low[order]) != 0))
+    gram, context = np.empty(len(order), np.int64), np.cumsum(new_ctx)[new_gram] - 1
+    gram[order] = np.cumsum(new_gram) - 1
+    n = np.bincount(gram[~held], minlength=len(context))
+    seen = np.bincount(context, weights=n)
+    arcs = np.bincount(context, weights=n > 0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        p = np.where(n > 0, np.log((n - DISCOUNT) / seen[context]), 0.0)
+    of, at = _texts(batch, text)
+    yield pd.DataFrame({"batch": of[0], "text": of[1], "total": np.bincount(at, weights=p[gram])})
+    missed = n[gram] == 0
+    leaves = (seen[context[gram[missed]]] > 0) & (ctx[missed] != _FIRST)
+    name = pd.array(ctx[missed], dtype="Int64")
+    name[~leaves] = pd.NA
+    found = pairs[missed[held]]
+    yield pd.DataFrame({
+        "batch": batch[missed], "text": text[missed], "ctx": name, "low": low[missed], "before": found[:, 0], "word": found[:, 1],
+    })
+    left = np.zeros(len(seen), dtype=bool)
+    left[context[gram[missed]][leaves]] = True
+    kept = np.flatnonzero(left[context] & (n > 0))
+    one = order[new_gram][kept]
+    c = context[kept]
+    yield pd.DataFrame({"ctx": ctx[one], "low": low[one], "left": DISCOUNT * arcs[c] / seen[c]})
+
+
+def _texts(batch: np.ndarray, text: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
+    """The distinct (batch, text), and the number of each row's."""
+    batches, b = np.unique(batch, return_inverse=True)
+    keys, at = np.unique(b << 16 | text, return_inverse=True)
+    return (batches[keys >> 16], keys & 0xFFFF), at
+
+
+def score(docs: DataFrame, held_out: int = 1, folds: int = 5, share: float = SHARE) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of ``docs`` (doc_id, text).
 
     Learned from all texts outside the held-out fold. Null texts are empty and have the end as their only token.
     Without training texts every token is unseen; probabilities are then 1, as there is one type only. Repeated
-    rows are scored each for itself. Other columns are ignored. Scores are log10 probabilities.
+    rows are scored each for itself. Other columns are ignored. Scores are log10 probabilities. ``share`` moves work
+    between broadcast and join and changes no score.
     """
     small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text", (fold(F.col("doc_id"), folds) == held_out).alias("held_out"))
     train = docs.where("not held_out")
     counts = _word_counts(train)
-    n, types, once, twice = counts.agg(
-        F.coalesce(F.sum("count"), F.lit(0)), F.count("*"), F.count_if(F.col("count") == 1), F.count_if(F.col("count") == 2)
+    n, types, once, twice, texts = counts.agg(
+        F.coalesce(F.sum("count"), F.lit(0)), F.count("*"), F.count_if(F.col("count") == 1), F.count_if(F.col("count") == 2),
+        F.coalesce(F.sum(F.when(F.col("word") == END, F.col("count"))), F.lit(0)),
     ).first()
     unigrams = Unigrams(n, types, once / (once + 2 * twice) if once and twice else 0.5)
-    least = max(2, int(np.ceil(shares[0] * n)))
-    often = counts.where((F.col("count") >= least) | (F.col("word") == END)).orderBy(F.desc("count"), "word").toPandas()  # at most 1 / share
-    texts = int(often.loc[often["word"] == END, "count"].sum())
-    often = often[often["word"] != END]
-    frequent = np.concatenate(([END, START], often["word"].to_numpy(np.int64)))
-    tally = np.concatenate(([texts, texts], often["count"].to_numpy(np.int64)))
-    limits = [2 + int((often["count"] >= share * n).sum()) for share in shares]
-    grams = _ngram_counts(train, frequent, limits)
-    grams = grams.where(F.col("count") >= least).orderBy("gram").toPandas()  # at most 1 / share of each order
-    model = build(frequent, tally, grams, unigrams)
-    known = {int(w): int(c) for w, c in zip(frequent, tally, strict=True) if w != START and c}
-    shared = docs.sparkSession.sparkContext.broadcast((model, known))
+    least = max(2, int(np.ceil(share * n)))
+    is_often = (F.col("count") >= least) | (F.col("word") == END)
+    often = counts.where(is_often).toPandas()  # at most 1 / share
+    shared = docs.sparkSession.sparkContext.broadcast(dict(zip(often["word"].tolist(), often["count"].tolist(), strict=True)))
     scale = n + 0.5 * (types + 1)
+    buckets = -(-n // _BUCKET) + 8
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        automaton, table = shared.value
-        base_of = {w: float(np.log((c + 0.5) / scale)) for w, c in table.items()}
-        for batch in batches:
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        base_of = {w: float(np.log((c + 0.5) / scale)) for w, c in shared.value.items()}
+        task = TaskContext.get().partitionId() << 32
+        for number, batch in enumerate(batches, task):
+            streams = list(_streams(list(batch["text"])))
             out = []
-            for stream in _streams(list(batch["text"])):
-                total, rare = automaton.read(stream)
+            for stream in streams:
                 seen = Counter(stream.tolist())
+                rare = {w: t for w, t in seen.items() if w not in base_of}
                 base = base_of.get(END, 0.0) + sum(base_of[w] * t for w, t in seen.items() if w in base_of)
-                left = Counter(rare)
-                out.append((len(stream) + 1, len(stream) + 1 - len(rare), base, total, list(left), list(left.values())))
-            found = pd.DataFrame(out, columns=["n_tokens", "frequent", "base", "total", "rare", "times"])
-            yield pd.concat([batch[["doc_id", "held_out"]].reset_index(drop=True), found], axis=1)
-
-    schema = "doc_id long, held_out boolean, n_tokens long, frequent long, base double, total double, rare array<long>, times array<long>"
-    rows = written(docs.mapInPandas(read, schema).withColumn("row", F.monotonically_increasing_id()), "read")
-    rare = rows.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("row", "r.rare", "r.times")
-    table = counts.where((F.col("count") < least) & (F.col("word") != END)).select(F.col("word").alias("rare"), "count")
+                known = len(stream) + 1 - sum(rare.values())
+                out.append((len(stream) + 1, known, base, list(rare), list(rare.values())))
+            found = pd.DataFrame(out, columns=["n_tokens", "frequent", "base", "rare", "times"])
+            meta = pd.concat([batch[["doc_id", "held_out"]].reset_index(drop=True), found], axis=1)
+            meta["doc_id"] = meta["doc_id"].astype("Int64")
+            place, before, word = _bigrams(streams)
+            low = _pair(before, word)
+            first = before == START
+            ctx = np.where(first, _FIRST, np.concatenate(([0], low[:-1])))
+            held = batch["held_out"].to_numpy(bool)[place]
+            bucket = (mix(ctx.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            ends = np.flatnonzero(np.diff(bucket[order])) + 1
+            rows = [
+                (int(bucket[i[0]]), ctx[i].tobytes(), low[i].tobytes(), place[i].astype(np.uint16).tobytes(),
+                 np.stack([before[i], word[i]], axis=1)[held[i]].tobytes(), np.packbits(held[i]).tobytes())
+                for i in np.split(order, ends) if len(i)
+            ]
+            dealt = pd.DataFrame(rows, columns=["bucket", "contexts", "lows", "places", "pairs", "held"])
+            # texts go along with their batch, negative buckets
+            both = pd.concat([dealt, meta.assign(bucket=-1 - number % buckets, text=np.arange(len(meta)))], ignore_index=True)
+            both["batch"] = number
+            yield _typed(both, _DEALT)
+
+    def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        waiting: list[tuple] = []
+        for batch in batches:
+            meta = batch["bucket"] < 0
+            if meta.any():
+                yield _typed(batch[meta], _SETTLED)
+            for row in batch.loc[~meta, ["bucket", "batch", "contexts", "lows", "places", "pairs", "held"]].itertuples(index=False):
+                if waiting and waiting[0][0] != row.bucket:
+                    yield from answered(waiting)
+                    waiting = []
+                waiting.append(tuple(row))
+        if waiting:
+            yield from answered(waiting)
+
+    def answered(rows: list[tuple]) -> Iterator[pd.DataFrame]:
+        sizes = [len(r[4]) // 2 for r in rows]
+        ctx, low, text = (np.frombuffer(b"".join(r[i] for r in rows), kind) for i, kind in ((2, np.int64), (3, np.int64), (4, np.uint16)))
+        pairs = np.frombuffer(b"".join(r[5] for r in rows), np.int64).reshape(-1, 2)
+        held = np.concatenate([np.unpackbits(np.frombuffer(r[6], np.uint8), count=k) for r, k in zip(rows, sizes, strict=True)]).astype(bool)
+        for part in _settled(np.repeat([r[1] for r in rows], sizes), text.astype(np.int64), held, ctx, low, pairs):
+            for at in range(0, len(part), 1 << 16):
+                yield _typed(part.iloc[at : at + (1 << 16)], _SETTLED)
+
+    dealt = docs.mapInPandas(deal, _DEALT).repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    settled = written(dealt.mapInPandas(settle, _SETTLED), "settled")
+    rows = settled.where("n_tokens is not null").select("batch", "text", *[x.split()[0] for x in _META.split(", ")])
+    bigrams = _bigram_counts(train)
+    start = docs.sparkSession.createDataFrame([(START, texts)], "word long, count long")
+    before = counts.unionByName(start).select(F.col("word").alias("before"), F.col("count").alias("before_count"))
+    arcs = bigrams.join(before, "before").select("low", "before", "word", ((F.col("count") - DISCOUNT) / F.col("before_count")).alias("p"))
+    own = (F.col("count") - unigrams.discount) / max(n, 1)
+    rest = lambda left, covered: F.log(F.greatest(left, F.lit(1e-9)) / F.greatest(1 - covered, F.lit(1e-9)))
+    of_words = (
+        arcs.join(counts, "word").groupBy("before")
+        .agg(rest(1 - F.sum("p"), F.sum(own)).alias("word_backoff"))
+    )
+    of_pairs = (
+        settled.where("left is not null").select("ctx", "low", "left").join(arcs.select("low", "p"), "low")
+        .groupBy("ctx").agg(rest(F.first("left"), F.sum("p")).alias("pair_backoff"))
+    )
+    failed = settled.where("batch is not null and low is not null").select("batch", "text", "ctx", "low", "before", "word")
+    unseen = max(unigrams.discount * types / max(n, 1), 1e-300) if n else 1.0
+    down = (
+        failed.join(of_pairs, "ctx", "left").join(arcs.select("low", "p"), "low", "left")
+        .select("batch", "text", "before", "word", "p", F.coalesce("pair_backoff", F.lit(0.0)).alias("pair_backoff"))
+    )
+    down = written(down, "failed")
+    zero = F.lit(0.0)
+    ended = down.where("p is not null").select("batch", "text", (F.col("pair_backoff") + F.log("p")).alias("total"))
+    lowest = down.where("p is null").join(of_words, "before", "left").join(counts, "word", "left").select(
+        "batch", "text",
+        (F.col("pair_backoff") + F.coalesce("word_backoff", zero) + F.log(F.coalesce(own, F.lit(unseen)))).alias("total"),
+    )
+    totals = settled.where("total is not null").select("batch", "text", "total").unionByName(ended).unionByName(lowest)
+    totals = totals.groupBy("batch", "text").agg(F.sum("total").alias("total"))
+    rare = rows.select("batch", "text", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("batch", "text", "r.rare", "r.times")
+    table = counts.where(~is_often).select(F.col("word").alias("rare"), "count")
     seen = F.coalesce("count", F.lit(0))
-    own = F.when(seen > 0, (seen - unigrams.discount) / max(n, 1)).otherwise(max(unigrams.discount * types / max(n, 1), 1e-300) if n else 1.0)
-    rest = (
+    more = (
         rare.join(table, "rare", "left")
-        .groupBy("row").agg(
+        .groupBy("batch", "text").agg(
             F.sum(F.when(seen > 0, F.col("times")).otherwise(0)).alias("more_known"),
             F.sum(F.col("times") * F.log((seen + 0.5) / F.lit(float(scale)))).alias("more_base"),
-            F.sum(F.col("times") * F.log(own)).alias("more"),
         )
     )
-    joined = rows.drop("rare", "times").join(rest, "row", "left").fillna(0, ["more_known", "more_base", "more"])
+    joined = rows.drop("rare", "times").join(totals, ["batch", "text"], "left").join(more, ["batch", "text"], "left")
+    joined = joined.fillna(0, ["more_known", "more_base", "total"])
     return joined.select(
         "doc_id", "held_out", "n_tokens", (F.col("frequent") + F.col("more_known")).cast("long").alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
-        ((F.col("base") + F.col("more_base")) / _LOG10).alias("base_score"), ((F.col("total") + F.col("more")) / _LOG10).alias("score"),
+        ((F.col("base") + F.col("more_base")) / _LOG10).alias("base_score"), (F.col("total") / _LOG10).alias("score"),
     )

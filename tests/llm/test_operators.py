@@ -300,3 +300,29 @@ def test_pipeline_keeps_clean_documents(spark, tmp_path):
     spark.createDataFrame([(i, 0) for i in range(40)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted({r["doc_id"] for r in got}) == list(range(40))
+
+
+def test_backoff_reads_every_ngram(spark):
+    rng = np.random.default_rng(3)
+    vocabulary = [f"w{i}" for i in range(60)]
+    texts = [" ".join(rng.choice(vocabulary, rng.integers(0, 60))) for _ in range(40)] + ["rare pair of words once", "rare pair of words twice new"]
+    held = [crc32(str(i).encode()) % 5 == 1 for i in range(len(texts))]
+    out = {r["doc_id"]: r["score"] for r in backoff_lm.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    streams = list(backoff_lm._streams(texts))
+    train = [s.tolist() for s, h in zip(streams, held, strict=True) if not h]
+    counts = Counter(w for s in train for w in [*s, backoff_lm.END])
+    frequent = [backoff_lm.END, backoff_lm.START, *(w for w in counts if w != backoff_lm.END)]
+    number = {w: i for i, w in enumerate(frequent)}
+    grams = Counter()
+    for s in train:
+        at = [number[w] for w in [backoff_lm.START, *s, backoff_lm.END]]
+        grams.update(a << 20 | b for a, b in zip(at, at[1:], strict=False))
+        grams.update(1 << 62 | a << 40 | b << 20 | c for a, b, c in zip(at, at[1:], at[2:], strict=False))
+    once, twice = (sum(c == k for c in counts.values()) for k in (1, 2))
+    unigrams = backoff_lm.Unigrams(sum(counts.values()), len(counts), once / (once + 2 * twice) if once and twice else 0.5)
+    tally = np.array([len(train), len(train), *(counts[w] for w in frequent[2:])])
+    model = backoff_lm.build(np.array(frequent), tally, pd.DataFrame({"gram": list(grams), "count": list(grams.values())}), unigrams)
+    unseen = float(unigrams.log(np.array([0]))[0])
+    for i, stream in enumerate(streams):
+        total, rare = model.read(stream)
+        assert out[i] == pytest.approx((total + unseen * len(rare)) / math.log(10)), i
