@@ -20,18 +20,21 @@ from inkveil.llm.common import written
 
 #: Vectors of a shard, and queries that meet it together.
 SHARD, BLOCK = 2048, 256
-#: Sums of products stay exact in 64 bits below this size of a component.
-LARGEST = 1 << 26
+
+
+def _largest(vectors: np.ndarray) -> int:
+    """The largest size of a component; that of the least 64-bit number has no 64-bit number."""
+    return max(int(vectors.max()), -int(vectors.min())) if vectors.size else 0
 
 
 class Shard:
-    """Vectors of one shard by row, and their postings."""
+    """Vectors of one shard by row, and their postings. ``largest``: size of a component of its queries at most."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, largest: int):
         order = np.argsort(ids, kind="stable")
-        # doubles are exact here and multiply faster, unless components are very large
-        largest = max(1, int(np.abs(vectors).max(initial=0)))
-        self.kind = np.float64 if largest**2 * vectors.shape[1] < 1 << 52 else np.int64
+        # doubles are exact here and multiply fastest; Python's integers hold what 64 bits don't
+        most = max(1, _largest(vectors), largest) ** 2 * vectors.shape[1]
+        self.kind = np.float64 if most < 1 << 52 else np.int64 if most < 1 << 62 else object
         self.ids, self.vectors = ids[order], vectors[order].astype(self.kind)
         self.postings = []
         for d in range(vectors.shape[1]):
@@ -86,7 +89,8 @@ class Shard:
                 rows, score = rows[fits], score[fits]
             part = others[at : at + 8]
             score = score + self.vectors[np.ix_(rows, part)] @ query[part]
-        top = np.lexsort((self.ids[rows], -score))[:k]
+        # rows are in the order of their ids
+        top = np.argsort(-score, kind="stable")[:k]
         return self.ids[rows][top], score[top].astype(np.int64)
 
 
@@ -95,33 +99,35 @@ def _packed(vectors: DataFrame, groups: int, size: int) -> DataFrame:
 
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
         matrix = np.array(rows["vector"].tolist(), dtype=np.int64).reshape(len(rows), size)
-        least = np.int16 if len(matrix) == 0 or np.abs(matrix).max() < 1 << 15 else np.int64
+        least = np.int16 if _largest(matrix) < 1 << 15 else np.int64
         ids = rows["id"].to_numpy(np.int64)
         return pd.DataFrame({
             "group": rows["group"][:1], "ids": [ids.tobytes()], "matrix": [matrix.astype(least).tobytes()], "wide": [least is np.int64],
         })
 
-    dealt = vectors.withColumn("group", F.pmod(F.xxhash64("id"), F.lit(groups)))
+    dealt = vectors.withColumn("group", F.pmod(F.xxhash64("row"), F.lit(groups)))
     return dealt.groupBy("group").applyInPandas(pack, "group long, ids binary, matrix binary, wide boolean")
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` rows of ``vectors`` (id, vector array<long>) with the largest product.
 
-    Queries are the rows for which ``is_query`` (over id) holds; candidates are all rows but the query's own. Ties go
-    to smaller ids. Rows with a null id, a null vector, null components or components beyond ``LARGEST`` take no
-    part. An id given more than once counts once, with its smallest vector. Shorter vectors are filled up with
-    zeros; an empty vector scores 0. Other columns are ignored. Every shard returns its own k best of each query.
+    Queries are the rows for which ``is_query`` (over id) holds; candidates are all rows with another id. Every row
+    counts: a repeated id is as many candidates, and the queries of one id share its ranks, as in the registered SQL. Ties go
+    to smaller ids. Rows with a null id, a null vector or null components take no part. Shorter vectors are filled
+    up with zeros; an empty vector scores 0. Other columns are ignored. Products are exact at any size; a score
+    among the best of a shard that 64 bits can't hold is an error, as it is in SQL. Every shard returns its own k best
+    of each query.
     """
-    usable = "id is not null and vector is not null and not exists(vector, x -> x is null or x > {0} or x < -{0})"
-    rows = vectors.select(F.col("id").cast("long").alias("id"), "vector").where(usable.format(LARGEST))
+    usable = "id is not null and vector is not null and not exists(vector, x -> x is null)"
+    rows = vectors.select(F.col("id").cast("long").alias("id"), "vector").where(usable)
     size = F.max(F.size("vector"))
-    rows = rows.groupBy("id").agg(F.min("vector").alias("vector"))
     counts = rows.agg(size, F.count("*"), F.count_if(is_query)).first()
     width, n, n_queries = counts[0] or 1, counts[1], counts[2]
     width = max(1, width)
     filled = f"concat(vector, array_repeat(0L, {width} - size(vector)))"
-    rows = written(rows.select("id", F.expr(filled).alias("vector")), "vectors")
+    numbered = F.monotonically_increasing_id().alias("row")
+    rows = written(rows.select("id", F.expr(filled).alias("vector"), numbered), "vectors")
     shards, blocks = max(1, -(-n // SHARD)), max(1, -(-n_queries // BLOCK))
     left = _packed(rows, shards, width).select(
         F.col("group").alias("shard"), "ids", "matrix", "wide", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
@@ -137,9 +143,10 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples():
-                shard = Shard(np.frombuffer(row.ids, np.int64), matrix(row.matrix, row.wide))
+                queries = matrix(row.q_matrix, row.q_wide)
+                shard = Shard(np.frombuffer(row.ids, np.int64), matrix(row.matrix, row.wide), _largest(queries))
                 found = []
-                for own, query in zip(np.frombuffer(row.q_ids, np.int64).tolist(), matrix(row.q_matrix, row.q_wide), strict=True):
+                for own, query in zip(np.frombuffer(row.q_ids, np.int64).tolist(), queries, strict=True):
                     ids, scores = shard.best(query, own, k)
                     found.append(pd.DataFrame({"query_id": own, "vec_id": ids, "score": scores}))
                 yield pd.concat(found)
@@ -151,8 +158,17 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
 
 
 def quantised(embeddings: DataFrame) -> DataFrame:
-    """id and vector of floor(64 * component); vectors with null or non-finite components are left out."""
+    """id and vector of floor(64 * component); vectors with null or non-finite components are left out.
+
+    A product beyond 64 bits is an error, as it is in SQL.
+    """
     finite = "not exists(embedding, x -> x is null or isnan(x) or abs(x) = double('Infinity'))"
+
+    def whole(x: Column) -> Column:
+        y = x.cast("double") * 64
+        fits = (y >= -(2.0**63)) & (y < 2.0**63)
+        return F.when(fits, F.floor(y).cast("long")).otherwise(F.raise_error(F.lit("a component is beyond 64 bits")).cast("long"))
+
     return embeddings.where("embedding is not null").where(finite).select(
-        F.col("vec_id").alias("id"), F.transform("embedding", lambda x: F.floor(x.cast("double") * 64).cast("long")).alias("vector")
+        F.col("vec_id").alias("id"), F.transform("embedding", whole).alias("vector")
     )

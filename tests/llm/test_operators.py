@@ -326,3 +326,25 @@ def test_backoff_reads_every_ngram(spark):
     for i, stream in enumerate(streams):
         total, rare = model.read(stream)
         assert out[i] == pytest.approx((total + unseen * len(rare)) / math.log(10)), i
+
+
+def test_top_k_counts_every_row_and_any_size(spark):
+    rng = np.random.default_rng(5)
+    data = [(i % 50, [float(np.float32(x)) for x in v]) for i, v in enumerate(rng.normal(0, 1, (120, 4)))]
+    data += [(60, [0.5, 0.25, -1.0, 2.0])] * 3 + [(61, [float(1 << 24), 0.0, -float(1 << 22), 1.0]), (62, [-float(1 << 25), 3.0, 0.0, 0.5]), (80, [float(1 << 23)] * 4)]
+    frame = spark.createDataFrame(data, "vec_id long, embedding array<float>")
+    rows = maxscore.top_k(maxscore.quantised(frame), F.col("id") % 20 == 0, 20).collect()
+    vectors = [(i, [math.floor(64 * x) for x in v]) for i, v in data]
+    want = []
+    for q in {i for i, _ in vectors if i % 20 == 0}:
+        pairs = [(-sum(a * b for a, b in zip(x, y, strict=True)), j) for i, x in vectors if i == q for j, y in vectors if j != q]
+        want += [(q, n, j, -s) for n, (s, j) in enumerate(sorted(pairs)[:20], 1)]
+    assert sorted(tuple(r) for r in rows) == sorted(want)
+
+
+def test_shards_hold_numbers_beyond_64_bits():
+    vectors = np.array([[-(1 << 63), 1], [(1 << 62), -(1 << 62)], [3, 4]])
+    shard = maxscore.Shard(np.array([5, 6, 7]), vectors, 1 << 62)
+    assert shard.kind is object
+    ids, scores = shard.best(np.array([1, 2]), 9, 3)
+    assert (ids.tolist(), scores.tolist()) == ([7, 6, 5], [11, -(1 << 62), 2 - (1 << 63)])
