@@ -8,16 +8,12 @@ from pyspark.sql import functions as F
 from inkveil.llm import jaccard_join, language_mixture, packing, toxicity
 from inkveil.llm.common import fold, table, written
 
-#: Least share of the main language in a text that stays.
-LEAST_SHARE = 0.5
-
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents with letters and a main language."""
+    """Keep documents with letters, whatever share of them their main language has."""
     names, logp = language_mixture.fit(docs.where(fold(F.col("doc_id"), 4) != 2))
     known = language_mixture.predict(docs, names, logp)
-    kept = (F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)
-    return known.where(kept).select(docs.columns)
+    return known.where("lang_pred <> 'und'").select(docs.columns)
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,10 +24,20 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each group of near duplicates, and one row of it."""
-    groups = jaccard_join.near_duplicates(docs)
-    gone = groups.where("doc_id <> component_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Keep one row of each group of near duplicates, whatever their ids: the one with the smallest id, null ids last.
+
+    Texts without words are duplicates only if their ids are equal as well.
+    """
+    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    keyed = rows.select(F.col("__row").alias("doc_id"), "text")
+    groups = jaccard_join.near_duplicates(keyed).withColumnRenamed("doc_id", "__row")
+    alike = groups.join(rows.select("__row", "doc_id", "text"), "__row").select(
+        "__row", "doc_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("component"),
+        F.when(F.col("n_shingles") == 0, F.struct("doc_id", "text")).alias("blank"),
+    )
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row"))["__row"]
+    kept = alike.groupBy("component", "blank").agg(first.alias("__row")).select("__row")
+    return rows.join(kept, "__row", "left_semi").select(docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -348,3 +348,23 @@ def test_shards_hold_numbers_beyond_64_bits():
     assert shard.kind is object
     ids, scores = shard.best(np.array([1, 2]), 9, 3)
     assert (ids.tolist(), scores.tolist()) == ([7, 6, 5], [11, -(1 << 62), 2 - (1 << 63)])
+
+
+def test_pipeline_keeps_one_row_of_each_text(spark):
+    import corpus_pipeline
+
+    other = " ".join(f"quite{i} different{i}" for i in range(40))
+    rows = [(1, COPY), (1, COPY), (2, COPY), (2, other), (None, other), (None, COPY), (None, "a b c d e"), (None, "a b c d e"), (4, ""), (4, ""), (5, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = corpus_pipeline.deduplicated(spark, docs, "").collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(1, COPY), (2, other), (None, "a b c d e"), (4, ""), (5, "")], key=str)
+
+
+def test_pipeline_keeps_texts_in_several_languages(spark, monkeypatch):
+    import corpus_pipeline
+
+    shares = F.when(F.col("text") == "?", F.lit("und")).otherwise(F.lit("en"))
+    monkeypatch.setattr(corpus_pipeline.language_mixture, "fit", lambda docs: ([], None))
+    monkeypatch.setattr(corpus_pipeline.language_mixture, "predict", lambda docs, *_: docs.withColumns({"lang_pred": shares, "score": F.lit(0.4)}))
+    docs = spark.createDataFrame([(1, "one and zwei und trois"), (2, "?")], "doc_id long, text string")
+    assert [r["doc_id"] for r in corpus_pipeline.language(spark, docs, "").collect()] == [1]
