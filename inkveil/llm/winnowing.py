@@ -1,8 +1,8 @@
 """Document fingerprints by winnowing, in DataFrame expressions alone.
 
-The units are words. Every run of ``K`` words has a rolling polynomial hash; of every ``W`` neighbouring hashes
-the least is chosen, the rightmost among equals, and kept with its position. Two texts that share a run of
-``K + W - 1`` words therefore share a fingerprint.
+The units are words. In scripts without spaces, and in words longer than ``LONG``, they are code points. Every run of
+``K`` units has a rolling polynomial hash; of every ``W`` neighbouring hashes the least is chosen, the rightmost among
+equals, and kept with its position. Two texts that share a run of ``K + W - 1`` units therefore share a fingerprint.
 """
 
 from __future__ import annotations
@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 K, W = 3, 4
+#: Code points of the longest word that is one unit, and scripts whose words have no space between them.
+LONG = 24
+_UNSPACED = "".join(rf"\p{{Is{x}}}" for x in ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar", "Tibetan"))
 #: A prime, and the base of the polynomial; products stay below 2**62.
 _PRIME, _BASE = (1 << 31) - 1, 1_000_003
 _HALF = 1 << 31
@@ -23,21 +26,28 @@ def _shifted(values: Column, by: int) -> Column:
     return F.slice(values, F.lit(by + 1), F.greatest(F.size(values) - by, F.lit(0)))
 
 
+def _units(text: Column) -> Column:
+    """The words of a text, or the code points of those without a place to cut."""
+    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda x: x != "")
+    pieces = F.flatten(F.transform(words, lambda x: F.regexp_extract_all(x, F.lit(f"[{_UNSPACED}]|[^{_UNSPACED}]+"), F.lit(0))))
+    cut = lambda x: F.when(F.char_length(x) > LONG, F.regexp_extract_all(x, F.lit("(?s)."), F.lit(0))).otherwise(F.array(x))
+    return F.when(text.rlike(rf"[{_UNSPACED}]|[^\x20\x09-\x0D]{{{LONG + 1}}}"), F.flatten(F.transform(pieces, cut))).otherwise(words)
+
+
 def with_marks(df: DataFrame, text: str, out: str, k: int = K, w: int = W) -> DataFrame:
     """Adds ``out``: the chosen hashes with their positions, each as hash * 2**31 + (2**31 - 1 - position).
 
-    Null and empty texts, and those of white space alone, have none. A text with fewer than ``k`` words is filled
-    up with empty words, one with fewer than ``w`` runs is a single window.
+    Null and empty texts, and those of white space alone, have none. A text with fewer than ``k`` units is filled
+    up with empty ones, one with fewer than ``w`` runs is a single window.
     """
-    words = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+"), lambda x: x != "")
-    hashed = F.transform(words, lambda x: F.pmod(F.xxhash64(x), F.lit(_PRIME)))
+    hashed = F.transform(_units(F.coalesce(F.col(text), F.lit(""))), lambda x: F.pmod(F.xxhash64(x), F.lit(_PRIME)))
     df = df.withColumn("__h", hashed)
     short = (F.size("__h") > 0) & (F.size("__h") < k)
     df = df.withColumn("__h", F.when(short, F.concat("__h", F.array_repeat(F.lit(0).cast("long"), F.lit(k) - F.size("__h")))).otherwise(F.col("__h")))
     rolled = F.col("__h")
     for j in range(1, k):
         rolled = F.zip_with(rolled, _shifted(F.col("__h"), j), lambda a, b: (a * _BASE + b) % _PRIME)
-    # the last k - 1 places lack words
+    # the last k - 1 places lack units
     runs = F.slice(rolled, F.lit(1), F.greatest(F.size("__h") - (k - 1), F.lit(0)))
     df = df.withColumn("__e", F.transform(runs, lambda x, i: x * _HALF + (F.lit(_HALF - 1) - i)))
     least, width = F.col("__e"), 1

@@ -368,3 +368,20 @@ def test_pipeline_keeps_texts_in_several_languages(spark, monkeypatch):
     monkeypatch.setattr(corpus_pipeline.language_mixture, "predict", lambda docs, *_: docs.withColumns({"lang_pred": shares, "score": F.lit(0.4)}))
     docs = spark.createDataFrame([(1, "one and zwei und trois"), (2, "?")], "doc_id long, text string")
     assert [r["doc_id"] for r in corpus_pipeline.language(spark, docs, "").collect()] == [1]
+
+
+def test_winnowing_of_text_without_spaces(spark):
+    rng = np.random.default_rng(8)
+    chinese = ["".join(chr(x) for x in rng.integers(0x4E00, 0x9000, 300)) for _ in range(2)]
+    code = ["".join(chr(x) for x in rng.integers(97, 123, 300)) for _ in range(2)]
+    astral = ["".join(chr(x) for x in rng.integers(0x20000, 0x21000, 60)) for _ in range(2)]
+    for texts in (chinese, code, astral):
+        rows = winnowing.fingerprints(spark.createDataFrame([(1, texts[0]), (2, texts[1])], "doc_id long, text string")).collect()
+        for r in rows:
+            positions = [int(x.split(":")[1]) for x in r["fingerprint"].split()]
+            assert max(np.diff([-1, *positions, len(texts[0]) - winnowing.K + 1])) <= winnowing.W
+            assert 0.3 < r["near_edited"] < 0.9 and r["near_next"] < 0.2
+    passage = chinese[0][100:106]
+    marked = winnowing.with_marks(spark.createDataFrame([(1, f"{code[0]} {passage}x"), (2, f"y {passage}{code[1]}")], "doc_id long, text string"), "text", "marks")
+    left, right = (set(r[0]) for r in marked.select(winnowing.hashes("marks")).collect())
+    assert left & right
