@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: The setting that names a folder shared by the driver and all executors.
+SHARED = "spark.checkpoint.dir"
 _STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -31,17 +34,23 @@ def local_session(cores: str = "8", memory: str = "8g") -> SparkSession:
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh path below ``spark.checkpoint.dir``, which every executor can reach.
 
-    Only a local session may fall back to a folder of this machine.
+    Only a local session without the setting falls back to a folder of this machine, one for the whole process.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get(SHARED, None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        root = tempfile.mkdtemp(prefix="inkveil-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError(f"set {SHARED} to a folder shared by the driver and all executors")
+        root = _own_folder()
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+@cache
+def _own_folder() -> str:
+    """The setting can't be changed in a running session, so the folder is kept here."""
+    return tempfile.mkdtemp(prefix="inkveil-")
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deal out the rows of a plain scan that has fewer splits than there are cores.
 
