@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkveil.llm import backoff_lm, chunked_bpe, jaccard_join, language_mixture, licenses, maxscore, packing, sequences, toxicity, winnowing
+from inkveil.llm import (
+    backoff_lm, chunked_bpe, conversations, jaccard_join, language_mixture, licenses, maxscore, packing, sequences, toxicity, whitening, winnowing,
+)
 from inkveil.llm.common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -55,11 +57,20 @@ def op10_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunked_bpe.digests(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op11_hirschberg_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return conversations.reports(turns, conversations.damaged(turns))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_maxscore_top_k, op2_toxicity, op3_ngram_jaccard_join, op4_backoff_lm, op5_license_scan, op6_language_mixture,
-        op7_best_fit_packing, op8_arrow_sequences, op9_winnowing, op10_chunked_bpe,
+        op7_best_fit_packing, op8_arrow_sequences, op9_winnowing, op10_chunked_bpe, op11_hirschberg_repair, op12_whitening,
     )
 }
 
