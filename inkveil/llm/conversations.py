@@ -235,7 +235,9 @@ def _edits(ordered: DataFrame, borders: DataFrame) -> DataFrame:
 
 def _with_texts(edits: DataFrame, keyed: DataFrame) -> DataFrame:
     texts = keyed.dropDuplicates(["row"]).select("row", "turn", "role", "text")
-    return edits.join(texts, "row", "left").select(
+    # inserted turns have no text to meet; a key of their own deals them out
+    own = F.encode(F.concat_ws(":", "at", "step"), "utf-8")
+    return edits.withColumn("row", F.coalesce("row", own)).join(texts, "row", "left").select(
         "conv_id", "at", "step", "edit", "turn", F.coalesce("new_role", "role").alias("role"), F.coalesce("text", F.lit("")).alias("text"), "times", "cost"
     )
 
