@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkveil.llm import (
-    backoff_lm, chunked_bpe, conversations, jaccard_join, language_mixture, licenses, maxscore, packing, sequences, toxicity, whitening, winnowing,
+    backoff_lm, chunked_bpe, conversations, jaccard_join, language_mixture, licenses, maxscore, packing, sequences, signature_join,
+    toxicity, whitening, winnowing,
 )
 from inkveil.llm.common import table
 
@@ -66,11 +67,15 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op13_signature_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signature_join.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_maxscore_top_k, op2_toxicity, op3_ngram_jaccard_join, op4_backoff_lm, op5_license_scan, op6_language_mixture,
-        op7_best_fit_packing, op8_arrow_sequences, op9_winnowing, op10_chunked_bpe, op11_hirschberg_repair, op12_whitening,
+        op7_best_fit_packing, op8_arrow_sequences, op9_winnowing, op10_chunked_bpe, op11_hirschberg_repair, op12_whitening, op13_signature_join,
     )
 }
 
@@ -105,4 +110,25 @@ SQL = {
         select s.doc_id, cast(len(s.s) as bigint) as n_shingles, least(s.doc_id, coalesce(l.other, s.doc_id)) as component_id
         from s left join least l on s.doc_id = l.doc_id
     """,
+    "op13_signature_join": r"""
+        with recursive w as (
+            select doc_id, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'
+            ) as w from documents
+        ), s as materialized (
+            select doc_id, case when len(w) = 0 then [] else list_distinct(list_transform(
+                range(1, greatest(len(w) - 1, 2)), lambda i: array_to_string(w[i:i + 2], ' '))) end as s
+            from w
+        ), one as materialized (select doc_id, len(s) as n, unnest(s) as g from s),
+        near as (
+            select a.doc_id as a, b.doc_id as b from one a join one b on a.g = b.g and a.doc_id < b.doc_id
+            group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 85 * (a.n + b.n - count(*))
+        ), edge as materialized (select a, b from near union all select b, a from near),
+        reach(doc_id, other) as (
+            select a, b from edge union select r.doc_id, e.b from reach r join edge e on r.other = e.a
+        ), least as (select doc_id, min(other) as other from reach group by doc_id)
+        select s.doc_id, cast(len(s.s) as bigint) as n_shingles, least(s.doc_id, coalesce(l.other, s.doc_id)) as component_id,
+            s.doc_id <= coalesce(l.other, s.doc_id) as kept
+        from s left join least l on s.doc_id = l.doc_id
+    """,
 }
