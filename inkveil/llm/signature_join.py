@@ -92,10 +92,26 @@ def _name(shingles: np.ndarray) -> bytes | None:
 
 
 def _class_counts(shingles: np.ndarray) -> bytes:
-    """How many shingles fall into each of a power of two of classes, up to 255: two to four shingles a class."""
-    classes = max(16, 1 << (max(1, len(shingles) // 2).bit_length() - 1))
+    """How many shingles fall into each of a power of two of classes, one to two classes a shingle; four bits each, 15 for more."""
+    classes = 1 << max(4, (2 * len(shingles)).bit_length() - 1)
     counts = np.bincount((shingles >> np.uint64(24)).astype(np.int64) & (classes - 1), minlength=classes)
-    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+    low, high = np.minimum(counts, 15).astype(np.uint8).reshape(2, -1)
+    return (low | high << 4).tobytes()
+
+
+def _unpacked(classes: bytes) -> np.ndarray:
+    both = np.frombuffer(classes, np.uint8)
+    return np.concatenate((both & 15, both >> 4))
+
+
+def _may_link(x: np.ndarray, y: np.ndarray, sizes: int, percent: int) -> bool:
+    """Whether class counts allow a link: no class shares more shingles than the set with fewer of it has."""
+    if x.max() == 15 or y.max() == 15:
+        return True
+    width = min(len(x), len(y))
+    x, y = (c if len(c) == width else c.reshape(-1, width).sum(axis=0) for c in (x, y))
+    most = int(np.minimum(x, y).sum())
+    return 100 * most >= percent * (sizes - most)
 
 
 def _lonely(n: int, percent: int) -> bool:
@@ -248,7 +264,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
 def _confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = _sets(docs, nodes.join(wanted, "node").select("node", "name", "source"), k)
+    sets = _sets(docs, written(nodes.join(wanted, "node").select("node", "name", "source"), "wanted"), k)
 
     def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -274,10 +290,7 @@ def _cell(rows: pd.DataFrame, percent: int, least: int) -> pd.DataFrame:
     coordinate = np.uint64(int(rows["coordinate"].iloc[0]))
     below = (np.uint64(1) << coordinate) - np.uint64(1)
     signed = _matrix(rows["signature"])
-    counts = [np.frombuffer(c, np.uint8) for c in rows["classes"]]
-    width = min(len(c) for c in counts)
-    full = np.array([c.max(initial=0) == 255 for c in counts])
-    table = np.stack([c.reshape(-1, width).sum(axis=0, dtype=np.uint32) for c in counts])
+    counts = [_unpacked(c) for c in rows["classes"]]
     weight = np.uint64(1) << np.arange(COORDINATES, dtype=np.uint64)
     first = int(np.searchsorted(blocks, blocks[0], "right"))
     one = bool(rows["same"].iloc[0])
@@ -294,8 +307,9 @@ def _cell(rows: pd.DataFrame, percent: int, least: int) -> pd.DataFrame:
         mine = (shared & below) == 0
         others, equal = others[mine], equal[mine]
         others = others[equal.sum(axis=1) >= least]
-        most = np.minimum(table[i], table[others]).sum(axis=1, dtype=np.int64)
-        others = others[(100 * most >= percent * (sizes[i] + sizes[others] - most)) | full[others] | full[i]]
+        if not len(others):
+            continue
+        others = others[[_may_link(counts[i], counts[j], int(sizes[i] + sizes[j]), percent) for j in others]]
         lefts.append(np.minimum(nodes[others], nodes[i]))
         rights.append(np.maximum(nodes[others], nodes[i]))
     return pd.DataFrame({"a": np.concatenate(lefts), "b": np.concatenate(rights)} if lefts else {"a": [], "b": []}).astype(np.int64)

@@ -129,3 +129,18 @@ def test_prefixes_of_agreeing_signatures_meet():
     for i in range(0, 400, 2):
         if (values[i] == values[i + 1]).sum() >= 36:
             assert len(np.intersect1d(held[i], held[i + 1]))
+
+
+def test_class_counts_rule_out_no_link():
+    rng = np.random.default_rng(6)
+    for n in (6, 7, 13, 40, 300, 5000):
+        for _ in range(30):
+            x = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+            y = np.unique(np.concatenate((x[rng.random(len(x)) > 0.06], rng.integers(0, 2**63, n // 14, dtype=np.uint64))))
+            both = len(np.intersect1d(x, y))
+            counts = [join._unpacked(join._class_counts(z)) for z in (x, y)]
+            assert [c.sum() for c in counts] == [len(x), len(y)]
+            if 100 * both >= 85 * (len(x) + len(y) - both):
+                assert join._may_link(*counts, len(x) + len(y), 85)
+    same = np.arange(40, dtype=np.uint64)  # all in one class, beyond what four bits hold
+    assert join._may_link(*[join._unpacked(join._class_counts(same))] * 2, 80, 85)
