@@ -40,7 +40,7 @@ _VALUES = 1 << 16
 #: Bits of the filter for texts whose sets are wanted. False positives cost work, not results.
 _FILTER_BITS = 1 << 24
 #: Sets of one list that meet others at once.
-_BLOCK = 256
+_BLOCK = 512
 #: Shingles hashed in one go.
 _CHUNK = 1 << 16
 
@@ -187,25 +187,18 @@ def _prefixes(tokens: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], lengt
     return np.argsort(order, axis=1, kind="stable")[:, :length]
 
 
-def _postings(nodes: DataFrame, frequent: Broadcast, length: int, full: bool) -> DataFrame:
-    """token and node for each posting; ``full``: also the coordinate, and the bits of all posted coordinates."""
+def _postings(nodes: DataFrame, frequent: Broadcast, length: int) -> DataFrame:
+    """token and node for each posting."""
 
     def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
                 tokens = _tokens(_matrix(batch["signature"]))
                 first = _prefixes(tokens, frequent.value, length)
-                out = {
-                    "token": np.take_along_axis(tokens, first, axis=1).ravel().view(np.int64),
-                    "node": np.repeat(batch["node"].to_numpy(np.int64), length),
-                }
-                if full:
-                    bits = np.bitwise_or.reduce(np.uint64(1) << first.astype(np.uint64), axis=1)
-                    out |= {"coordinate": first.ravel().astype(np.int32), "bits": np.repeat(bits.view(np.int64), length)}
-                yield pd.DataFrame(out)
+                token = np.take_along_axis(tokens, first, axis=1).ravel().view(np.int64)
+                yield pd.DataFrame({"token": token, "node": np.repeat(batch["node"].to_numpy(np.int64), length)})
 
-    schema = "token long, node long" + (", coordinate int, bits long" if full else "")
-    return nodes.select("node", "signature").mapInPandas(post, schema)
+    return nodes.select("node", "signature").mapInPandas(post, "token long, node long")
 
 
 def _agreeing(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -263,7 +256,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = pairs.select(F.col("a").alias("node")).distinct().unionByName(pairs.select(F.col("b").alias("node")).distinct()).distinct()
     sets = _sets(docs, written(nodes.join(wanted, "node").select("node", "name", "source"), "wanted"), k)
 
     def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -281,17 +274,19 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, perc
     return written(joined.select("a", "b", "left", "right").mapInPandas(keep, "a long, b long"), "confirmed")
 
 
-def _cell(rows: pd.DataFrame, percent: int, least: int) -> pd.DataFrame:
+def _cell(rows: pd.DataFrame, frequent: tuple[np.ndarray, np.ndarray], percent: int) -> pd.DataFrame:
     """The pairs (a, b) of one cell, from its two blocks or inside its only one, that are apart and may link."""
     rows = rows.sort_values("block", kind="stable")
     blocks, nodes = rows["block"].to_numpy(), rows["node"].to_numpy()
     groups, sizes = rows["component"].to_numpy(), rows["n_shingles"].to_numpy()
-    posted = rows["bits"].to_numpy(np.int64).view(np.uint64)
-    coordinate = np.uint64(int(rows["coordinate"].iloc[0]))
-    below = (np.uint64(1) << coordinate) - np.uint64(1)
     signed = _matrix(rows["signature"])
-    counts = [_unpacked(c) for c in rows["classes"]]
+    tokens = _tokens(signed)
+    least = matches_needed(percent)
     weight = np.uint64(1) << np.arange(COORDINATES, dtype=np.uint64)
+    posted = weight[_prefixes(tokens, frequent, COORDINATES - least + 1)].sum(axis=1, dtype=np.uint64)
+    # the coordinate of the list, and all before it
+    below = weight[int(np.argmax(tokens[0] == rows["token"].to_numpy(np.int64).view(np.uint64)[0]))] - np.uint64(1)
+    counts = [_unpacked(c) for c in rows["classes"]]
     first = int(np.searchsorted(blocks, blocks[0], "right"))
     one = bool(rows["same"].iloc[0])
     lefts, rights = [], []
@@ -315,13 +310,12 @@ def _cell(rows: pd.DataFrame, percent: int, least: int) -> pd.DataFrame:
     return pd.DataFrame({"a": np.concatenate(lefts), "b": np.concatenate(rights)} if lefts else {"a": [], "b": []}).astype(np.int64)
 
 
-def _cell_pairs(apart: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of common lists that are apart and may link. ``apart``: token, size, node, component, coordinate, bits.
+def _cell_pairs(apart: DataFrame, nodes: DataFrame, frequent: Broadcast, percent: int) -> DataFrame:
+    """The pairs (a, b) of common lists that are apart and may link. ``apart``: token, size, node, component.
 
     The sets of a list are dealt to blocks of about ``_BLOCK``, and any two blocks meet in a cell, so a hot list spreads over
     many tasks, and only pairs that may link leave them.
     """
-    least = matches_needed(percent)
 
     def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         open_cell = None
@@ -329,12 +323,12 @@ def _cell_pairs(apart: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
             rows = batch if open_cell is None else pd.concat([open_cell, batch], ignore_index=True)
             cells = rows["cell"].to_numpy()
             cuts = [0, *(np.flatnonzero(cells[1:] != cells[:-1]) + 1)]
-            found = [_cell(rows.iloc[i:j], percent, least) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+            found = [_cell(rows.iloc[i:j], frequent.value, percent) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
             open_cell = rows.iloc[cuts[-1] :]
             if found:
                 yield pd.concat(found, ignore_index=True)
         if open_cell is not None and len(open_cell):
-            yield _cell(open_cell, percent, least)
+            yield _cell(open_cell, frequent.value, percent)
 
     many = F.ceil(F.col("size") / _BLOCK)
     rows = apart.withColumn("many", many).withColumn("block", F.pmod(F.xxhash64("node", "token"), many))
@@ -342,7 +336,7 @@ def _cell_pairs(apart: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("many") - 1)))
     cell = F.xxhash64("token", F.least("block", "other"), F.greatest("block", "other"))
     rows = rows.select(
-        cell.alias("cell"), "block", (F.col("block") == F.col("other")).alias("same"), "node", "component", "coordinate", "bits",
+        cell.alias("cell"), "block", (F.col("block") == F.col("other")).alias("same"), "token", "node", "component",
         "n_shingles", "signature", "classes",
     )
     return written(rows.repartition("cell").sortWithinPartitions("cell").mapInPandas(pairs, "a long, b long"), "cells")
@@ -375,18 +369,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     length = COORDINATES - matches_needed(percent) + 1
     frequent = _frequent(signed)
 
-    postings = _postings(signed, frequent, length, full=False)
-    lists = written(postings.groupBy("token").agg(F.min("node").alias("leader"), F.count("*").alias("size")).where("size > 1"), "lists")
-    met = postings.join(lists.select("token", "leader"), "token").where("node <> leader")
-    counted = met.groupBy(F.col("node").alias("b"), F.col("leader").alias("a")).agg(F.count("*").alias("collisions"))
+    postings = _postings(signed, frequent, length)
+    lists = postings.groupBy("token").agg(F.min("node").alias("leader"), F.count("*").alias("size")).where("size > 1")
+    listed = written(postings.join(lists, "token").where("node <> leader"), "listed")
+    counted = listed.groupBy(F.col("node").alias("b"), F.col("leader").alias("a")).agg(F.count("*").alias("collisions"))
     links = _confirmed(_agreeing(counted.select("a", "b"), signed, percent), docs, signed, k, percent)
     groups = components(links, "a", "b")
 
     # leaders have met all others of their lists
-    others = _postings(signed, frequent, length, full=True).join(lists.where("size > 2"), "token").where("node <> leader").drop("leader")
-    others = _grouped(others, groups)
+    others = _grouped(listed.where("size > 2").select("token", "size", "node"), groups)
     apart = others.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
-    pairs = _cell_pairs(others.join(apart, "token"), signed, percent)
+    pairs = _cell_pairs(others.join(apart, "token"), signed, frequent, percent)
     final = components(links.unionByName(_confirmed(pairs, docs, signed, k, percent)), "a", "b")
 
     named = _grouped(nodes.select("node", "name", "least"), final)
