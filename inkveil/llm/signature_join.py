@@ -27,7 +27,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkveil.llm.common import written
+from inkveil.llm.common import BATCH_ROWS, written
 from inkveil.llm.components import components
 from inkveil.llm.shingles import mix, shingle_sets
 
@@ -87,6 +87,17 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(column), dtype=np.uint32).reshape(len(column), COORDINATES)
 
 
+def _written(df: DataFrame, purpose: str) -> DataFrame:
+    """Write and read back in batches of few rows, so that a Python worker holds few texts or sets; the session's value returns."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(key)
+    conf.set(key, BATCH_ROWS)
+    try:
+        return written(df, purpose)
+    finally:
+        conf.set(key, before)
+
+
 def _name(shingles: np.ndarray) -> bytes | None:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest() if len(shingles) else None
 
@@ -149,7 +160,7 @@ def _indexed(docs: DataFrame, k: int, percent: int) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("string").alias("row"), _source(), "text")
     schema = "row string, name binary, n_shingles long, source long, signature binary, classes binary"
     key = docs.schema["doc_id"].dataType
-    return written(rows.mapInPandas(index, schema).withColumn("doc_id", F.col("row").cast(key)).drop("row"), "signed")
+    return _written(rows.mapInPandas(index, schema).withColumn("doc_id", F.col("row").cast(key)).drop("row"), "signed")
 
 
 def _frequent(nodes: DataFrame) -> Broadcast:
@@ -251,7 +262,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
             })
 
     found = docs.select(_source(), "text").mapInPandas(sets, "source long, name binary, shingles binary")
-    return written(found.join(wanted, ["source", "name"]).dropDuplicates(["node"]).select("node", "shingles"), "sets")
+    return _written(found.join(wanted, ["source", "name"]).dropDuplicates(["node"]).select("node", "shingles"), "sets")
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
@@ -271,7 +282,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, perc
     lefts = sets.select(F.col("node").alias("a"), F.col("shingles").alias("left"))
     rights = sets.select(F.col("node").alias("b"), F.col("shingles").alias("right"))
     joined = pairs.join(rights, "b").join(lefts, "a")
-    return written(joined.select("a", "b", "left", "right").mapInPandas(keep, "a long, b long"), "confirmed")
+    return _written(joined.select("a", "b", "left", "right").mapInPandas(keep, "a long, b long"), "confirmed")
 
 
 def _cell(rows: pd.DataFrame, frequent: tuple[np.ndarray, np.ndarray], percent: int) -> pd.DataFrame:
@@ -339,7 +350,7 @@ def _cell_pairs(apart: DataFrame, nodes: DataFrame, frequent: Broadcast, percent
         cell.alias("cell"), "block", (F.col("block") == F.col("other")).alias("same"), "token", "node", "component",
         "n_shingles", "signature", "classes",
     )
-    return written(rows.repartition("cell").sortWithinPartitions("cell").mapInPandas(pairs, "a long, b long"), "cells")
+    return _written(rows.repartition("cell").sortWithinPartitions("cell").mapInPandas(pairs, "a long, b long"), "cells")
 
 
 def _grouped(rows: DataFrame, groups: DataFrame) -> DataFrame:
