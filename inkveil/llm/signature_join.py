@@ -103,8 +103,12 @@ def _name(shingles: np.ndarray) -> bytes | None:
 
 
 def _class_counts(shingles: np.ndarray) -> bytes:
-    """How many shingles fall into each of a power of two of classes, one to two classes a shingle; four bits each, 15 for more."""
-    classes = 1 << max(4, (2 * len(shingles)).bit_length() - 1)
+    """How many shingles fall into each of a power of two of classes; four bits each, 15 for more.
+
+    Small sets have one to two classes a shingle, which tells single shingles apart; large ones two to four shingles a class.
+    """
+    n = len(shingles)
+    classes = 1 << max(4, min((2 * n).bit_length() - 1, max(8, (n // 2).bit_length() - 1)))
     counts = np.bincount((shingles >> np.uint64(24)).astype(np.int64) & (classes - 1), minlength=classes)
     low, high = np.minimum(counts, 15).astype(np.uint8).reshape(2, -1)
     return (low | high << 4).tobytes()
