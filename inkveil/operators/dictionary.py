@@ -1,9 +1,8 @@
 """A mapping made ready for matching, small or large.
 
 A dictionary within ``max_keys`` becomes one pattern and one constant hash table: redaction is then a
-narrow projection without a shuffle.  A larger one stays distributed: each text is joined with the keys
-whose anchor words it contains, and gets a pattern of just those keys.  Keys that are left out cannot
-match, so both ways give the same result.
+narrow projection without a shuffle.  A larger one stays distributed: runs of pieces of the texts are joined
+with the keys that they equal.  Both ways give the same result.
 """
 
 from __future__ import annotations
@@ -15,40 +14,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkveil.functions import redaction
-from inkveil.functions.patterns import (
-    NOT_AFTER_WORD,
-    NOT_BEFORE_WORD,
-    WORD_CLASS,
-    PatternTooDeepError,
-    combined_pattern,
-)
+from inkveil.functions.patterns import NOT_AFTER_WORD, NOT_BEFORE_WORD, PatternTooDeepError, combined_pattern
+from inkveil.operators import hits
+from inkveil.operators.joins import BROADCAST_BYTES, fits_broadcast
 from inkveil.operators.mapping import casefold_lookup
 from inkveil.session import written
 
 MAX_KEYS = 100_000
 MAX_KEY_CHARS = 4_000_000
-BROADCAST_BYTES = 256 * 1024 * 1024
-SALTS = 16
-
-_ENTRY = "struct<size:int,ordinal:long,guarded:boolean,pattern:string,lower:string,original:string,replacement:string>"
-_GRAM = 3
 
 
 @dataclass(frozen=True)
 class Dictionary:
-    """``pattern`` and ``lookup`` for the small form, ``anchored`` keys for the large form."""
+    """``pattern`` and ``lookup`` for the small form, an ``index`` of keys for the large form."""
 
     pattern: str | None
     lookup: redaction.Lookup | None
-    anchored: DataFrame | None
-    gram_sizes: tuple[int, ...]
+    index: hits.KeyIndex | None
     broadcast_keys: bool
-    broadcast_anchors: bool
     open_chars: tuple[str, ...]
 
     @property
     def is_empty(self) -> bool:
-        return self.pattern is None and self.anchored is None
+        return self.pattern is None and self.index is None
 
     @classmethod
     def build(
@@ -60,7 +48,7 @@ class Dictionary:
             F.count("*"), F.sum(F.length("original") + F.length("replacement")), F.min(F.length("original"))
         ).first()
         if not n_keys:
-            return cls(None, None, None, (), False, False, ())
+            return cls(None, None, None, False, ())
         if shortest == 0:
             raise ValueError("a dictionary key must not be empty")
         if n_keys <= max_keys and n_chars <= MAX_KEY_CHARS:
@@ -68,23 +56,15 @@ class Dictionary:
             originals = [original for _, original, _ in rows]
             with contextlib.suppress(PatternTooDeepError):
                 return cls(
-                    combined_pattern(originals), redaction.literal_lookup(rows), None, (), False, False,
+                    combined_pattern(originals), redaction.literal_lookup(rows), None, False,
                     tuple(sorted({c for key in originals for c in key[:-1]})),
                 )
         keys = written(keys, "dictionary")
-        grams = [
-            r[0]
-            for r in keys.filter(F.size(_words(F.col("original"))) == 0)
-            .select(F.least(F.length("original"), F.lit(_GRAM)))
-            .distinct()
-            .collect()
-        ]
         # Distinct characters, so at most the size of an alphabet.
         inner = F.explode(F.split(F.expr("left(original, length(original) - 1)"), ""))
         chars = keys.select(inner.alias("c")).filter("c != ''").distinct().collect()
         return cls(
-            None, None, written(_anchored(keys), "anchors"), tuple(sorted(grams)),
-            fits_broadcast(n_keys, n_chars, broadcast_bytes), fits_broadcast(n_keys, None, broadcast_bytes),
+            None, None, hits.KeyIndex.build(keys, n_keys), fits_broadcast(n_keys, n_chars, broadcast_bytes),
             tuple(sorted(r[0] for r in chars)),
         )
 
@@ -107,107 +87,12 @@ def key_pattern(key: Column) -> Column:
     return F.concat(left, escaped(key), right_guard(key))
 
 
-def with_candidates(df: DataFrame, dictionary: Dictionary, text: str, keys: list[str]) -> DataFrame:
-    """Add ``_pattern`` and ``_lookup`` for the large form; ``keys`` identify a row of ``df``."""
-    anchors = F.explode(_text_anchors(F.col(text), dictionary.gram_sizes)).alias("anchor")
-    needles = df.select(*keys, anchors)
-    if dictionary.broadcast_keys:
-        found = needles.join(F.broadcast(dictionary.anchored), "anchor")
-    else:
-        if dictionary.broadcast_anchors:
-            # The anchors alone are far smaller than the keys; words that are in no key stop here.
-            needles = needles.join(F.broadcast(dictionary.anchored.select("anchor").distinct()), "anchor", "left_semi")
-        found = salted_join(needles, dictionary.anchored, "anchor", keys)
-    # One row per key found in a text: a group is never larger than the text itself.
-    per_row = found.groupBy(*keys).agg(F.sort_array(F.collect_set("entry")).alias("_entries"))
-    # Keys with and without a left guard never compete for one place, so the guard is tested once.
-    guarded = _alternatives(F.filter("_entries", lambda e: e["guarded"]), NOT_AFTER_WORD)
-    free = _alternatives(F.filter("_entries", lambda e: ~e["guarded"]), "")
-    pattern = F.concat(F.lit("(?iu)(?:"), F.concat_ws("|", guarded, free), F.lit(")"))
-    lookup = F.map_from_entries(
-        F.transform(
-            "_entries",
-            lambda e: F.struct(e["lower"], F.struct(e["original"], e["replacement"])),
-        )
-    )
-    candidates = per_row.select(
-        *[F.col(k).alias(f"_key_{k}") for k in keys], pattern.alias("_pattern"), lookup.alias("_lookup")
-    )
+def with_hits(df: DataFrame, dictionary: Dictionary, text: str, keys: list[str]) -> DataFrame:
+    """Add ``_hits`` (see :mod:`inkveil.operators.hits`) for the large form; ``keys`` identify a row of ``df``."""
+    runs = hits.candidates(df, dictionary.index, text, keys)
+    found = hits.settled(hits.verified(runs, dictionary.index, keys, dictionary.broadcast_keys), keys)
+    found = found.withColumnsRenamed({**{k: f"_key_{k}" for k in keys}, "_text": "_key_text"})
     # Null-safe, so that a row without a key value is redacted like any other.
     same_row = [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys]
-    return df.join(candidates, same_row, "left").drop(*[f"_key_{k}" for k in keys])
-
-
-def salted_join(many: DataFrame, few: DataFrame, on: str, spread_by: list[str]) -> DataFrame:
-    """Inner join in which a value that most rows of ``many`` share is dealt out over several tasks."""
-    salt = F.pmod(F.xxhash64(*spread_by), F.lit(SALTS)).cast("int").alias("_salt")
-    copies = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return many.select("*", salt).join(copies, [on, "_salt"]).drop("_salt")
-
-
-def fits_broadcast(n_rows: int, n_chars: int | None, limit: int = BROADCAST_BYTES) -> bool:
-    """Whether so many rows stay below ``limit`` as a hash table; ``None`` stands for rows of one number."""
-    size = 40 * n_rows if n_chars is None else 250 * n_rows + 2 * n_chars
-    return size <= limit
-
-
-def _alternatives(entries: Column, guard: str) -> Column:
-    joined = F.array_join(F.transform(entries, lambda e: e["pattern"]), "|")
-    return F.when(F.size(entries) > 0, F.concat(F.lit(guard + "(?:"), joined, F.lit(")")))
-
-
-def _anchored(keys: DataFrame) -> DataFrame:
-    """Each key under its least shared anchor, so that common words do not gather many keys."""
-    key = F.col("original")
-    entry = F.struct(
-        (-F.length(key)).alias("size"), "ordinal", left_guarded(key).alias("guarded"),
-        F.concat(escaped(key), right_guard(key)).alias("pattern"), "lower", "original", "replacement",
-    ).cast(_ENTRY)
-    anchors = F.explode(_key_anchors(F.col("original"))).alias("anchor")
-    offered = keys.select("lower", entry.alias("entry"), anchors)
-    shared = offered.groupBy("anchor").agg(F.count("*").alias("shared"))
-    choice = F.struct("shared", "anchor")
-    chosen = (
-        offered.select("lower", "anchor").join(shared, "anchor")
-        .groupBy("lower").agg(F.min(choice).getField("anchor").alias("anchor"))
-    )
-    return chosen.join(keys.select("lower", entry.alias("entry")), "lower").select("anchor", "entry")
-
-
-def _words(text: Column) -> Column:
-    """Maximal runs of word characters, folded.  A run inside a key is a whole run in the text too."""
-    return F.regexp_extract_all(
-        F.lower(F.translate(text, "İıſK", "iisk")), F.lit(r"[\p{Alnum}]+"), F.lit(0)
-    )
-
-
-def _pairs(words: Column) -> Column:
-    following = F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0)))
-    return F.filter(
-        F.zip_with(words, following, lambda a, b: F.concat(a, F.lit(" "), b)), lambda x: x.isNotNull()
-    )
-
-
-def _grams(text: Column, size: int) -> Column:
-    """All runs of ``size`` characters without a word character, for keys that hold no word."""
-    found = F.regexp_extract_all(text, F.lit(f"(?s)(?=((?:(?!{WORD_CLASS}).){{{size}}}))"), F.lit(1))
-    return F.transform(found, lambda gram: F.concat(F.lit("\n"), _deep_fold(gram)))
-
-
-def _deep_fold(text: Column) -> Column:
-    return F.lower(F.upper(F.lower(text)))
-
-
-def _key_anchors(original: Column) -> Column:
-    words = _words(original)
-    gram = F.concat(F.lit("\n"), _deep_fold(F.substring(original, 1, _GRAM)))
-    units = (
-        F.when(F.size(words) > 1, _pairs(words)).when(F.size(words) == 1, words).otherwise(F.array(gram))
-    )
-    return F.array_distinct(F.transform(units, lambda u: F.xxhash64(u)))
-
-
-def _text_anchors(text: Column, gram_sizes: tuple[int, ...]) -> Column:
-    words = _words(text)
-    units = F.concat(words, _pairs(words), *[_grams(text, size) for size in gram_sizes])
-    return F.array_distinct(F.transform(units, lambda u: F.xxhash64(u)))
+    joined = df.withColumn("_text", F.xxhash64(text)).join(found, [*same_row, F.col("_text") == F.col("_key_text")], "left")
+    return joined.drop("_text", "_key_text", *[f"_key_{k}" for k in keys])

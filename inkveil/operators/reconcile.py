@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkveil.operators.joins import BROADCAST_BYTES, measured_join
+
 NOT_CREATED = "output file not created"
 EMPTY = "output file is empty"
 
@@ -35,21 +37,18 @@ def _by_original(mapping: DataFrame, key: str, to: str) -> DataFrame:
     return mapping.groupBy(F.col("original").alias(key)).agg(last.alias(to))
 
 
-def details_to_mapping(details: DataFrame, mapping: DataFrame) -> DataFrame:
+def details_to_mapping(details: DataFrame, mapping: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Attach the replacement of each key; unknown keys and deletions get a label."""
     known = _by_original(mapping, "original", "_to")
     label = F.when(F.col("_to").isNull(), "[UNKNOWN]").when(F.col("_to") == "", "[DELETED]").otherwise(F.col("_to"))
-    return details.join(known, "original", "left").withColumn("replacement", label).drop("_to")
+    joined = measured_join(details, known, "original", details.columns, "left", broadcast_bytes)
+    return joined.select(*details.columns, label.alias("replacement"))
 
 
-def details_fallback(details: DataFrame, mapping: DataFrame) -> DataFrame:
+def details_fallback(details: DataFrame, mapping: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """The replacement by exact key, else by lower-cased key, else ``?``."""
     exact = _by_original(mapping, "original", "_exact")
     lower = _by_original(mapping, "_lower", "_folded")
-    return (
-        details.join(exact, "original", "left")
-        .withColumn("_lower", F.lower("original"))
-        .join(lower, "_lower", "left")
-        .withColumn("replacement", F.coalesce("_exact", "_folded", F.lit("?")))
-        .drop("_exact", "_lower", "_folded")
-    )
+    found = measured_join(details, exact, "original", details.columns, "left", broadcast_bytes).withColumn("_lower", F.lower("original"))
+    found = measured_join(found, lower, "_lower", details.columns, "left", broadcast_bytes)
+    return found.select(*details.columns, F.coalesce("_exact", "_folded", F.lit("?")).alias("replacement"))

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkveil.functions import redaction
-from inkveil.functions.patterns import combined_pattern
-from inkveil.operators.dictionary import BROADCAST_BYTES, Dictionary, fits_broadcast, salted_join, with_candidates
+from inkveil.operators import hits
+from inkveil.operators.dictionary import Dictionary, with_hits
+from inkveil.operators.joins import BROADCAST_BYTES, fits_broadcast, measured_join
 
 
 def with_entries(df: DataFrame, dictionary: Dictionary, text: str, keys: list[str]) -> DataFrame:
@@ -20,13 +21,8 @@ def with_entries(df: DataFrame, dictionary: Dictionary, text: str, keys: list[st
     if dictionary.pattern is not None:
         parts = redaction.pieces(column, F.lit(dictionary.pattern))
         return df.withColumn("_found", redaction.resolved(parts, dictionary.lookup))
-    ready = with_candidates(df, dictionary, text, keys)
-    parts = F.when(F.col("_pattern").isNull(), F.array(column)).otherwise(
-        redaction.pieces(column, F.col("_pattern"))
-    )
-    found = redaction.resolved(parts, lambda lower: F.try_element_at(F.col("_lookup"), lower))
-    found = F.when(column.isNotNull(), found)
-    return ready.withColumn("_found", found).drop("_pattern", "_lookup")
+    ready = with_hits(df, dictionary, text, keys).withColumn("_pieces", hits.cut_pieces(column))
+    return ready.withColumn("_found", hits.entries(column, F.col("_pieces"), F.col("_hits"))).drop("_pieces", "_hits")
 
 
 def redact(
@@ -48,10 +44,10 @@ def replacement_details(
     """Replacements per row key and canonical dictionary key."""
     keys = keys or ["doc_id"]
     names = redaction.hit_names(F.col("_found"))
-    hits = with_entries(df.select(*keys, text), dictionary, text, keys).select(
+    named = with_entries(df.select(*keys, text), dictionary, text, keys).select(
         *keys, F.explode(names).alias("original")
     )
-    return hits.groupBy(*keys, "original").agg(F.count("*").alias("occurrences"))
+    return named.groupBy(*keys, "original").agg(F.count("*").alias("occurrences"))
 
 
 def merge_details(*parts: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -72,43 +68,6 @@ def merge_count_maps(left: Column, right: Column) -> Column:
     )
 
 
-def redact_in_passes(df: DataFrame, ranked: DataFrame, text: str = "text") -> DataFrame:
-    """The older way: one pass per key in rank order, so a replacement can be replaced again.
-
-    ``ranked`` holds ``position, original, replacement``; the passes form one expression per row, which is
-    meant for dictionaries of a few dozen keys; its cost per row grows with their number.
-    """
-    rows = ranked.orderBy("position").collect()
-    state = F.struct(F.col(text).alias("text"), F.lit(0).cast("long").alias("hits"))
-    steps = F.array(
-        *[
-            F.struct(
-                F.lit(combined_pattern([r["original"]])).alias("pattern"),
-                F.lit(r["replacement"]).alias("replacement"),
-            )
-            for r in rows
-        ]
-    )
-
-    def one_pass(acc: Column, step: Column) -> Column:
-        parts = redaction.pieces(acc["text"], step["pattern"])
-        turned = F.transform(
-            parts,
-            lambda part, at: F.when(at % 2 == 1, redaction.in_case_of(part, step["replacement"])).otherwise(part),
-        )
-        added = F.coalesce(F.floor(F.size(parts) / 2), F.lit(0))
-        return F.struct(
-            F.array_join(turned, "").alias("text"), (acc["hits"] + F.greatest(added, F.lit(0))).alias("hits")
-        )
-
-    done = F.aggregate(steps, state, one_pass)
-    return df.withColumn("_done", done).select(
-        *[F.col(c) for c in df.columns],
-        F.col("_done.text").alias("redacted"),
-        F.col("_done.hits").alias("replacements"),
-    )
-
-
 def residual_leaks(
     df: DataFrame, dictionary: Dictionary, text: str = "redacted", keys: list[str] | None = None
 ) -> DataFrame:
@@ -124,8 +83,8 @@ def dictionary_hits(
 ) -> DataFrame:
     """Hits of single-word keys by joining words instead of running a pattern.
 
-    A dictionary of a measured small size filters the words where they are read.  For a larger one the
-    words are counted per row before they are shuffled, and frequent words are salted.
+    A dictionary of a measured small size filters the words where they are read. For a larger one the
+    words are counted per row before they are shuffled, and frequent words are dealt out.
     """
     keys = keys or ["doc_id"]
     words = F.regexp_extract_all(F.lower(F.col(text)), F.lit("[a-z0-9]+"), F.lit(0))
@@ -133,7 +92,7 @@ def dictionary_hits(
     wanted = mapping.select(F.lower("original").alias("term")).distinct()
     n_keys, n_chars = wanted.agg(F.count("*"), F.sum(F.length("term"))).first()
     if fits_broadcast(n_keys, n_chars or 0, broadcast_bytes):
-        hits = said.join(F.broadcast(wanted), "term")
-        return hits.groupBy(*keys, "term").agg(F.count("*").alias("occurrences"))
+        held = said.join(F.broadcast(wanted), "term")
+        return held.groupBy(*keys, "term").agg(F.count("*").alias("occurrences"))
     counted = said.groupBy(*keys, "term").agg(F.count("*").alias("occurrences"))
-    return salted_join(counted, wanted, "term", keys).select(*keys, "term", "occurrences")
+    return measured_join(counted, wanted, "term", keys, broadcast_bytes=0).select(*keys, "term", "occurrences")

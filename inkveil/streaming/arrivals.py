@@ -46,12 +46,12 @@ def recent_arrivals(arrivals: DataFrame, polled: Column, created: str = "created
 
 
 def arrival_dedupe(arrivals: DataFrame, keys: list[str]) -> DataFrame:
-    """Run the stream and give each arrival once, although overlapping polls report it twice.
+    """The stream with each arrival once, although overlapping polls report it twice, however late it comes.
 
-    Keys are dropped within each micro-batch as it is written and across them on reading, so an arrival counts
-    however late it comes, and no state is kept in memory.
+    Keys that were seen are state of the query, kept in RocksDB without a watermark: nothing is late, and a micro-batch costs its
+    own size and its own keys, not the history. A restart from the same checkpoint goes on with that state.
     """
-    return foreach_batch(arrivals, lambda batch: batch.dropDuplicates(keys)).dropDuplicates(keys)
+    return arrivals.dropDuplicates(keys)
 
 
 def stream_allowlist(arrivals: DataFrame, allowed: list[str]) -> DataFrame:
@@ -93,7 +93,7 @@ def error_channel(rows: DataFrame, problem: Column) -> tuple[DataFrame, DataFram
 
 def stream_redact(texts: DataFrame, dictionary: Dictionary, text: str = "text", keys: list[str] | None = None) -> DataFrame:
     """Run the stream and redact all its texts; a dictionary in its joined form is applied to each micro-batch."""
-    if dictionary.anchored is None:
+    if dictionary.index is None:
         return collected(redact(texts, dictionary, text, keys))
     return foreach_batch(texts, lambda batch: redact(batch, dictionary, text, keys))
 

@@ -6,13 +6,13 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from inkveil.operators import hits
 from inkveil.operators import redact as R
 from inkveil.operators.dictionary import Dictionary
 
 FORMS = {
     "pattern": {},
     "broadcast": {"max_keys": 0},
-    "filtered": {"max_keys": 0, "broadcast_bytes": 100},
     "shuffled": {"max_keys": 0, "broadcast_bytes": 0},
 }
 MAPPING = "ordinal long, original string, replacement string"
@@ -75,7 +75,6 @@ def test_golden(spark, form, text, rows, expected):
 def test_random_texts_match_the_model_in_every_form(spark):
     rng = random.Random(7)
     letters = "aAbB1 .-(é_\n"
-    assert Dictionary.build(spark.createDataFrame([(1, "a", "b")], MAPPING), max_keys=0, broadcast_bytes=100).broadcast_anchors
     for _ in range(4):
         rows, seen = [], set()
         while len(rows) < 8:
@@ -119,13 +118,6 @@ def test_count_maps_add_up(spark):
     assert row["both"] == {"a": 1, "b": 5} and row["one"] == {"b": 3}
 
 
-def test_passes_rescan_replacements(spark):
-    ranked = spark.createDataFrame([(1, "a b", "c"), (2, "c", "d")], "position long, original string, replacement string")
-    frame = spark.createDataFrame([(1, "a b C"), (2, None)], "doc_id long, text string")
-    done = R.redact_in_passes(frame, ranked).orderBy("doc_id").collect()
-    assert [(r["redacted"], r["replacements"]) for r in done] == [("d D", 3), (None, 0)]
-
-
 def test_word_join_agrees_with_the_pattern(spark):
     mapping = spark.createDataFrame([(1, "box", "n"), (2, "BOX", "m"), (3, "cat", "c")], MAPPING)
     frame = spark.createDataFrame([(1, "Box box-cat boxer"), (2, "dog")], "doc_id long, text string")
@@ -167,3 +159,38 @@ def test_many_long_keys(spark):
     assert sum(len(a) + len(b) for a, b in rows) < 4_000_000
     small, large = run(spark, texts, rows), run(spark, texts, rows, max_keys=0)
     assert small == large and sum(n for _, n in small) > 100
+
+
+def test_keys_that_share_endings_meet_only_their_texts(spark):
+    """Candidates are runs that equal a key, whatever keys share an ending, a beginning or three letters."""
+    rows = [(f"Firma{i} Ltd", f"Haus{i} Ltd") for i in range(5000)] + [(f"при{i}вет мир", f"мир{i}") for i in range(300)]
+    mapping = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], MAPPING)
+    ready = Dictionary.build(mapping, max_keys=0)
+    texts = ["firma7 Ltd and Ltd", "FIRMA4999 LTD, Firma5000 Ltd", "При3вет Мир, при300вет мир", "Ltd " * 50, "хприй приприпри"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    runs = hits.candidates(frame, ready.index, "text", ["doc_id"])
+    assert hits.matched(runs, ready.index, ["doc_id"], True).count() == 3
+    assert runs.count() < 30
+    assert run(spark, texts, rows, max_keys=0) == [model(t, rows) for t in texts]
+
+
+def test_overlapping_keys_are_settled_from_the_left(spark):
+    rows = [("a b", "1"), ("b c", "2"), ("c d e", "3"), ("d", "4"), ("e f", "5"), ("c", "6"), ("-(", "7"), ("(x", "8"), ("x)", "9")]
+    texts = ["a b c d e f", "b c d e f", "a b c d", "-(x)", "c d e f-(x) a b c", "z(x)x)", " ".join("abcdef" * 40)]
+    expected = [model(t, rows) for t in texts]
+    for form in FORMS.values():
+        assert run(spark, texts, rows, **form) == expected
+
+
+def test_equal_row_keys_with_different_texts(spark):
+    mapping = spark.createDataFrame([(1, "Box", "Nest")], MAPPING)
+    frame = spark.createDataFrame([(1, "a box"), (1, "Box box"), (1, "a box")], "doc_id long, text string")
+    for form in FORMS.values():
+        assert sorted(r["redacted"] for r in R.redact(frame, Dictionary.build(mapping, **form)).collect()) == ["Nest nest", "a nest", "a nest"]
+
+
+def test_characters_fold_one_by_one(spark):
+    rows = [("straße", "X"), ("ΣΑΣ", "Y"), ("ﬁn", "Z"), ("ŉ", "N"), ("İx", "I"), ("😀b", "E")]
+    texts = ["Straße STRASSE straẞe", "σας ΣΑΣ σαΣ", "ﬁn FIN fin", "ŉ ʼn", "ix İx IX ıx", "a 😀B 😀"]
+    small = run(spark, texts, rows)
+    assert run(spark, texts, rows, max_keys=0) == small == run(spark, texts, rows, max_keys=0, broadcast_bytes=0)

@@ -34,7 +34,7 @@ def test_duplicates_across_batches(spark, tmp_path):
     start = dt.datetime(2024, 1, 1)
     rows = [(i % 5, start + dt.timedelta(seconds=i)) for i in range(20)]
     _, stream = two_batches(spark, tmp_path, rows, "id long, created timestamp")
-    assert sorted(r["id"] for r in A.arrival_dedupe(stream, ["id"]).collect()) == [0, 1, 2, 3, 4]
+    assert sorted(r["id"] for r in A.collected(A.arrival_dedupe(stream, ["id"])).collect()) == [0, 1, 2, 3, 4]
 
 
 def test_batches_out_of_order_lose_nothing(spark, tmp_path):
@@ -42,10 +42,28 @@ def test_batches_out_of_order_lose_nothing(spark, tmp_path):
     for i, hour in enumerate(times):
         spark.createDataFrame([(i, dt.datetime(2024, 1, 1, hour))], "id long, created timestamp").coalesce(1).write.mode("append").parquet(path)
     stream = spark.readStream.schema("id long, created timestamp").option("maxFilesPerTrigger", 1).parquet(path)
-    assert sorted(r["id"] for r in A.arrival_dedupe(stream, ["id"]).collect()) == [0, 1, 2]
+    assert sorted(r["id"] for r in A.collected(A.arrival_dedupe(stream, ["id"])).collect()) == [0, 1, 2]
     assert sum(r["violations"] for r in A.violation_report(stream).collect()) == 6
 
 
+def test_dedupe_goes_on_after_a_restart(spark, tmp_path):
+    """What a query saw before it was stopped is still known to the next one with the same checkpoint, long after."""
+    path, out, state = (str(tmp_path / name) for name in ("in.parquet", "out", "state"))
+    seen = []
+    for day, ids in enumerate([[1, 2], [2, 3, 1], [4, 1], [5, 5]]):
+        rows = [(i, dt.datetime(2024, 1, 30 - 9 * day)) for i in ids]  # each batch is older than the one before
+        spark.createDataFrame(rows, "id long, created timestamp").coalesce(1).write.mode("append").parquet(path)
+        stream = A.arrival_dedupe(spark.readStream.schema("id long, created timestamp").parquet(path), ["id"])
+        query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
+        query.awaitTermination()
+        progress = [p for p in query.recentProgress if p["numInputRows"]]
+        assert sum(p["numInputRows"] for p in progress) == len(ids)
+        seen.append(progress[-1]["stateOperators"][0]["numRowsTotal"])
+        query.stop()
+    assert sorted(r["id"] for r in spark.read.parquet(out).collect()) == [1, 2, 3, 4, 5]
+    assert seen == [2, 3, 4, 5]
+
+
 def test_an_empty_stream_gives_no_rows(spark, tmp_path):
     (tmp_path / "in.parquet").mkdir()
     stream = spark.readStream.schema("id long, created timestamp").parquet(str(tmp_path / "in.parquet"))
