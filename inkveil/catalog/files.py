@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from inkveil.catalog import inputs
 from inkveil.catalog.core import Catalog, Source, in_sql, literal
 from inkveil.catalog.redaction_sql import MAPPING_ROWS, mapping_sql
-from inkveil.catalog.texts import DETAILS, LINK_COUNT, LINKS_SQL, dictionary, documents, mapping
+from inkveil.catalog.texts import DETAILS, LINK_COUNT, LINKS_SQL, dictionary, documents, links, mapping
 from inkveil.functions import texts
 from inkveil.operators import reconcile, report, rules
 from inkveil.operators.redact import replacement_details
@@ -16,7 +16,6 @@ from inkveil.operators.scrub import link_count
 from inkveil.plans.batch import report_tables
 from inkveil.session import shared_dir
 from inkveil.sources import files as L
-from inkveil.sources import units
 from inkveil.sources.sinks import read_report, write_report
 
 catalog = Catalog()
@@ -331,8 +330,7 @@ SELECT category, count(*) AS links FROM (
     WHEN regexp_matches(regexp_extract(target, '^https?://([^/]+)', 1), '(^|\\.)(docs|drive)\\.') THEN 'cloud drive' ELSE 'company site' END AS category
   FROM (SELECT {HOSTED} AS target FROM ({LINKS_SQL}) AS l) AS t) AS c GROUP BY category""")
 def link_categories(s: Source) -> DataFrame:
-    links = units.page_units(s.spread("pages", "page_id", "html")).filter("unit_kind = 'link'")
-    target = links.select(F.expr(HOSTED).alias("target"))
+    target = links(s).select(F.expr(HOSTED).alias("target"))
     host = F.regexp_extract("target", "^https?://([^/]+)", 1)
     return target.groupBy(report.link_category(host, host == "").alias("category")).agg(F.count("*").alias("links"))
 

@@ -16,11 +16,12 @@ from inkveil.catalog.redaction_sql import (
     redacted_sql,
     replaced_sql,
 )
-from inkveil.functions import redaction, texts
+from inkveil.functions import markup, redaction, texts
 from inkveil.operators import redact as R
 from inkveil.operators import scrub
 from inkveil.operators.dictionary import Dictionary
 from inkveil.operators.mapping import tier_rank
+from inkveil.operators.passes import redact_in_passes
 from inkveil.operators.provenance import pdf_metadata
 from inkveil.operators.stitch import first_format, link_run_split, run_stitch
 from inkveil.sources import units
@@ -156,7 +157,7 @@ def _passes_sql() -> str:
 
 @add("redact_multi_pass", _passes_sql())
 def redact_multi_pass(s: Source) -> DataFrame:
-    return R.redact_in_passes(documents(s), tier_rank(mapping(s))).drop("text")
+    return redact_in_passes(documents(s), tier_rank(mapping(s))).drop("text")
 
 
 @add("delete_term", f"""
@@ -200,10 +201,10 @@ def runs(s: Source) -> DataFrame:
 
 
 @add("run_stitch", f"""
-SELECT conv_id, CAST(0 AS BIGINT) AS part_no, {TEXT} AS redacted, {COUNT} AS replacements
+SELECT conv_id, {TEXT} AS redacted, {COUNT} AS replacements
 FROM (SELECT conv_id, string_agg(text, '' ORDER BY turn) AS text FROM conversations GROUP BY conv_id) AS c""")
 def stitch(s: Source) -> DataFrame:
-    return run_stitch(runs(s), dictionary(s), ["conv_id"]).drop("text")
+    return run_stitch(runs(s), dictionary(s), ["conv_id"])
 
 
 @add("link_run_split", f"""
@@ -215,7 +216,7 @@ parts AS (
   WHERE conv_id NOT IN (SELECT conv_id FROM linked) GROUP BY conv_id)
 SELECT conv_id, CAST(part_no AS BIGINT) AS part_no, {TEXT} AS redacted, {COUNT} AS replacements FROM parts""")
 def split_at_links(s: Source) -> DataFrame:
-    return link_run_split(runs(s), dictionary(s), ["conv_id"]).drop("text")
+    return link_run_split(runs(s), dictionary(s), ["conv_id"])
 
 
 FORMATS = {
@@ -234,33 +235,67 @@ def formats(s: Source) -> DataFrame:
     return first_format(formatted, ["conv_id"], list(FORMATS))
 
 
-LINKS_SQL = f"""
-SELECT page_id, unnest(regexp_extract_all(html, {literal(units.LINK)}, 1)) AS url,
-  unnest(regexp_extract_all(html, {literal(units.LINK)}, 2)) AS text,
-  generate_subscripts(regexp_extract_all(html, {literal(units.LINK)}, 2), 1) - 1 AS unit_no FROM pages"""
+def _kind_sql(name: str) -> str:
+    cases = [f"WHEN {name} IN ({', '.join(map(literal, names))}) THEN '{kind}'" for kind, names in markup.UNIT_KINDS.items() if kind != "block"]
+    return f"CASE WHEN {name} IN ('', 'a', '/a') THEN NULL {' '.join(cases)} ELSE 'block' END"
+
+
+def _target_sql(tag: str) -> str:
+    """The target of a link tag without its quotes, empty where there is none."""
+    return f"regexp_replace(regexp_extract({tag}, {literal(markup.TARGET)}, 1), '^[\"'']|[\"'']$', '', 'g')"
+
+
+# The same rule with windows over the rows of a page instead of one pass over its runs.
+UNITS_SQL = f"""
+SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS unit_no, unit_kind, text, url, in_link FROM (
+  SELECT page_id, i, text, CASE WHEN name = 'a' AND tag_url <> '' THEN tag_url END AS url, in_link,
+    CASE WHEN in_link THEN 'link' WHEN footers > 0 THEN 'footer' WHEN headers > 0 THEN 'header' ELSE kind END AS unit_kind
+  FROM (
+    SELECT *, coalesce(last_value({_kind_sql('name')} IGNORE NULLS) OVER w, 'block') AS kind,
+      coalesce(last_value(CASE name WHEN 'a' THEN true WHEN '/a' THEN false END IGNORE NULLS) OVER w, false) AS in_link,
+      sum(CASE name WHEN 'footer' THEN 1 WHEN '/footer' THEN -1 ELSE 0 END) OVER w AS footers,
+      sum(CASE name WHEN 'header' THEN 1 WHEN '/header' THEN -1 ELSE 0 END) OVER w AS headers
+    FROM (
+      SELECT page_id, i, regexp_replace(run, {literal(markup.INLINE)}, '', 'g') AS text, {_target_sql('tag')} AS tag_url,
+        lower(regexp_extract(tag, {literal(markup.TAG_NAME)}, 1)) AS name
+      FROM (
+        SELECT page_id, generate_subscripts(runs, 1) AS i, unnest(runs) AS run, unnest(list_prepend('', tags)) AS tag
+        FROM (SELECT page_id, regexp_split_to_array(html, {literal(markup.BORDER)}) AS runs,
+                regexp_extract_all(html, {literal(markup.BORDER)}) AS tags FROM pages) AS c) AS f) AS n
+    WINDOW w AS (PARTITION BY page_id ORDER BY i ROWS UNBOUNDED PRECEDING)) AS s) AS u
+WHERE regexp_matches(text, '[^\\s\\x0B]') OR url IS NOT NULL"""
+LINKS_SQL = f"SELECT * FROM ({UNITS_SQL}) AS u WHERE url IS NOT NULL"
+
+
+def links(s: Source) -> DataFrame:
+    """The units that begin a link."""
+    return units.page_units(s.spread("pages", "page_id", "html")).filter("url is not null")
 
 
 @add("url_rewrite", f"""
 SELECT page_id, CAST(unit_no AS BIGINT) AS unit_no, {redacted_sql(MAPPING_ROWS, 'url')} AS url, {count_sql(MAPPING_ROWS, 'url')} AS replacements
 FROM ({LINKS_SQL}) AS l""")
 def url_rewrite(s: Source) -> DataFrame:
-    links = units.page_units(s.spread("pages", "page_id", "html")).filter("unit_kind = 'link'")
-    done = R.redact(links.select("page_id", F.col("unit_no").cast("long"), "url"), dictionary(s), "url", ["page_id", "unit_no"])
+    done = R.redact(links(s).select("page_id", F.col("unit_no").cast("long"), "url"), dictionary(s), "url", ["page_id", "unit_no"])
     return done.select("page_id", "unit_no", F.col("redacted").alias("url"), "replacements")
 
 
 NAMES = """
 SELECT o_custkey AS doc, o_orderkey AS sheet_no, o_orderpriority AS old_name,
-  CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'Alpha' WHEN '2' THEN 'Alpha' WHEN '3' THEN '5-LOW'
-    ELSE o_orderpriority END AS new_name
+  CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'Alpha' WHEN '2' THEN 'ALPHA' WHEN '3' THEN '5-low'
+    WHEN '4' THEN 'Alpha_' || CAST(o_orderkey % 3 AS STRING) ELSE o_orderpriority END AS new_name
 FROM {orders}"""
 
 
 @add("name_dedupe", f"""
-WITH ranked AS (SELECT *, row_number() OVER (PARTITION BY doc, new_name
-    ORDER BY CASE WHEN old_name = new_name THEN 0 ELSE 1 END, sheet_no) AS place FROM ({in_sql(NAMES)}) AS n)
-SELECT doc, sheet_no, old_name, new_name, CASE WHEN place > 1 AND old_name <> new_name
-  THEN new_name || '_' || CAST(place - 1 AS VARCHAR) ELSE new_name END AS final_name FROM ranked""")
+WITH names AS (SELECT *, lower(new_name) AS wanted FROM ({in_sql(NAMES)}) AS n),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY doc, wanted ORDER BY CASE WHEN old_name = new_name THEN 0 ELSE 1 END, sheet_no) AS place FROM names),
+taken AS (SELECT doc, regexp_extract(wanted, '^(.*)_([1-9][0-9]*)$', 1) AS wanted,
+  list(CAST(regexp_extract(wanted, '^(.*)_([1-9][0-9]*)$', 2) AS BIGINT)) AS numbers
+  FROM (SELECT DISTINCT doc, wanted FROM names) AS d WHERE regexp_matches(wanted, '^.*_[1-9][0-9]*$') GROUP BY ALL)
+SELECT r.doc, sheet_no, old_name, new_name, CASE WHEN place = 1 THEN new_name ELSE new_name || '_' || CAST(
+    list_filter(range(1, 1000), lambda k: NOT list_contains(coalesce(numbers, []), k))[place - 1] AS VARCHAR) END AS final_name
+FROM ranked AS r LEFT JOIN taken AS t ON t.doc = r.doc AND t.wanted = r.wanted""")
 def name_dedupe(s: Source) -> DataFrame:
     return scrub.name_dedupe(s.derived(NAMES), ["doc"], "old_name", "new_name", "sheet_no")
 
@@ -269,12 +304,14 @@ NUMBERS = """
 SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN CAST(p_size AS STRING) WHEN 1 THEN CAST(p_size AS STRING) || '.5'
   WHEN 2 THEN p_name WHEN 3 THEN CAST(p_size AS STRING) || '.079999923706055'
   WHEN 4 THEN ' -' || CAST(p_size AS STRING) || ' '
-  WHEN 5 THEN CAST(p_size AS STRING) || 'd' WHEN 6 THEN CAST(p_size AS STRING) || '.5f' ELSE NULL END AS value FROM {part}"""
+  WHEN 5 THEN CAST(p_size AS STRING) || 'd' WHEN 6 THEN CAST(p_size AS STRING) || '.5f'
+  ELSE CASE p_partkey % 3 WHEN 0 THEN '99999999999999999999' || CAST(p_size AS STRING) WHEN 1 THEN repeat('9', 45) ELSE NULL END
+  END AS value FROM {part}"""
 
 
 @add("tolerant_int", f"""
-SELECT p_partkey, CASE WHEN regexp_matches(trim(value), '^-?[0-9]+$') THEN CAST(trim(value) AS BIGINT)
-  ELSE coalesce(CAST(round_even(TRY_CAST(value AS DOUBLE), 0) AS BIGINT), 0) END AS number
+SELECT p_partkey, CASE WHEN regexp_matches(trim(value), '^-?[0-9]+$') THEN TRY_CAST(trim(value) AS DECIMAL(38,0))
+  ELSE coalesce(CAST(round_even(TRY_CAST(value AS DOUBLE), 0) AS DECIMAL(38,0)), 0) END AS number
 FROM ({in_sql(NUMBERS)}) AS n""")
 def tolerant_int(s: Source) -> DataFrame:
     return s.derived(NUMBERS).select("p_partkey", texts.tolerant_int(F.col("value")).alias("number"))
@@ -315,18 +352,8 @@ def pdf_field_extract(s: Source) -> DataFrame:
     return s.derived(PDF_TEXT).select("page_id", *[column.alias(name) for name, column in fields.items()])
 
 
-def _units_sql() -> str:
-    kinds = [
-        f"SELECT page_id, '{kind}' AS unit_kind, unnest(regexp_extract_all(html, {literal(p)}, 1)) AS text, "
-        f"generate_subscripts(regexp_extract_all(html, {literal(p)}, 1), 1) - 1 AS unit_no, CAST(NULL AS VARCHAR) AS url, false AS in_link FROM pages"
-        for kind, p in units.PAGE_UNITS.items()
-    ]
-    kinds.append(f"SELECT page_id, 'link', text, unit_no, url, true FROM ({LINKS_SQL}) AS l")
-    return " UNION ALL ".join(kinds)
-
-
 @add("text_units", f"""
-SELECT 'page' AS origin, page_id AS doc_id, unit_kind, CAST(unit_no AS BIGINT) AS unit_no, text, url, in_link FROM ({_units_sql()}) AS p
+SELECT 'page' AS origin, page_id AS doc_id, unit_kind, CAST(unit_no AS BIGINT) AS unit_no, text, url, in_link FROM ({UNITS_SQL}) AS p
 UNION ALL
 SELECT 'document', doc_id, 'line', CAST(unit_no - 1 AS BIGINT), line, NULL, false
 FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS unit_no FROM documents) AS d
@@ -345,8 +372,21 @@ def text_units(s: Source) -> DataFrame:
     return named[0].unionByName(named[1]).unionByName(named[2])
 
 
-UNLINKED = f"regexp_replace(html, {literal(scrub.LINK_TAG)}, '', 'g')"
-LINK_COUNT = f"CAST(len(regexp_extract_all(html, {literal(scrub.LINK_TARGET)})) AS BIGINT)"
+TAGS = f"regexp_extract_all(html, {literal(markup.BORDER)})"
+RUNS_OF = f"regexp_split_to_array(html, {literal(markup.BORDER)})"
+LINK_COUNT = f"CAST(len(list_filter({TAGS}, lambda t: regexp_extract(t, {literal(markup.TARGET)}, 1) <> '')) AS BIGINT)"
+
+
+def _woven_sql(runs: str, tags: str) -> str:
+    return f"array_to_string(list_transform(list_zip({runs}, list_append({tags}, '')), lambda z: z[1] || z[2]), '')"
+
+
+def _unlinked_sql(tags: str) -> str:
+    name = f"lower(regexp_extract(t, {literal(markup.TAG_NAME)}, 1))"
+    return f"list_transform({tags}, lambda t: CASE WHEN {name} IN ('a', '/a') THEN '' ELSE t END)"
+
+
+UNLINKED = _woven_sql(RUNS_OF, _unlinked_sql(TAGS))
 
 
 @add("unlink_doc", f"SELECT page_id, {UNLINKED} AS html, {LINK_COUNT} AS links_removed FROM pages")
@@ -358,8 +398,7 @@ def unlink_doc(s: Source) -> DataFrame:
 SELECT page_id, CAST(unit_no AS BIGINT) AS row_no, text AS value, CAST(NULL AS VARCHAR) AS url,
   count(url) OVER (PARTITION BY page_id) AS links_removed FROM ({LINKS_SQL}) AS l""")
 def unlink_cells(s: Source) -> DataFrame:
-    links = units.page_units(s.spread("pages", "page_id", "html")).filter("unit_kind = 'link'")
-    cells = links.select("page_id", F.col("unit_no").cast("long").alias("row_no"), F.col("text").alias("value"), "url")
+    cells = links(s).select("page_id", F.col("unit_no").cast("long").alias("row_no"), F.col("text").alias("value"), "url")
     cleaned, counts = scrub.unlink_cells(cells, ["page_id"])
     return cleaned.join(counts, "page_id")
 
@@ -428,15 +467,40 @@ _props(scrub.SHEET_PROPS, scrub.strip_props_sheet, "strip_props_sheet")
 _props(scrub.SLIDE_PROPS, scrub.strip_props_slides, "strip_props_slides")
 
 
+def _redacted_tag_sql() -> str:
+    around = literal(markup.AROUND_TARGET)
+    to = redacted_sql(MAPPING_ROWS, _target_sql("t"))
+    return (
+        f"CASE WHEN regexp_extract(t, {literal(markup.TARGET)}, 1) = '' THEN t "
+        f"ELSE regexp_extract(t, {around}, 1) || '\"' || {to} || '\"' || regexp_extract(t, {around}, 3) END"
+    )
+
+
+# Pieces of text are replaced one by one here; the tables have no key that reaches across an inline tag.
+_PIECES = f"regexp_split_to_array(r, {literal(markup.INLINE)})"
+_LEFT = f"list_filter(regexp_extract_all(r, {literal(markup.INLINE)}), lambda t: true)"
+_NEW_RUN = _woven_sql(
+    f"list_transform({_PIECES}, lambda p: {redacted_sql(MAPPING_ROWS, 'p')})",
+    f"list_transform({_LEFT}, lambda t: CASE WHEN regexp_matches(t, {literal(scrub.IMAGE_TAG)}) THEN '' ELSE t END)",
+)
+_RUN_HITS = f"list_sum(list_transform({_PIECES}, lambda p: {count_sql(MAPPING_ROWS, 'p')}))"
+
+
 @add("scrub_pipeline", f"""
-WITH a AS (SELECT page_id, {redacted_sql(MAPPING_ROWS, 'html')} AS html, {count_sql(MAPPING_ROWS, 'html')} AS replacements FROM pages),
-b AS (SELECT page_id, replacements, {UNLINKED} AS html, {LINK_COUNT} AS links_removed FROM a),
-c AS (SELECT page_id, replacements, links_removed, CAST(len(regexp_extract_all(html, {literal(scrub.IMAGE_TAG)})) AS BIGINT) AS images_removed,
-  regexp_replace(html, {literal(scrub.IMAGE_TAG)}, '', 'g') AS html FROM b)
-SELECT page_id, replacements, links_removed, images_removed,
+WITH cut AS (SELECT page_id, {RUNS_OF} AS runs, {TAGS} AS tags FROM pages),
+redacted AS (SELECT page_id, list_transform(runs, lambda r: {_NEW_RUN}) AS runs, list_transform(tags, lambda t: {_redacted_tag_sql()}) AS tags,
+  CAST(list_sum(list_transform(runs, lambda r: {_RUN_HITS}))
+    + list_sum(list_transform(tags, lambda t: {count_sql(MAPPING_ROWS, _target_sql('t'))})) AS BIGINT) AS replacements,
+  CAST(len(list_filter(tags, lambda t: regexp_extract(t, {literal(markup.TARGET)}, 1) <> '')) AS BIGINT) AS links_removed,
+  CAST(list_sum(list_transform(runs, lambda r: len(list_filter({_LEFT}, lambda t: regexp_matches(t, {literal(scrub.IMAGE_TAG)}))))) AS BIGINT)
+    AS images_removed FROM cut),
+joined AS (SELECT page_id, replacements, links_removed, images_removed, {_woven_sql('runs', _unlinked_sql('tags'))} AS html FROM redacted),
+edged AS (SELECT * REPLACE (regexp_replace(html, {literal(scrub.EDGE_ELEMENT)}, '', 'g') AS html),
   CAST(len(list_filter(regexp_extract_all(html, {literal(scrub.EDGE_ELEMENT)}, 1),
-    lambda x: trim(regexp_replace(x, {literal(scrub.TAG)}, '', 'g')) <> '')) AS BIGINT) AS edges_cleared,
-  regexp_replace(html, {literal(scrub.EDGE_ELEMENT)}, '', 'g') AS html FROM c""")
+    lambda x: trim(regexp_replace(x, {literal(scrub.TAG)}, '', 'g')) <> '')) AS BIGINT) AS edges_cleared FROM joined)
+SELECT * REPLACE (regexp_replace(regexp_replace(html, {literal(scrub.PAGE_PROPS[0])}, '\\1""', 'g'), {literal(scrub.PAGE_PROPS[1])}, '\\1""\\3', 'g') AS html),
+  CAST(len(regexp_extract_all(html, {literal(scrub.PAGE_PROPS[0])})) + len(regexp_extract_all(html, {literal(scrub.PAGE_PROPS[1])})) AS BIGINT) AS props_cleared
+FROM edged""")
 def scrub_pipeline(s: Source) -> DataFrame:
     return scrub.scrub_pipeline(
         s.spread("pages", "page_id", "html"), dictionary(s), remove_links=True, remove_images=True, clear_edges=True

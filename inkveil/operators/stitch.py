@@ -1,9 +1,9 @@
 """Joining the runs of a paragraph so that keys which span runs are found.
 
-Runs are joined in blocks of at most ``block`` runs.  A paragraph of several blocks is cut where no key
-can reach across: right after a character that is neither alphanumeric nor inside or at the start of any
-key.  What follows the last such place of a block moves on to the next one, so the parts of a paragraph,
-read in order, hold exactly the matches of the whole, while no task has to hold a whole hot paragraph.
+Runs are joined in blocks of at most ``block`` runs, and each block is cut after its last place where no key can reach
+across: right after a character that is neither alphanumeric nor inside or at the start of any key. What follows that
+place is carried to the next block that has one, so the blocks of a paragraph hold exactly the matches of the whole, and
+a hot paragraph is redacted by many tasks. The redacted blocks are put together again: one row per paragraph, however long.
 """
 
 from __future__ import annotations
@@ -34,43 +34,27 @@ def stitched(
     runs: DataFrame, dictionary: Dictionary, by: list[str], order: str = "run_no", text: str = "text",
     block: int = BLOCK,
 ) -> DataFrame:
-    """One row per paragraph, or several ordered parts (``part_no``) for a very long one."""
+    """The texts of each paragraph as parts that no key reaches across, numbered by ``part_no``."""
     run = F.struct(order, text)
-    if runs.filter(F.col(order) >= block).isEmpty():
-        return runs.groupBy(*by).agg(joined_text(F.collect_list(run), order, text).alias(text)).select(
-            *by, F.lit(0).cast("long").alias("part_no"), text
-        )
-    blocks = runs.groupBy(*by, F.floor(F.col(order) / block).alias("_block")).agg(
+    blocks = runs.groupBy(*by, F.floor(F.col(order) / block).alias("part_no")).agg(
         joined_text(F.collect_list(run), order, text).alias("_text")
     )
-    head = F.regexp_extract("_text", cut_pattern(dictionary), 1)
-    cut = blocks.select(
-        *by, "_block", head.alias("_head"),
-        F.when(head == "", F.col("_text")).otherwise(F.substring("_text", F.length(head) + 1, F.length("_text"))).alias("_tail"),
+    cut = blocks.withColumn("_head", F.regexp_extract("_text", cut_pattern(dictionary), 1)).select(
+        *by, "part_no", "_head", F.substring("_text", F.length("_head") + 1, F.length("_text")).alias("_tail")
     )
-    # Only block numbers and flags go through this window, not the texts.
-    earlier = W.partitionBy(*by).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
-    places = cut.select(*by, "_block", (F.col("_head") != "").cast("long").alias("_cut")).select(
-        *by, "_block", F.coalesce(F.sum("_cut").over(earlier), F.lit(0)).alias("_part"),
-        (F.max("_block").over(W.partitionBy(*by)) == F.min("_block").over(W.partitionBy(*by))).alias("_alone"),
-    )
-    located = cut.join(places, [*by, "_block"])
-    pieces = F.when(
-        F.col("_alone"),
-        F.array(F.struct(F.lit(0).cast("long").alias("part_no"), F.concat("_head", "_tail").alias("piece"))),
-    ).otherwise(
-        F.array(
-            F.struct(F.col("_part").alias("part_no"), F.col("_head").alias("piece")),
-            F.struct((F.col("_part") + (F.col("_head") != "").cast("long")).alias("part_no"), F.col("_tail").alias("piece")),
-        )
-    )
-    single = located.select(*by, "_block", F.posexplode(pieces).alias("_at", "_piece")).select(
-        *by, "_block", "_at", "_piece.part_no", "_piece.piece"
-    ).filter("piece != '' or part_no = 0")
-    return single.groupBy(*by, "part_no").agg(
-        F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct("_block", "_at", "piece"))), lambda x: x["piece"]), ""
-        ).alias(text)
+    # Only tails go through this window: a few characters of each block, unless it has no place to cut. The next block
+    # with such a place takes them, or else a part behind the last block.
+    later = W.partitionBy(*by).orderBy("part_no").rowsBetween(1, W.unboundedFollowing)
+    last = F.max("part_no").over(W.partitionBy(*by))
+    to = F.coalesce(F.min(F.when(F.col("_head") != "", F.col("part_no"))).over(later), last + 1)
+    tails = cut.select(*by, "part_no", "_tail", to.alias("_to")).filter("_tail != ''")
+    tails = tails.groupBy(*by, "_to").agg(joined_text(F.collect_list(F.struct("part_no", "_tail")), "part_no", "_tail").alias("_carried"))
+    heads = cut.filter("_head != '' or _tail = ''").select(*by, "part_no", "_head")
+    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in by]
+    both = heads.alias("l").join(tails.alias("r"), [*same, F.col("part_no") == F.col("_to")], "full")
+    whole = F.concat(F.coalesce("_carried", F.lit("")), F.coalesce("_head", F.lit("")))
+    return both.select(
+        *[F.coalesce(F.col(f"l.{c}"), F.col(f"r.{c}")).alias(c) for c in by], F.coalesce("part_no", "_to").alias("part_no"), whole.alias(text)
     )
 
 
@@ -78,8 +62,10 @@ def run_stitch(
     runs: DataFrame, dictionary: Dictionary, by: list[str], order: str = "run_no", text: str = "text",
     block: int = BLOCK,
 ) -> DataFrame:
-    """Stitch the runs of each paragraph, then redact the stitched text."""
-    return redact(stitched(runs, dictionary, by, order, text, block), dictionary, text, [*by, "part_no"])
+    """Stitch the runs of each paragraph and redact the stitched text: one row per paragraph, as if it were redacted whole."""
+    parts = redact(stitched(runs, dictionary, by, order, text, block), dictionary, text, [*by, "part_no"])
+    pieces = F.collect_list(F.struct("part_no", "redacted"))
+    return parts.groupBy(*by).agg(joined_text(pieces, "part_no", "redacted").alias("redacted"), F.sum("replacements").alias("replacements"))
 
 
 def link_run_split(
@@ -93,7 +79,7 @@ def link_run_split(
         dictionary, text, [*by, "part_no"],
     )
     whole = run_stitch(runs.join(linked, by, "left_anti"), dictionary, by, order, text, block)
-    return apart.unionByName(whole)
+    return apart.drop(text).unionByName(whole.withColumn("part_no", F.lit(0).cast("long")))
 
 
 def first_format(runs: DataFrame, by: list[str], formats: list[str], order: str = "run_no") -> DataFrame:

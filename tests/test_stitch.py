@@ -1,10 +1,11 @@
-"""Stitching: long paragraphs come in parts that together hold the same matches."""
+"""Stitching: a paragraph is one row, however many blocks it was redacted in."""
 
 import random
 
-from pyspark.sql import functions as F
+import pytest
 
 from inkveil.operators.dictionary import Dictionary
+from inkveil.operators.redact import redact
 from inkveil.operators.stitch import first_format, link_run_split, run_stitch
 
 MAPPING = "ordinal long, original string, replacement string"
@@ -24,22 +25,22 @@ def test_phrase_over_runs(spark):
     ]
 
 
-def test_parts_of_a_long_paragraph_equal_the_whole(spark):
+@pytest.mark.parametrize("form", [{}, {"max_keys": 0}])
+@pytest.mark.parametrize("block", [1, 2, 4, 10_000])
+def test_a_long_paragraph_is_one_row_at_any_block_size(spark, form, block):
     rng = random.Random(3)
-    words = ["ab", "a b", "b.", " ", "\n", "c", "ab c", ",", "", "A", "b a"]
-    rows = [(p, n, rng.choice(words), False) for p in range(6) for n in range(rng.choice([1, 5, 90]))]
-    runs = spark.createDataFrame(rows, RUNS)
+    words = ["ab", "a b", "b.", " ", "\n", "c", "ab c", ",", "", "A", "b a", None]
+    rows = [(p, n, rng.choice(words), False) for p in [*range(6), None] for n in range(rng.choice([1, 5, 90]))]
+    rows += [(7, 0, "", False), (7, 9, None, False), (8, 3, "ab" * 40, False), (8, 4, "c", False), (8, 40_000, "a b", False)]
     mapping = spark.createDataFrame([(1, "a b", "X"), (2, "ab", "Yy"), (3, "b.", "zz"), (4, "c a", "")], MAPPING)
-    for form in ({}, {"max_keys": 0}):
-        ready = Dictionary.build(mapping, **form)
-        whole = {r["para"]: (r["redacted"], r["replacements"]) for r in run_stitch(runs, ready, ["para"]).collect()}
-        parts = run_stitch(runs, ready, ["para"], block=4)
-        assert parts.count() > len(whole)
-        joined = parts.groupBy("para").agg(
-            F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part_no", "redacted"))), lambda x: x["redacted"]), "").alias("t"),
-            F.sum("replacements").alias("n"),
-        )
-        assert {r["para"]: (r["t"], r["n"]) for r in joined.collect()} == whole
+    ready = Dictionary.build(mapping, **form)
+    whole = {}
+    for p, n, t, _ in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1])):
+        whole[p] = whole.get(p, "") + (t or "")
+    want = redact(spark.createDataFrame(list(whole.items()), "para long, text string"), Dictionary.build(mapping), keys=["para"])
+    got = run_stitch(spark.createDataFrame(rows, RUNS).repartition(5), ready, ["para"], block=block)
+    assert got.columns == ["para", "redacted", "replacements"]
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.drop("text").collect()))
 
 
 def test_first_format(spark):
