@@ -10,9 +10,8 @@ from inkveil.catalog.core import Catalog, Source, in_sql, literal
 from inkveil.functions.patterns import NOT_AFTER_WORD, NOT_BEFORE_WORD
 from inkveil.operators import mapping as M
 from inkveil.operators.dictionary import key_pattern
-from inkveil.operators.report import ranked_within
-from inkveil.session import written
-from inkveil.sources.sheets import mapping_cells, mapping_source
+from inkveil.operators.ranking import numbered
+from inkveil.sources.sheets import book_pairs, mapping_source
 
 catalog = Catalog()
 add = catalog.add
@@ -86,15 +85,15 @@ mapping AS (SELECT * FROM named UNION ALL SELECT book, ordinal, original, replac
 
 
 def cells(s: Source) -> DataFrame:
-    return written(s.derived(inputs.CELLS), "cells")
+    return s.derived(inputs.CELLS)
 
 
-def chosen(s: Source) -> DataFrame:
-    return mapping_cells(cells(s), BOOK)
+def pairs(s: Source) -> DataFrame:
+    return book_pairs(cells(s), BOOK)
 
 
 def filled(s: Source) -> DataFrame:
-    return M.blank_is_delete(M.value_normalise(M.raw_pairs(chosen(s), BOOK)))
+    return M.blank_is_delete(M.value_normalise(pairs(s)))
 
 
 def direct(s: Source) -> DataFrame:
@@ -102,7 +101,7 @@ def direct(s: Source) -> DataFrame:
 
 
 def full(s: Source) -> DataFrame:
-    return M.load_mapping(chosen(s), BOOK)
+    return M.finished_mapping(pairs(s), BOOK)
 
 
 @add("mapping_source", STEPS + "SELECT book, CAST(sheet_no AS BIGINT) AS sheet_no FROM sheets")
@@ -111,22 +110,31 @@ def source_sheet(s: Source) -> DataFrame:
 
 
 @add("header_detect", f"""
-SELECT book, CAST(sheet_no AS BIGINT) AS sheet_no, min(row_no) AS header_row FROM ({in_sql(inputs.CELLS)}) AS c
-WHERE row_no <= 10 AND regexp_matches(lower(value), {SOURCE_RE}) GROUP BY book, sheet_no""")
+SELECT *, CASE WHEN header_row IS NULL THEN {literal(M.NO_HEADER)} END AS problem FROM (
+  SELECT book, CAST(sheet_no AS BIGINT) AS sheet_no, min(row_no) FILTER (row_no <= 10 AND regexp_matches(lower(value), {SOURCE_RE})) AS header_row
+  FROM ({in_sql(inputs.CELLS)}) AS c GROUP BY book, sheet_no) AS h""")
 def header_detect(s: Source) -> DataFrame:
-    return M.header_detect(cells(s), SHEET).select("book", F.col("sheet_no").cast("long").alias("sheet_no"), "header_row")
+    return M.header_detect(cells(s), SHEET).select("book", F.col("sheet_no").cast("long").alias("sheet_no"), "header_row", "problem")
 
 
-@add("column_detect", STEPS + "SELECT book, header_row, CAST(source_col AS BIGINT) AS source_col, CAST(target_col AS BIGINT) AS target_col FROM cols")
+@add("column_detect", f"""
+WITH cells AS ({in_sql(inputs.CELLS)}),
+heads AS (SELECT book, sheet_no, min(row_no) FILTER (row_no <= 10 AND regexp_matches(lower(value), {SOURCE_RE})) AS header_row FROM cells GROUP BY book, sheet_no),
+cols AS (
+  SELECT h.book, h.sheet_no, any_value(h.header_row) AS header_row,
+    max(col_no) FILTER (regexp_matches(lower(value), {SOURCE_RE})) AS source_col,
+    max(col_no) FILTER (NOT regexp_matches(lower(value), {SOURCE_RE}) AND regexp_matches(lower(value), {TARGET_RE})) AS target_col
+  FROM heads AS h LEFT JOIN cells AS c ON c.book = h.book AND c.sheet_no = h.sheet_no AND c.row_no = h.header_row GROUP BY h.book, h.sheet_no)
+SELECT book, CAST(sheet_no AS BIGINT) AS sheet_no, header_row, CAST(source_col AS BIGINT) AS source_col, CAST(target_col AS BIGINT) AS target_col,
+  CASE WHEN header_row IS NULL THEN {literal(M.NO_HEADER)} WHEN target_col IS NULL THEN {literal(M.NO_TARGET)} END AS problem FROM cols""")
 def column_detect(s: Source) -> DataFrame:
-    return M.column_detect(chosen(s), BOOK).select(
-        "book", "header_row", F.col("source_col").cast("long").alias("source_col"), F.col("target_col").cast("long").alias("target_col")
-    )
+    long = [F.col(c).cast("long").alias(c) for c in ("sheet_no", "source_col", "target_col")]
+    return M.column_detect(cells(s), SHEET).select("book", "header_row", "problem", *long)
 
 
 @add("value_normalise", STEPS + "SELECT book, ordinal, original, replacement FROM normal")
 def value_normalise(s: Source) -> DataFrame:
-    return M.value_normalise(M.raw_pairs(chosen(s), BOOK)).select("book", "ordinal", "original", "replacement")
+    return M.value_normalise(pairs(s)).select("book", "ordinal", "original", "replacement")
 
 
 @add("blank_is_delete", STEPS + "SELECT book, ordinal, original, replacement FROM filled")
@@ -211,4 +219,4 @@ def action_label(s: Source) -> DataFrame:
 @add("mapping_sort", STEPS + """
 SELECT book, original, row_number() OVER (PARTITION BY book ORDER BY original) AS position FROM mapping""")
 def mapping_sort(s: Source) -> DataFrame:
-    return ranked_within(full(s), BOOK, [F.asc("original")], "position").select("book", "original", "position")
+    return numbered(full(s), [], "original", BOOK).select("book", "original", "position")

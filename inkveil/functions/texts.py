@@ -21,11 +21,15 @@ def normalised_value(value: Column) -> Column:
 
 
 def tolerant_int(value: Column) -> Column:
-    """A whole number, else a rounded one (half to even), else 0. Type suffixes such as ``d`` make no number."""
+    """A whole number, else a rounded one (half to even), else 0, as decimal(38,0); a number beyond its 38 digits is null.
+
+    Type suffixes such as ``d`` make no number.
+    """
     bare = strip(value)
-    rounded = F.bround(bare.try_cast("double")).try_cast("long")
+    whole = bare.rlike(r"^[-+]?[0-9]+$")
     number = bare.rlike(r"^[-+]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][-+]?[0-9]+)?$")
-    return F.when(number, F.coalesce(bare.try_cast("long"), rounded, F.lit(0))).otherwise(0).cast("long")
+    rounded = F.bround(bare.try_cast("double")).try_cast("decimal(38,0)")
+    return F.when(whole, bare.try_cast("decimal(38,0)")).when(number, rounded).otherwise(F.lit(0).cast("decimal(38,0)"))
 
 
 def truncated(value: Column, width: int = 60) -> Column:

@@ -18,6 +18,8 @@ SHEET_WORDS = ["tracker", "anonymization", "mapping", "aliases"]
 SOURCE_WORDS = ["original", "real", "actual", "before"]
 TARGET_WORDS = ["replacement", "anonymized", "alias", "after"]
 HEADER_ROWS = 10
+NO_HEADER = "no header row in the first ten rows"
+NO_TARGET = "no replacement column in the header row"
 
 # Endings that are dropped to derive a base name.
 EXECUTIVE_SUFFIXES = [
@@ -58,34 +60,46 @@ def holds_any(value: Column, words: list[str]) -> Column:
     return F.coalesce(F.lower(value).rlike("|".join(words)), F.lit(False))
 
 
+def heading_columns() -> tuple[Column, Column]:
+    """The last source and the last target column among cells, as aggregates; a source heading is never a target."""
+    source = holds_any(F.col("value"), SOURCE_WORDS)
+    target = ~source & holds_any(F.col("value"), TARGET_WORDS)
+    return F.max(F.when(source, F.col("col_no"))), F.max(F.when(target, F.col("col_no")))
+
+
 def header_detect(cells: DataFrame, by: list[str]) -> DataFrame:
-    """The first of the top ten rows with a source heading."""
+    """The first of the top ten rows with a source heading; a sheet without one gets a ``problem`` instead."""
     heading = (F.col("row_no") <= HEADER_ROWS) & holds_any(F.col("value"), SOURCE_WORDS)
-    return cells.filter(heading).groupBy(*by).agg(F.min("row_no").alias("header_row"))
+    found = cells.groupBy(*by).agg(F.min(F.when(heading, F.col("row_no"))).alias("header_row"))
+    return found.withColumn("problem", F.when(F.col("header_row").isNull(), NO_HEADER))
 
 
 def column_detect(cells: DataFrame, by: list[str]) -> DataFrame:
-    """The last source and the last target column of the header row; a source cell is never a target."""
-    source = holds_any(F.col("value"), SOURCE_WORDS)
-    target = ~source & holds_any(F.col("value"), TARGET_WORDS)
-    headings = (
-        cells.filter(F.col("row_no") <= HEADER_ROWS)
-        .groupBy(*by, "row_no")
-        .agg(
-            F.max(F.when(source, F.col("col_no"))).alias("source_col"),
-            F.max(F.when(target, F.col("col_no"))).alias("target_col"),
-        )
-        .filter("source_col is not null")
-    )
-    first = F.min_by(F.struct("source_col", "target_col"), "row_no")
-    return headings.groupBy(*by).agg(F.min("row_no").alias("header_row"), first.alias("_cols")).select(
-        *by, "header_row", "_cols.source_col", "_cols.target_col"
+    """The last source and the last target column of the header row; a source cell is never a target.
+
+    Every sheet has a row. ``problem`` says why a sheet gives no mapping: no header row, or no target column in it.
+    """
+    source, target = heading_columns()
+    top = F.when(F.col("row_no") <= HEADER_ROWS, F.col("row_no"))
+    headings = cells.groupBy(*by, top.alias("_row")).agg(source.alias("source_col"), target.alias("target_col"))
+    # rows below the top ones share one group, whose headings don't count
+    row = F.when(F.col("source_col").isNotNull(), F.col("_row"))
+    first = F.min(F.when(row.isNotNull(), F.struct(row.alias("row"), "source_col", "target_col")))
+    found = headings.groupBy(*by).agg(first.alias("_head")).select(
+        *by, F.col("_head.row").alias("header_row"), "_head.source_col", "_head.target_col"
     )
+    problem = F.when(F.col("header_row").isNull(), NO_HEADER).when(F.col("target_col").isNull(), NO_TARGET)
+    return found.withColumn("problem", problem)
+
+
+def rejected_sheets(cells: DataFrame, by: list[str]) -> DataFrame:
+    """The sheets that give no mapping, each with its problem."""
+    return column_detect(cells, by).filter("problem is not null").select(*by, "problem")
 
 
 def raw_pairs(cells: DataFrame, by: list[str]) -> DataFrame:
-    """Source and target cell of each row below the header; sheets without both columns yield nothing."""
-    heads = column_detect(cells, by).filter("target_col is not null")
+    """Source and target cell of each row below the header; :func:`rejected_sheets` lists the sheets that have none."""
+    heads = column_detect(cells, by).filter("problem is null").drop("problem")
     placed = cells.join(heads, by).filter(
         (F.col("row_no") > F.col("header_row")) & F.col("col_no").isin(F.col("source_col"), F.col("target_col"))
     )
@@ -183,8 +197,12 @@ def mapping_union(direct: DataFrame, by: list[str]) -> DataFrame:
 
 def load_mapping(cells: DataFrame, by: list[str]) -> DataFrame:
     """From the cells of one sheet per ``by`` group to the finished mapping."""
-    pairs = blank_is_delete(value_normalise(raw_pairs(cells, by)))
-    return mapping_union(last_value_wins(pairs, by), by)
+    return finished_mapping(raw_pairs(cells, by), by)
+
+
+def finished_mapping(pairs: DataFrame, by: list[str]) -> DataFrame:
+    """From pairs of cells to the finished mapping."""
+    return mapping_union(last_value_wins(blank_is_delete(value_normalise(pairs)), by), by)
 
 
 def mapping_validate(books: DataFrame, mapping: DataFrame, by: list[str]) -> DataFrame:
