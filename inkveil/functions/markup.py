@@ -47,6 +47,11 @@ TARGET = r"""(?is)^<a\s(?:.*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
 AROUND_TARGET = r"""(?is)^(<a\s(?:.*?\s)?href\s*=\s*)("[^"]*"|'[^']*'|[^\s"'>]+)(.*)$"""
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def borders(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit(BORDER), F.lit(0))
 

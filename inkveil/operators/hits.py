@@ -32,10 +32,11 @@ _HIT = "struct<at:int,size:int,entry:" + LOOKUP_TYPE + ">"
 
 @dataclass(frozen=True)
 class KeyIndex:
-    """Keys by the hash of their folded pieces, their numbers of pieces, and bitmaps of beginnings and of whole keys."""
+    """Keys by the hash of their folded pieces, their numbers of pieces, and bitmaps of first pieces, beginnings and whole keys."""
 
     keys: DataFrame
     sizes: tuple[int, ...]
+    firsts: str
     begins: str
     whole: str
     bits: int
@@ -47,13 +48,15 @@ class KeyIndex:
         rows = keys.select("lower", "original", "replacement", *also, cut.alias("_pieces")).select(
             *also,
             F.xxhash64(F.array_join("_pieces", "")).alias("run"), F.array_join("_pieces", "").alias("said"),
-            F.size("_pieces").alias("size"), _begin(F.col("_pieces"), F.lit(0), F.least(F.size("_pieces"), F.lit(_FIRST))).alias("begin"),
+            F.size("_pieces").alias("size"), F.xxhash64(F.get("_pieces", F.lit(0))).alias("first"),
+            F.when(F.size("_pieces") > _FIRST, _run_hash(F.col("_pieces"), F.lit(0), _FIRST)).alias("begin"),
             F.col("original").rlike(r"^[\p{L}\p{N}]").alias("left"), F.col("original").rlike(r"[\p{L}\p{N}]$").alias("right"),
             "lower", F.struct("original", "replacement").cast(LOOKUP_TYPE).alias("entry"),
         )
         bits = 1 << max(10, min(_MOST_BITS, _BITS * n_keys).bit_length())
         sizes = tuple(sorted(r[0] for r in rows.select("size").distinct().collect()))  # at most the length of a key
-        return cls(rows.drop("begin"), sizes, _bitmap(rows, "begin", bits), _bitmap(rows, "run", bits), bits)
+        maps = [_bitmap(rows.where(F.col(c).isNotNull()), c, bits) for c in ("first", "begin", "run")]
+        return cls(rows.drop("first", "begin"), sizes, *maps, bits)
 
 
 def cut_pieces(text: Column) -> Column:
@@ -69,9 +72,8 @@ def folded(piece: Column) -> Column:
     return F.when(F.octet_length(plain) == F.length(plain), plain).otherwise(lower)
 
 
-def _begin(pieces: Column, at: Column, count: Column) -> Column:
-    """A hash of the first pieces of a run, and of how many they are."""
-    return F.xxhash64(count, F.array_join(F.slice(pieces, at + 1, count), "\n"))
+def _run_hash(pieces: Column, at: Column, size: Column | int) -> Column:
+    return F.xxhash64(F.array_join(F.slice(pieces, at + 1, F.lit(size) if isinstance(size, int) else size), ""))
 
 
 def _bitmap(rows: DataFrame, column: str, bits: int) -> str:
@@ -94,29 +96,38 @@ def _has(bitmap: str, bits: int, hashed: Column) -> Column:
 def candidates(df: DataFrame, index: KeyIndex, text: str, keys: list[str]) -> DataFrame:
     """Runs of pieces that may be keys: ``keys``, the text's hash, at, size, run, said, match, and whether words touch it."""
     rows = df.where(F.col(text).isNotNull()).select(*keys, F.xxhash64(text).alias("_text"), cut_pieces(F.col(text)).alias("_pieces"))
-    rows = rows.where(F.size("_pieces") > 0).withColumn("_folded", F.transform("_pieces", folded))
-    pieces, fold = F.col("_pieces"), F.col("_folded")
-    places = F.sequence(F.lit(0), F.size(pieces) - 1)
-
-    def runs(first: int) -> Column:
-        """Runs whose first pieces, ``first`` of them, begin some key."""
-        sizes = [s for s in index.sizes if s == first or (first == _FIRST and s > first)]
-        begun = F.filter(places, lambda i: (i + first <= F.size(pieces)) & _has(index.begins, index.bits, _begin(fold, i, F.lit(first))))
-
-        def longer(i: Column) -> Column:
-            fitting = F.filter(F.array(*map(F.lit, sizes)), lambda s: i + s <= F.size(pieces))
-            return F.transform(fitting, lambda s: F.struct(i.alias("at"), s.alias("size"), F.array_join(F.slice(fold, i + 1, s), "").alias("said")))
-
-        return F.flatten(F.transform(begun, longer))
-
-    kinds = sorted({min(s, _FIRST) for s in index.sizes})
-    found = F.filter(F.concat(*[runs(k) for k in kinds]), lambda c: _has(index.whole, index.bits, F.xxhash64(c["said"])))
+    # no filters between these steps: they would be pushed down together with all that they are computed from
+    rows = rows.withColumn("_folded", F.transform("_pieces", folded)).withColumn("_hashes", F.transform("_folded", lambda p: F.xxhash64(p)))
+    pieces, fold, bits = F.col("_pieces"), F.col("_folded"), index.bits
+    places = F.when(F.size(pieces) > 0, F.sequence(F.lit(0), F.size(pieces) - 1))
+    rows = rows.withColumn("_places", F.filter(places, lambda i: _has(index.firsts, bits, F.get("_hashes", i))))
+
+    def fits(i: Column, size: int) -> Column:
+        return i + size <= F.size(pieces)
+
+    def run(i: Column, size: Column) -> Column:
+        return F.struct(i.alias("at"), size.alias("size"), F.array_join(F.slice(fold, i + 1, size), "").alias("said"))
+
+    def short(size: int) -> Column:
+        """Runs of so few pieces that they are looked up as a whole."""
+        hashed = (lambda i: F.get("_hashes", i)) if size == 1 else (lambda i: _run_hash(fold, i, size))
+        held = F.filter("_places", lambda i: fits(i, size) & _has(index.whole, bits, hashed(i)))
+        return F.transform(held, lambda i: run(i, F.lit(size)))
+
+    found = [short(size) for size in index.sizes if size <= _FIRST]
+    longer = [s for s in index.sizes if s > _FIRST]
+    if longer:
+        begun = F.filter("_places", lambda i: fits(i, _FIRST) & _has(index.begins, bits, _run_hash(fold, i, _FIRST)))
+        sizes = F.array(*map(F.lit, longer))
+        each = F.flatten(F.transform(begun, lambda i: F.transform(F.filter(sizes, lambda s: i + s <= F.size(pieces)), lambda s: run(i, s))))
+        found.append(F.filter(each, lambda c: _has(index.whole, bits, F.xxhash64(c["said"]))))
+    rows = rows.withColumn("_runs", F.concat(*found))
 
     def is_word(i: Column) -> Column:
         return F.coalesce(F.get(pieces, i).rlike(WORD_CLASS), F.lit(False))
 
     full = F.transform(
-        found,
+        "_runs",
         lambda c: F.struct(
             c["at"].alias("at"), c["size"].alias("size"), F.xxhash64(c["said"]).alias("run"), c["said"].alias("said"),
             F.lower(F.array_join(F.slice(pieces, c["at"] + 1, c["size"]), "")).alias("match"),
@@ -142,22 +153,24 @@ def matched(runs: DataFrame, index: KeyIndex, keys: list[str], broadcast: bool)
 
 
 def verified(runs: DataFrame, index: KeyIndex, keys: list[str], broadcast: bool) -> DataFrame:
-    """``keys``, _text, at, size and entry of the ``runs`` that are keys."""
-    # keys that are alike only when folded stand in one place; the one with the match's own letters counts, or none
-    entry = F.max(F.when(F.col("lower") == F.col("match"), F.col("entry")))
-    return matched(runs, index, keys, broadcast).groupBy(*keys, "_text", "at", "size").agg(entry.alias("entry"))
+    """``keys``, _text, at, size and entry of the ``runs`` that are keys; the entry is null for one that is alike only when folded."""
+    entry = F.when(F.col("lower") == F.col("match"), F.col("entry"))
+    return matched(runs, index, keys, broadcast).select(*keys, "_text", "at", "size", entry.alias("entry"))
 
 
 def settled(hits: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys``, _text and ``_hits``: the hits of each text that a scan from left to right takes, in order."""
+    """``keys``, _text and ``_hits``: the hits of each text that a scan from left to right takes, in order.
+
+    The hits of a text meet once, in one task, and are sorted once: by place, the longest first, and known keys before others.
+    """
     row = [*keys, "_text"]
-    longest = hits.groupBy(*row, "at").agg(F.max_by(F.struct("size", "entry"), "size").alias("hit")).select(*row, "at", "hit.*")
-    before = W.partitionBy(*row).orderBy("at").rowsBetween(W.unboundedPreceding, -1)
-    reach = F.max(F.col("at") + F.col("size")).over(before)
-    begins = longest.withColumn("_begins", (F.col("at") >= F.coalesce(reach, F.lit(0))).cast("int"))
-    upto = W.partitionBy(*row).orderBy("at").rowsBetween(W.unboundedPreceding, 0)
+    order = W.partitionBy(*row).orderBy("at", F.desc("size"), F.col("entry").isNull())
+    before = order.rowsBetween(W.unboundedPreceding, -1)
+    reach = F.coalesce(F.max(F.col("at") + F.col("size")).over(before), F.lit(0))
+    begins = hits.withColumns({"_begins": (F.col("at") >= reach).cast("int"), "_last": F.lag("at").over(order)})
+    longest = begins.where("_last is null or _last <> at")
     # hits that reach into each other form a knot, nearly always a small one
-    knots = begins.withColumn("_knot", F.sum("_begins").over(upto)).groupBy(*row, "_knot").agg(
+    knots = longest.withColumn("_knot", F.sum("_begins").over(order.rowsBetween(W.unboundedPreceding, 0))).groupBy(*row, "_knot").agg(
         F.array_sort(F.collect_list(F.struct("at", "size", "entry").cast(_HIT))).alias("_tied")
     )
     start = F.struct(F.lit(0).alias("end"), F.array().cast(f"array<{_HIT}>").alias("taken"))

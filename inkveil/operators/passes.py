@@ -15,6 +15,8 @@ What a replacement may put into a text (:func:`_stops`) is judged from above, wh
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +28,9 @@ from inkveil.operators.joins import BROADCAST_BYTES, fits_broadcast
 from inkveil.session import written
 
 _LAST = (1 << 63) - 1
+#: Up to so many keys of so many characters in all become one expression, which costs less than an index.
+FEW = 64
+_FEW_CHARS = 10_000
 
 
 def _later(least: Column, most: Column) -> Column:
@@ -74,24 +79,41 @@ def _one_pass(state: Column, step: Column) -> Column:
     return F.when(step["position"] >= state["bound"], state).otherwise(done)
 
 
-def redact_in_passes(df: DataFrame, ranked: DataFrame, text: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def _few(df: DataFrame, ranked: DataFrame, text: str) -> DataFrame:
+    """All passes as one expression, for a number of keys that a plan can hold."""
+    rows = ranked.orderBy("position").select("position", F.concat(F.lit("(?iu)"), key_pattern(F.col("original"))).alias("pattern"), "replacement")
+    nothing = F.lit(None).cast("long").alias("stop")
+    steps = [
+        F.struct(F.lit(r["position"]).cast("long").alias("position"), F.lit(r["pattern"]).alias("pattern"), F.lit(r["replacement"]).alias("replacement"), nothing)
+        for r in rows.collect()
+    ]
+    start = F.struct(F.col(text).alias("text"), F.lit(0).cast("long").alias("hits"), F.lit(_LAST).alias("bound"))
+    done = df.withColumn("_done", F.aggregate(F.array(*steps), start, _one_pass))
+    return done.select(
+        *df.columns, F.col("_done.text").alias("redacted"), F.when(F.col(text).isNull(), 0).otherwise(F.col("_done.hits")).cast("long").alias("replacements")
+    )
+
+
+def redact_in_passes(df: DataFrame, ranked: DataFrame, text: str = "text", broadcast_bytes: int = BROADCAST_BYTES, few: int = FEW) -> DataFrame:
     """The older way: one pass per key of ``ranked`` (position, original, replacement) in rank order, over all texts.
 
     Adds redacted and replacements. A replacement can be replaced again by later keys. A null text stays null.
     """
-    rows = written(df.withColumn("_row", F.monotonically_increasing_id()), "texts")
     position = F.col("position").cast("long").alias("position")
     ranked = written(ranked.select(position, "original", "replacement", F.lower("original").alias("lower")), "ranked")
     n_keys, n_chars = ranked.agg(F.count("*"), F.sum(F.length("original") + F.length("replacement"))).first()
     zero = F.lit(0).cast("long")
     if not n_keys:
-        return rows.drop("_row").withColumns({"redacted": F.col(text), "replacements": zero})
+        return df.withColumns({"redacted": F.col(text), "replacements": zero})
+    if n_keys <= few and n_chars <= _FEW_CHARS:
+        return _few(df, ranked, text)
+    rows = written(df.withColumn("_row", F.monotonically_increasing_id()), "texts")
     broadcast = fits_broadcast(n_keys, n_chars, broadcast_bytes)
     index = hits.KeyIndex.build(ranked, n_keys, also=("position",))
     steps = written(ranked.join(_stops(ranked, index, broadcast), "position"), "steps").select(
         "position", F.concat(F.lit("(?iu)"), key_pattern(F.col("original"))).alias("pattern"), "replacement", "stop"
     )
-    index = hits.KeyIndex(written(index.keys.join(steps, "position"), "keys"), index.sizes, index.begins, index.whole, index.bits)
+    index = replace(index, keys=written(index.keys.join(steps, "position"), "keys"))
 
     state = rows.select("_row", F.col(text).alias("_now"), zero.alias("_hits"), F.lit(-_LAST).alias("_from"))
     done = []

@@ -193,26 +193,38 @@ def _found_in(df: DataFrame, dictionary: Dictionary, texts: str, found: str) ->
 
 def _rewritten_pieces(pieces: Column, found: Column) -> Column:
     """The pieces of one run after replacement: a match goes to the piece that it begins in, and leaves those it reaches into."""
-    part_ends = F.transform(found, lambda _, i: _added(F.transform(F.slice(found, F.lit(1), i + 1), lambda x: F.length(x["part"]))))
-    piece_ends = F.transform(pieces, lambda _, i: _added(F.transform(F.slice(pieces, F.lit(1), i + 1), F.length)))
 
-    def rewritten(piece: Column, i: Column) -> Column:
-        end = F.get(piece_ends, i)
-        start = end - F.length(piece)
+    def ends(lengths: Column) -> Column:
+        return F.transform(lengths, lambda _, i: _added(F.slice(lengths, F.lit(1), i + 1)))
 
-        def share(x: Column, j: Column) -> Column:
-            to = F.get(part_ends, j)
-            at = to - F.length(x["part"])
-            low, high = F.greatest(at, start), F.least(to, end)
-            kept = F.when(high > low, F.substring(x["part"], low - at + 1, high - low)).otherwise(F.lit(""))
-            new = F.when((at >= start) & (at < end), redaction.in_case_of(x["part"], x["entry"]["replacement"])).otherwise(F.lit(""))
-            return F.when(x["entry"].isNull(), kept).otherwise(new)
+    def rewritten(part_ends: Column, piece_ends: Column) -> Column:
+        def one(piece: Column, i: Column) -> Column:
+            return markup.let(F.struct((F.get(piece_ends, i) - F.length(piece)).alias("start"), F.get(piece_ends, i).alias("end")), text_of)
 
-        return F.array_join(F.transform(found, share), "")
+        def text_of(span: Column) -> Column:
+            def share(x: Column, j: Column) -> Column:
+                to = F.get(part_ends, j)
+                at = to - F.length(x["part"])
+                low, high = F.greatest(at, span["start"]), F.least(to, span["end"])
+                kept = F.when(high > low, F.substring(x["part"], low - at + 1, high - low)).otherwise(F.lit(""))
+                begins = (at >= span["start"]) & (at < span["end"])
+                new = F.when(begins, redaction.in_case_of(x["part"], x["entry"]["replacement"])).otherwise(F.lit(""))
+                return F.when(x["entry"].isNull(), kept).otherwise(new)
 
-    untouched = F.size(F.filter(found, lambda x: x["entry"].isNotNull())) == 0
-    alone = F.size(pieces) == 1
-    return F.when(untouched, pieces).when(alone, F.array(redaction.rewritten(found))).otherwise(F.transform(pieces, rewritten))
+            return F.array_join(F.transform(found, share), "")
+
+        return F.transform(pieces, one)
+
+    part_lengths, piece_lengths = F.transform(found, lambda x: F.length(x["part"])), F.transform(pieces, F.length)
+    many = markup.let(
+        F.struct(markup.let(part_lengths, ends).alias("parts"), markup.let(piece_lengths, ends).alias("pieces")),
+        lambda e: rewritten(e["parts"], e["pieces"]),
+    )
+    untouched = ~F.exists(found, lambda x: x["entry"].isNotNull())
+    alone = F.size(F.filter(pieces, lambda p: p != "")) == 1
+    # one piece with text takes it all
+    single = F.transform(pieces, lambda p: F.when(p == "", p).otherwise(redaction.rewritten(found)))
+    return F.when(untouched, pieces).when(alone, single).otherwise(many)
 
 
 def _added(numbers: Column) -> Column:
@@ -228,8 +240,9 @@ def redact_markup(
     keep their places. Adds replacements, links_removed and images_removed. Null pages stay null.
     """
     cut = pages.withColumns({"_runs": markup.runs(F.col(html)), "_tags": markup.borders(F.col(html))})
-    stitched = F.transform("_runs", lambda run: F.array_join(markup.pieces(run), ""))
-    targets = F.transform("_tags", lambda tag: F.coalesce(markup.target(tag), F.lit("")))
+    cut = cut.withColumns({"_pieces": F.transform("_runs", markup.pieces), "_targets": F.transform("_tags", markup.target)})
+    stitched = F.transform("_pieces", lambda pieces: F.array_join(pieces, ""))
+    targets = F.transform("_targets", lambda target: F.coalesce(target, F.lit("")))
     cut = _found_in(cut.withColumn("_texts", F.concat(stitched, targets)), dictionary, "_texts", "_all")
     n_runs = F.size("_runs")
     picture = F.lit(remove_images) if isinstance(remove_images, bool) else F.coalesce(remove_images, F.lit(False))
@@ -237,27 +250,33 @@ def redact_markup(
     def is_image(tag: Column) -> Column:
         return tag.rlike(IMAGE_TAG)
 
+    def left(tags: Column) -> Column:
+        return F.transform(tags, lambda t: F.when(picture & is_image(t), F.lit("")).otherwise(t))
+
     def new_run(run: Column, i: Column) -> Column:
-        tags = markup.inline_tags(run)
-        left = F.transform(tags, lambda t: F.when(picture & is_image(t), F.lit("")).otherwise(t))
-        return markup.woven(_rewritten_pieces(markup.pieces(run), F.get("_all", i)), left)
+        both = F.struct(F.get("_pieces", i).alias("pieces"), F.get("_all", i).alias("found"))
+        new = markup.let(both, lambda x: _rewritten_pieces(x["pieces"], x["found"]))
+        # most runs have no tags inside
+        return F.when(F.size(F.get("_pieces", i)) == 1, F.get(new, F.lit(0))).otherwise(markup.woven(new, left(markup.inline_tags(run))))
 
     def new_tag(tag: Column, i: Column) -> Column:
-        return F.when(~_has_target(tag), tag).otherwise(markup.with_target(tag, lambda _: redaction.rewritten(F.get("_all", n_runs + i))))
+        found = F.get("_all", n_runs + i)
+        return F.when(F.get("_targets", i).isNull(), tag).otherwise(markup.with_target(tag, lambda _: redaction.rewritten(found)))
 
     new_tags = F.transform("_tags", new_tag)
     images = _added(F.transform("_runs", lambda run: F.size(F.filter(markup.inline_tags(run), is_image))))
+    n_links = F.size(F.filter("_targets", lambda t: t.isNotNull())).cast("long")
     zero = F.lit(0).cast("long")
     replaced = _added(F.transform("_all", lambda found: redaction.hit_count(found).cast("int")))
     done = cut.withColumns(
         {
             html: markup.woven(F.transform("_runs", new_run), _without_links(new_tags) if remove_links else new_tags),
             "replacements": F.coalesce(replaced, F.lit(0)).cast("long"),
-            "links_removed": F.coalesce(F.size(F.filter("_tags", _has_target)).cast("long"), zero) if remove_links else zero,
+            "links_removed": F.coalesce(n_links, zero) if remove_links else zero,
             "images_removed": F.coalesce(F.when(picture, images), F.lit(0)).cast("long"),
         }
     )
-    return done.drop("_runs", "_tags", "_texts", "_all")
+    return done.drop("_runs", "_tags", "_pieces", "_targets", "_texts", "_all")
 
 
 def scrub_pipeline(

@@ -13,7 +13,7 @@ from inkveil.sources.units import page_units
 
 PAGE = "page_id long, html string"
 MAPPING = "ordinal long, original string, replacement string"
-FORMS = [{}, {"max_keys": 0}, {"max_keys": 0, "broadcast_bytes": 0}]
+FORMS = [{}, {"max_keys": 0}]
 
 
 def pages(spark, *htmls):
