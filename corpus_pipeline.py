@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkveil.llm import jaccard_join, language_mixture, packing, toxicity
 from inkveil.llm.common import fold, table, written
 
 
+def _columns(docs: DataFrame) -> list[Column]:
+    return [F.col(f"`{name}`") for name in docs.columns]
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents with letters, whatever share of them their main language has."""
+    """Keep documents with letters, whatever share of them their main language has; their columns stay, whatever their names."""
     names, logp = language_mixture.fit(docs.where(fold(F.col("doc_id"), 4) != 2))
-    known = language_mixture.predict(docs, names, logp)
-    return known.where("lang_pred <> 'und'").select(docs.columns)
+    packed = docs.select(F.struct(*_columns(docs)).alias("__document"), "text")
+    return language_mixture.predict(packed, names, logp).where("lang_pred <> 'und'").select("__document.*")
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +41,7 @@ def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     )
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row"))["__row"]
     kept = alike.groupBy("component", "blank").agg(first.alias("__row")).select("__row")
-    return rows.join(kept, "__row", "left_semi").select(docs.columns)
+    return rows.join(kept, "__row", "left_semi").select(*_columns(docs))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
