@@ -90,7 +90,7 @@ def key_pattern(key: Column) -> Column:
 def with_hits(df: DataFrame, dictionary: Dictionary, text: str, keys: list[str]) -> DataFrame:
     """Add ``_hits`` (see :mod:`inkveil.operators.hits`) for the large form; ``keys`` identify a row of ``df``."""
     runs = hits.candidates(df, dictionary.index, text, keys)
-    found = hits.settled(hits.verified(runs, dictionary.index, keys, dictionary.broadcast_keys), keys)
+    found = hits.settled(hits.verified(runs, dictionary.index, keys, dictionary.broadcast_keys), keys, dictionary.index.sizes[-1])
     found = found.withColumnsRenamed({**{k: f"_key_{k}" for k in keys}, "_text": "_key_text"})
     # Null-safe, so that a row without a key value is redacted like any other.
     same_row = [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys]

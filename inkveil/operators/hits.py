@@ -13,7 +13,6 @@ import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from inkveil.functions.patterns import WORD_CLASS
@@ -69,7 +68,9 @@ def folded(piece: Column) -> Column:
     # a piece that is not ASCII now is a single character
     upper = F.when(F.length(F.upper(plain)) == 1, F.upper(plain)).otherwise(plain)
     lower = F.when(F.length(F.lower(upper)) == 1, F.lower(upper)).otherwise(upper)
-    return F.when(F.octet_length(plain) == F.length(plain), plain).otherwise(lower)
+    wide = F.when(F.octet_length(plain) == F.length(plain), plain).otherwise(lower)
+    # most pieces are ASCII, and translating costs far more than the rest
+    return F.when(F.octet_length(piece) == F.length(piece), F.lower(piece)).otherwise(wide)
 
 
 def _run_hash(pieces: Column, at: Column, size: Column | int) -> Column:
@@ -96,6 +97,8 @@ def _has(bitmap: str, bits: int, hashed: Column) -> Column:
 def candidates(df: DataFrame, index: KeyIndex, text: str, keys: list[str]) -> DataFrame:
     """Runs of pieces that may be keys: ``keys``, the text's hash, at, size, run, said, match, and whether words touch it."""
     rows = df.where(F.col(text).isNotNull()).select(*keys, F.xxhash64(text).alias("_text"), cut_pieces(F.col(text)).alias("_pieces"))
+    if index.sizes == (1,):
+        return _single(rows, index, keys)
     # no filters between these steps: they would be pushed down together with all that they are computed from
     rows = rows.withColumn("_folded", F.transform("_pieces", folded)).withColumn("_hashes", F.transform("_folded", lambda p: F.xxhash64(p)))
     pieces, fold, bits = F.col("_pieces"), F.col("_folded"), index.bits
@@ -134,7 +137,24 @@ def candidates(df: DataFrame, index: KeyIndex, text: str, keys: list[str]) -> Da
             ((c["at"] > 0) & is_word(c["at"] - 1)).alias("after_word"), is_word(c["at"] + c["size"]).alias("before_word"),
         ),
     )
-    return rows.select(*keys, "_text", F.inline(full))
+    # the outer form, as Spark tests the size of the array below all these steps for the other one, computing it twice
+    return rows.select(*keys, "_text", F.inline_outer(full)).where("at is not null")
+
+
+def _single(rows: DataFrame, index: KeyIndex, keys: list[str]) -> DataFrame:
+    """The runs of :func:`candidates` for keys of one piece: each piece is a row with its neighbours.
+
+    Folding stays a function over the array. Within the compiled loop it makes a method too long for the JVM to compile.
+    """
+    before, after = F.concat(F.array(F.lit("")), "_pieces"), F.concat(F.slice("_pieces", 2, F.greatest(F.size("_pieces"), F.lit(1))), F.array(F.lit("")))
+    rows = rows.withColumn("_folded", F.transform("_pieces", folded))
+    sides = F.arrays_zip(F.col("_pieces").alias("match"), F.col("_folded").alias("said"), before.alias("before"), after.alias("after"))
+    places = rows.select(*keys, "_text", F.posexplode_outer(sides).alias("at", "_piece"))
+    run = F.xxhash64("_piece.said")
+    return places.where(F.col("_piece.match").isNotNull() & _has(index.whole, index.bits, run)).select(
+        *keys, "_text", "at", F.lit(1).alias("size"), run.alias("run"), F.col("_piece.said").alias("said"), F.lower("_piece.match").alias("match"),
+        F.col("_piece.before").rlike(WORD_CLASS).alias("after_word"), F.col("_piece.after").rlike(WORD_CLASS).alias("before_word"),
+    )
 
 
 def matched(runs: DataFrame, index: KeyIndex, keys: list[str], broadcast: bool) -> DataFrame:
@@ -158,21 +178,24 @@ def verified(runs: DataFrame, index: KeyIndex, keys: list[str], broadcast: bool)
     return matched(runs, index, keys, broadcast).select(*keys, "_text", "at", "size", entry.alias("entry"))
 
 
-def settled(hits: DataFrame, keys: list[str]) -> DataFrame:
+def settled(hits: DataFrame, keys: list[str], most: int) -> DataFrame:
     """``keys``, _text and ``_hits``: the hits of each text that a scan from left to right takes, in order.
 
-    The hits of a text meet once, in one task, and are sorted once: by place, the longest first, and known keys before others.
+    The hits of a text are gathered where they are found, meet once and are sorted once: by place, the longest first, and known
+    keys before others. No key has more than ``most`` pieces.
     """
-    row = [*keys, "_text"]
-    order = W.partitionBy(*row).orderBy("at", F.desc("size"), F.col("entry").isNull())
-    before = order.rowsBetween(W.unboundedPreceding, -1)
-    reach = F.coalesce(F.max(F.col("at") + F.col("size")).over(before), F.lit(0))
-    begins = hits.withColumns({"_begins": (F.col("at") >= reach).cast("int"), "_last": F.lag("at").over(order)})
-    longest = begins.where("_last is null or _last <> at")
-    # hits that reach into each other form a knot, nearly always a small one
-    knots = longest.withColumn("_knot", F.sum("_begins").over(order.rowsBetween(W.unboundedPreceding, 0))).groupBy(*row, "_knot").agg(
-        F.array_sort(F.collect_list(F.struct("at", "size", "entry").cast(_HIT))).alias("_tied")
-    )
+    hit = F.struct("at", (-F.col("size")).alias("less"), F.col("entry").isNull().alias("unknown"), "size", "entry")
+    sorted_hits = hits.groupBy(*keys, "_text").agg(F.sort_array(F.collect_list(hit)).alias("_all"))
+    every = F.col("_all")
+    longest = F.filter(every, lambda x, i: (i == 0) | (F.get(every, i - 1)["at"] != x["at"]))
+    rows = sorted_hits.withColumn("_longest", F.transform(longest, lambda x: F.struct(x["at"].alias("at"), x["size"].alias("size"), x["entry"].alias("entry")).cast(_HIT)))
+    found = F.col("_longest")
+
+    def reaches(x: Column, i: Column) -> Column:
+        """Whether a hit before this one ends behind its place. Places differ, so only the last few hits can."""
+        first = F.greatest(i - most, F.lit(0))
+        return F.exists(F.slice(found, first + 1, i - first), lambda h: h["at"] + h["size"] > x["at"])
+
     start = F.struct(F.lit(0).alias("end"), F.array().cast(f"array<{_HIT}>").alias("taken"))
 
     def take(state: Column, hit: Column) -> Column:
@@ -182,9 +205,15 @@ def settled(hits: DataFrame, keys: list[str]) -> DataFrame:
             F.when(free, F.concat(state["taken"], F.array(hit))).otherwise(state["taken"]).alias("taken"),
         )
 
-    scanned = F.when(F.size("_tied") == 1, F.col("_tied")).otherwise(F.aggregate("_tied", start, take)["taken"])
-    taken = knots.select(*row, F.col("_knot"), scanned.alias("_taken")).groupBy(*row)
-    return taken.agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_knot", "_taken"))), lambda k: k["_taken"])).alias("_hits"))
+    # hits that reach into each other form a knot, nearly always a small one; most texts have none
+    beside = F.zip_with(found, F.slice(found, 2, F.size(found)), lambda x, y: x["at"] + x["size"] > y["at"])
+    begins = F.filter(F.transform(found, lambda x, i: F.when(~reaches(x, i), i)), lambda i: i.isNotNull())
+    rows = rows.withColumn("_begins", F.when(F.exists(beside, lambda x: F.coalesce(x, F.lit(False))), begins))
+    knots = F.transform(
+        "_begins", lambda b, k: F.slice(found, b + 1, F.coalesce(F.get("_begins", k + 1), F.size(found)) - b)
+    )
+    scanned = F.flatten(F.transform(knots, lambda t: F.when(F.size(t) == 1, t).otherwise(F.aggregate(t, start, take)["taken"])))
+    return rows.select(*keys, "_text", F.when(F.col("_begins").isNull(), found).otherwise(scanned).alias("_hits"))
 
 
 def entries(text: Column, pieces: Column, hits: Column) -> Column:
@@ -192,7 +221,8 @@ def entries(text: Column, pieces: Column, hits: Column) -> Column:
     nothing = F.lit(None).cast(LOOKUP_TYPE)
 
     def part(start: Column, count: Column, entry: Column) -> Column:
-        return F.struct(F.array_join(F.slice(pieces, start + 1, count), "").alias("part"), entry.alias("entry"))
+        text = F.when(count == 1, F.get(pieces, start)).otherwise(F.array_join(F.slice(pieces, start + 1, count), ""))
+        return F.struct(text.alias("part"), entry.alias("entry"))
 
     def both(hit: Column, i: Column) -> Column:
         last = F.get(hits, i - 1)

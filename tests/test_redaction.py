@@ -194,3 +194,17 @@ def test_characters_fold_one_by_one(spark):
     texts = ["Straße STRASSE straẞe", "σας ΣΑΣ σαΣ", "ﬁn FIN fin", "ŉ ʼn", "ix İx IX ıx", "a 😀B 😀"]
     small = run(spark, texts, rows)
     assert run(spark, texts, rows, max_keys=0) == small == run(spark, texts, rows, max_keys=0, broadcast_bytes=0)
+
+
+def test_the_hits_of_a_text_are_gathered_at_once(spark):
+    ready = Dictionary.build(spark.createDataFrame([(0, "ab", "c"), (1, "kis", "d")], MAPPING), max_keys=0)
+    df = spark.createDataFrame([(1, "ab kis")], "doc_id long, text string")
+    plan = R.redact(df, ready)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and plan.count("Aggregate [") == 1
+
+
+def test_knots_among_hits_that_stand_alone(spark):
+    rows = [("a b", "1"), ("b c d", "2"), ("d e", "3"), ("c", "4"), ("é", "5"), ("e", "6")]
+    texts = ["a b c d e e c", "b c d e a b", "c é e. aé", "e", "", "a a b b c c d d e e " * 30]
+    for form in ({"max_keys": 0}, {"max_keys": 0, "broadcast_bytes": 0}):
+        assert run(spark, texts, rows, **form) == [model(t, rows) for t in texts]
