@@ -81,6 +81,11 @@ def _first_letters(root: dict) -> str:
     return f"(?-iu:(?=[{''.join(sorted(both))}{wide}]))"
 
 
+def first_letter(key: str) -> str:
+    """The same test for a single key, empty if the key does not begin with an ASCII letter or digit."""
+    return _first_letters({fold(key[0]): None}) if key and is_alnum(key[0]) else ""
+
+
 def _insert(root: dict, key: str) -> None:
     node = root
     for char in key:

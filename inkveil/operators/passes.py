@@ -17,11 +17,11 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from inkveil.functions import redaction
-from inkveil.functions.patterns import WORD_CLASS
+from inkveil.functions.patterns import WORD_CLASS, first_letter
 from inkveil.operators import hits
 from inkveil.operators.dictionary import key_pattern
 from inkveil.operators.joins import BROADCAST_BYTES, fits_broadcast
@@ -68,27 +68,45 @@ def _stops(ranked: DataFrame, index: hits.KeyIndex, broadcast: bool) -> DataFram
     return both.groupBy("position").agg(F.min("stop").alias("stop"))
 
 
-def _one_pass(state: Column, step: Column) -> Column:
-    parts = redaction.pieces(state["text"], step["pattern"])
-    turned = F.transform(parts, lambda part, at: F.when(at % 2 == 1, redaction.in_case_of(part, step["replacement"])).otherwise(part))
-    found = F.floor(F.size(parts) / 2)
-    stop = F.when(found > 0, F.coalesce(step["stop"], F.lit(_LAST))).otherwise(F.lit(_LAST))
-    done = F.struct(
-        F.array_join(turned, "").alias("text"), (state["hits"] + found).cast("long").alias("hits"), F.least(state["bound"], stop).alias("bound")
-    )
-    return F.when(step["position"] >= state["bound"], state).otherwise(done)
+def _one_pass(state: Column, step: Column, low: bool = False) -> Column:
+    """The state after a step. With ``low`` it has a searched form of its text, and steps whose word isn't in there are passed over."""
+
+    def rest(parts: Column) -> Column:
+        turned = F.transform(parts, lambda part, at: F.when(at % 2 == 1, redaction.in_case_of(part, step["replacement"])).otherwise(part))
+        found = F.floor(F.size(parts) / 2)
+        done = F.struct(
+            F.array_join(turned, "").alias("text"), (state["hits"] + found).cast("long").alias("hits"),
+            F.least(state["bound"], F.coalesce(step["stop"], F.lit(_LAST))).alias("bound"),
+        )
+        return F.when(found > 0, done).otherwise(F.struct(*[state[c].alias(c) for c in ("text", "hits", "bound")]))
+
+    # a variable of its own: the text would be scanned again at each mention of its pieces
+    after = F.get(F.transform(F.array(redaction.pieces(state["text"], step["pattern"])), rest), F.lit(0))
+    if not low:
+        return F.when(step["position"] >= state["bound"], state).otherwise(after)
+    with_low = F.get(F.transform(F.array(after), lambda x: F.struct(x["text"].alias("text"), x["hits"].alias("hits"), x["bound"].alias("bound"), _searched(x["text"]).alias("low"))), F.lit(0))
+    return F.when(step["word"].isNotNull() & ~F.contains(state["low"], step["word"]), state).otherwise(with_low)
+
+
+def _searched(text: Column) -> Column:
+    """Lower case, with the four letters that match ASCII ones as those: an ASCII key that stands in the text is a part of this."""
+    return F.lower(F.when(F.octet_length(text) == F.length(text), text).otherwise(F.translate(text, "İıſK", "iisk")))
 
 
 def _few(df: DataFrame, ranked: DataFrame, text: str) -> DataFrame:
     """All passes as one expression, for a number of keys that a plan can hold."""
-    rows = ranked.orderBy("position").select("position", F.concat(F.lit("(?iu)"), key_pattern(F.col("original"))).alias("pattern"), "replacement")
-    nothing = F.lit(None).cast("long").alias("stop")
-    steps = [
-        F.struct(F.lit(r["position"]).cast("long").alias("position"), F.lit(r["pattern"]).alias("pattern"), F.lit(r["replacement"]).alias("replacement"), nothing)
-        for r in rows.collect()
-    ]
-    start = F.struct(F.col(text).alias("text"), F.lit(0).cast("long").alias("hits"), F.lit(_LAST).alias("bound"))
-    done = df.withColumn("_done", F.aggregate(F.array(*steps), start, _one_pass))
+    rows = ranked.orderBy("position").select("position", "original", key_pattern(F.col("original")).alias("pattern"), "replacement")
+
+    def step(r: Row) -> Column:
+        key = r["original"]
+        return F.struct(
+            F.lit(r["position"]).cast("long").alias("position"), F.lit("(?iu)" + first_letter(key) + r["pattern"]).alias("pattern"),
+            F.lit(r["replacement"]).alias("replacement"), F.lit(None).cast("long").alias("stop"),
+            F.lit(key.lower() if key.isascii() else None).cast("string").alias("word"),
+        )
+
+    start = F.struct(F.col(text).alias("text"), F.lit(0).cast("long").alias("hits"), F.lit(_LAST).alias("bound"), _searched(F.col(text)).alias("low"))
+    done = df.withColumn("_done", F.aggregate(F.array(*map(step, rows.collect())), start, lambda state, of: _one_pass(state, of, low=True)))
     return done.select(
         *df.columns, F.col("_done.text").alias("redacted"), F.when(F.col(text).isNull(), 0).otherwise(F.col("_done.hits")).cast("long").alias("replacements")
     )
@@ -123,7 +141,7 @@ def redact_in_passes(df: DataFrame, ranked: DataFrame, text: str = "text", broad
         step = F.struct("position", "pattern", "replacement", "stop")
         todo = found.groupBy("_row").agg(F.sort_array(F.collect_set(step)).alias("_steps"))
         start = F.struct(F.col("_now").alias("text"), F.col("_hits").alias("hits"), F.lit(_LAST).alias("bound"))
-        after = state.join(todo, "_row").withColumn("_after", F.aggregate("_steps", start, _one_pass))
+        after = state.join(todo, "_row").withColumn("_after", F.aggregate("_steps", start, lambda state, of: _one_pass(state, of)))
         after = written(after.select("_row", "_after.text", "_after.hits", "_after.bound"), "passes")
         done.append(after.select("_row", "text", "hits"))
         state = after.where(F.col("bound") < _LAST).select(

@@ -87,3 +87,15 @@ def test_many_keys(spark):
         return " ".join(out), n
 
     assert run(spark, texts, rows) == [expected(t) for t in texts]
+
+
+def test_a_pass_scans_a_text_once_and_only_where_its_key_may_stand(spark):
+    ranked = spark.createDataFrame([(0, "ab", "c"), (1, "kis", "Ab")], RANKED)
+    plan = redact_in_passes(spark.createDataFrame([(1, "ab")], FRAME), ranked)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") == 1 and "contains(" in plan.lower()
+
+
+@pytest.mark.parametrize("rows", [[("ab", "Kis"), ("kis", "c"), ("c", "é"), ("é", "Ab"), ("ab", "x")], [("ΣΑΣ", "a"), ("-a", "i"), ("i", "ß")]])
+def test_letters_that_match_ascii_ones(spark, rows):
+    texts = ["KİS Kıſ kis", "AB. aB é", "ΣΑΣ σας -a", "-A İ ı é", "", "no"]
+    assert run(spark, texts, rows) == run(spark, texts, rows, few=0)
