@@ -9,6 +9,8 @@ from inkveil.session import shared_dir
 
 #: Rows of one Arrow batch. A batch of whole texts has to fit a Python worker, however long they are.
 BATCH_ROWS = 500
+#: Whether shuffle files go when the query that made them ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,8 +28,16 @@ def fold(key: Column, n: int) -> Column:
 
 
 def written(df: DataFrame, purpose: str) -> DataFrame:
-    """Write ``df`` below the shared folder and read it back, so that lost executors cost no recomputation."""
+    """Write ``df`` below the shared folder and read it back, so that lost executors cost no recomputation.
+
+    What was shuffled for it is needed no more then, and its files go at once; the session's setting returns.
+    """
     spark = df.sparkSession
     path = shared_dir(spark, purpose)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)

@@ -17,6 +17,9 @@ under a common entry; shingles in entries of several such texts are frequent fro
 prefixes are counted, so the last round, for the texts that two rounds could not tell apart, takes every shingle
 for frequent. In each round texts are compared with leaders of their entries only, and all pairs that are still
 apart under the last index are compared block by block in the end.
+
+Entries travel in arrays: a task deals those of its texts to buckets by their shingle, and the task of a bucket returns
+only entries under which texts are apart.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -43,6 +46,10 @@ ROUNDS = 3
 _FILTER_BITS = 1 << 24
 #: Texts of one entry that meet others at once.
 _BLOCK = 256
+#: Entries of one bucket, and entries that a task looks at together.
+_BUCKET, _TOGETHER = 1 << 19, 1 << 21
+#: Pairs compared at once.
+_PAIRS = 1 << 16
 
 
 def _class(shingles: np.ndarray) -> np.ndarray:
@@ -196,13 +203,31 @@ def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     return written(found.join(wanted, ["doc_id", "node"]).dropDuplicates(["node"]).select("node", "shingles"), "sets")
 
 
+def _fits(summaries: np.ndarray, left: np.ndarray, right: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """``_may_link`` for many pairs of places in ``summaries``. ``sizes``: of both sets of a pair together."""
+    widths = np.array([0 if x is None else len(x) for x in summaries], dtype=np.int64)
+    width = np.minimum(widths[left], widths[right])
+    may = width == 0
+    for w in np.unique(width[~may]).tolist():
+        at = np.flatnonzero(width == w)
+        used, place = np.unique(np.concatenate((left[at], right[at])), return_inverse=True)
+        table = np.stack([np.frombuffer(summaries[i], np.uint8).reshape(-1, w).sum(axis=0, dtype=np.uint16) for i in used])
+        x, y = place[: len(at)], place[len(at) :]
+        step = max(1, (1 << 22) // w)
+        for i in range(0, len(at), step):
+            most = np.minimum(table[x[i : i + step]], table[y[i : i + step]]).sum(axis=1, dtype=np.int64)
+            may[at[i : i + step]] = 100 * most >= percent * (sizes[at[i : i + step]] - most)
+    return may
+
+
 def _plausible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sizes and summaries allow a link."""
 
     def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = zip(batch["x"], batch["y"], batch["sizes"], strict=True)
-            yield batch.loc[np.array([_may_link(*r, percent) for r in rows], dtype=bool), ["a", "b"]]
+            n = len(batch)
+            both = np.concatenate((batch["x"].to_numpy(object), batch["y"].to_numpy(object)))
+            yield batch.loc[_fits(both, np.arange(n), np.arange(n, 2 * n), batch["sizes"].to_numpy(), percent), ["a", "b"]]
 
     x = nodes.select(F.col("node").alias("a"), F.col("summary").alias("x"), F.col("n_shingles").alias("m"))
     y = nodes.select(F.col("node").alias("b"), F.col("summary").alias("y"), F.col("n_shingles").alias("n"))
@@ -212,30 +237,43 @@ def _plausible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return written(found, "plausible")
 
 
-def _cell(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """The pairs (a, b) of one cell, from its two blocks or inside its only one, that may link and are still apart."""
-    rows = rows.sort_values("block", kind="stable")
-    blocks, sizes = rows["block"].to_numpy(), rows["n_shingles"].to_numpy()
-    nodes, groups = rows["node"].to_numpy(), rows["component"].to_numpy()
-    known = rows["summary"].notna().to_numpy()
-    counts = [np.frombuffer(x, np.uint8) for x in rows["summary"][known]]
-    classes = min((len(c) for c in counts), default=1)
-    table = np.zeros((len(rows), classes), dtype=np.uint16)
-    for at, c in zip(np.flatnonzero(known), counts, strict=True):
-        table[at] = c.reshape(-1, classes).sum(axis=0)
-    first = int(np.searchsorted(blocks, blocks[0], "right"))
-    one = bool(rows["same"].iloc[0])
-    lefts, rights = [], []
-    for i in range(first):
-        others = slice(i + 1 if one else first, len(rows))
-        most = np.minimum(table[i], table[others]).sum(axis=1, dtype=np.int64)
-        small, large = np.minimum(sizes[i], sizes[others]), np.maximum(sizes[i], sizes[others])
-        may = 100 * most >= percent * (small + large - most)
-        fits = (may | ~known[others] | ~known[i]) & (100 * small >= percent * large) & (groups[others] != groups[i])
-        other = nodes[others][fits]
-        lefts.append(np.minimum(other, nodes[i]))
-        rights.append(np.maximum(other, nodes[i]))
-    return pd.DataFrame({"a": np.concatenate(lefts), "b": np.concatenate(rights)})
+def _compared(rows: pd.DataFrame, left: np.ndarray, right: np.ndarray, percent: int) -> pd.DataFrame:
+    """The pairs (a, b) among those of places in ``rows`` that may link and are apart, each once."""
+    nodes, sizes = rows["node"].to_numpy(), rows["n_shingles"].to_numpy()
+    small, large = np.minimum(sizes[left], sizes[right]), np.maximum(sizes[left], sizes[right])
+    groups = rows["component"].to_numpy()
+    some = (groups[left] != groups[right]) & (100 * small >= percent * large)
+    left, right = left[some], right[some]
+    a, b = np.minimum(nodes[left], nodes[right]), np.maximum(nodes[left], nodes[right])
+    order = np.lexsort((b, a))
+    a, b, left, right = a[order], b[order], left[order], right[order]
+    first = np.ones(len(a), dtype=bool)
+    first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    a, b, left, right = a[first], b[first], left[first], right[first]
+    may = _fits(rows["summary"].to_numpy(object), left, right, sizes[left] + sizes[right], percent)
+    return pd.DataFrame({"a": a[may], "b": b[may]})
+
+
+def _cells(rows: pd.DataFrame, percent: int) -> Iterator[pd.DataFrame]:
+    """The pairs (a, b) of whole cells, each from its two blocks or inside its only one, that may link and are still apart."""
+    rows = rows.sort_values(["cell", "block"], kind="stable", ignore_index=True)
+    cells, blocks, same = (rows[c].to_numpy() for c in ("cell", "block", "same"))
+    starts = np.flatnonzero(np.concatenate(([True], cells[1:] != cells[:-1])))
+    lefts, rights, waiting = [], [], 0
+    for i, j in zip(starts.tolist(), [*starts[1:].tolist(), len(rows)], strict=True):
+        if same[i]:
+            left, right = np.triu_indices(j - i, 1)
+        else:
+            first = int(np.searchsorted(blocks[i:j], blocks[i], "right"))
+            left, right = (x.ravel() for x in np.meshgrid(np.arange(first), np.arange(first, j - i), indexing="ij"))
+        lefts.append(left + i)
+        rights.append(right + i)
+        waiting += len(left)
+        if waiting >= _PAIRS:
+            yield _compared(rows, np.concatenate(lefts), np.concatenate(rights), percent)
+            lefts, rights, waiting = [], [], 0
+    if waiting:
+        yield _compared(rows, np.concatenate(lefts), np.concatenate(rights), percent)
 
 
 def _cell_pairs(apart: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -250,13 +288,11 @@ def _cell_pairs(apart: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             rows = batch if open_cell is None else pd.concat([open_cell, batch], ignore_index=True)
             cells = rows["cell"].to_numpy()
-            cuts = [0, *(np.flatnonzero(cells[1:] != cells[:-1]) + 1)]
-            found = [_cell(rows.iloc[i:j], percent) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
-            open_cell = rows.iloc[cuts[-1] :]
-            if found:
-                yield pd.concat(found, ignore_index=True)
+            cut = int(np.flatnonzero(cells[1:] != cells[:-1])[-1]) + 1 if len(rows) and cells[0] != cells[-1] else 0
+            yield from _cells(rows.iloc[:cut], percent) if cut else ()
+            open_cell = rows.iloc[cut:]
         if open_cell is not None and len(open_cell):
-            yield _cell(open_cell, percent)
+            yield from _cells(open_cell, percent)
 
     many = F.ceil(F.col("size") / _BLOCK)
     rows = apart.select("entry", "node", "component", many.alias("many"), F.pmod(F.xxhash64("node", "entry"), many).alias("block"))
@@ -291,12 +327,6 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, perce
     return written(joined.select("a", "b", "left", "right").mapInPandas(keep, "a long, b long"), "links")
 
 
-def _bands(percent: int) -> Column:
-    """The size bands under which a set is indexed."""
-    band = F.floor(F.log(F.col("n_shingles")) / F.log(F.lit(100 / percent)) - 1e-9)
-    return F.array(band, band + 1)
-
-
 def _grouped(entries: DataFrame, groups: DataFrame | None) -> DataFrame:
     """Adds the component of each node; a node without links is its own."""
     if groups is None:
@@ -304,6 +334,97 @@ def _grouped(entries: DataFrame, groups: DataFrame | None) -> DataFrame:
     return entries.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
+def _ranges(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each run of equal keys begins, and the number of the run of each key."""
+    new = np.ones(len(keys), dtype=bool)
+    new[1:] = keys[1:] != keys[:-1]
+    return np.flatnonzero(new), np.cumsum(new) - 1
+
+
+def _differ(keys: np.ndarray, groups: np.ndarray) -> np.ndarray:
+    """Of sorted keys, those with more than one group."""
+    if not len(keys):
+        return np.zeros(0, dtype=bool)
+    starts, run = _ranges(keys)
+    return (np.minimum.reduceat(groups, starts) < np.maximum.reduceat(groups, starts))[run]
+
+
+def _under_common(keys: np.ndarray, nodes: np.ndarray, groups: np.ndarray, bands: np.ndarray, whole: bool) -> pd.DataFrame:
+    """entry, node, component and single of the nodes that share an entry with a node of another group.
+
+    ``bands``: of the node's size, or -1 if the key is a combination. Without the ``whole`` of a bucket no key is left out.
+    """
+    order = np.argsort(keys, kind="stable")
+    if whole:
+        order = order[_differ(keys[order], groups[order])]
+    keys, nodes, groups, bands = keys[order], nodes[order], groups[order], bands[order]
+    # linked sets are in the same band or in neighbouring ones
+    one = bands >= 0
+    banded = [mix(keys[one].view(np.uint64) ^ mix((bands[one] + more).astype(np.uint64))).view(np.int64) for more in (0, 1)]
+    entry = np.concatenate((keys[~one], *banded))
+    at = np.concatenate((np.flatnonzero(~one), np.flatnonzero(one), np.flatnonzero(one)))
+    order = np.lexsort((nodes[at], entry))
+    entry, at = entry[order], at[order]
+    # several tasks may have given one node
+    new = np.ones(len(at), dtype=bool)
+    new[1:] = (entry[1:] != entry[:-1]) | (nodes[at][1:] != nodes[at][:-1])
+    entry, at = entry[new], at[new]
+    if whole:
+        kept = _differ(entry, groups[at])
+        entry, at = entry[kept], at[kept]
+    single = pd.array(keys[at], dtype="Int64")
+    single[~one[at]] = pd.NA
+    return pd.DataFrame({"entry": entry, "node": nodes[at], "component": groups[at], "single": single})
+
+
+def _entries_apart(indexed: DataFrame, groups: DataFrame | None, percent: int) -> DataFrame:
+    """entry, node, component and single (null for a combination) for entries with nodes of different groups."""
+    given = indexed.where("entries is not null")
+    n = given.agg(F.coalesce(F.sum(F.size("entries") + F.size("combinations")), F.lit(0))).first()[0]
+    buckets = -(-n // _BUCKET) + 8
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            lists = [*batch["entries"], *batch["combinations"]]
+            at = np.repeat(np.tile(np.arange(len(batch)), 2), [len(x) for x in lists])
+            keys = np.concatenate([np.zeros(0, np.int64), *lists])
+            bands = np.array([_band(x, percent) for x in batch["n_shingles"].tolist()], dtype=np.int16)[at]
+            bands[sum(len(x) for x in batch["entries"]) :] = -1
+            bucket = (mix(keys.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            columns = [x[order] for x in (keys, batch["node"].to_numpy(np.int64)[at], batch["component"].to_numpy(np.int64)[at], bands)]
+            starts, _ = _ranges(bucket[order])
+            ends = [*starts[1:].tolist(), len(order)]
+            rows = [(int(bucket[order[i]]), *(x[i:j].tobytes() for x in columns)) for i, j in zip(starts.tolist(), ends, strict=True) if j > i]
+            yield pd.DataFrame(rows, columns=["bucket", "keys", "nodes", "components", "bands"])
+
+    def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        waiting: list[tuple] = []
+        held, whole = 0, True
+        for batch in batches:
+            for row in batch[["bucket", "keys", "nodes", "components", "bands"]].itertuples(index=False):
+                ended = bool(waiting) and waiting[0][0] != row.bucket
+                if ended or held >= _TOGETHER:
+                    whole = whole and ended
+                    yield from answered(waiting, whole)
+                    waiting, held, whole = [], 0, ended
+                waiting.append(tuple(row))
+                held += len(row.bands) // 2
+        if waiting:
+            yield from answered(waiting, whole)
+
+    def answered(rows: list[tuple], whole: bool) -> Iterator[pd.DataFrame]:
+        columns = (np.frombuffer(b"".join(r[i] for r in rows), kind) for i, kind in ((1, np.int64), (2, np.int64), (3, np.int64), (4, np.int16)))
+        found = _under_common(*columns, whole)
+        for at in range(0, len(found), 1 << 16):
+            yield found.iloc[at : at + (1 << 16)]
+
+    rows = _grouped(given.select("node", "n_shingles", "entries", "combinations"), groups)
+    dealt = rows.mapInPandas(deal, "bucket long, keys binary, nodes binary, components binary, bands binary")
+    dealt = dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    return written(dealt.mapInPandas(settle, "entry long, node long, component long, single long"), "entries-apart")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, frequent: int = FREQUENT) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs`` (doc_id, text).
 
@@ -328,17 +449,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, frequent: in
                 indexed.where("node is not null").groupBy("node")
                 .agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"), F.max("summary").alias("summary")), "nodes",
             )
-        single = indexed.select("node", _bands(percent).alias("bands"), F.explode("entries").alias("single"))
-        # a combination belongs to one band already
-        combined = indexed.select("node", F.explode("combinations").alias("entry"))
-        combined = combined.distinct().select("node", F.lit(None).cast("long").alias("single"), "entry")
-        alike = _grouped(single, groups).select("*", F.col("single").alias("entry"))
-        alike = alike.withColumns({"low": low, "high": high}).where("low < high").drop("low", "high", "entry", "component").distinct()
-        alike = alike.select("node", "single", F.explode("bands").alias("band"))
-        alike = alike.select("node", "single", F.xxhash64("single", "band").alias("entry"))
-        entries = _grouped(alike.unionByName(combined), groups)
-        entries = entries.withColumns({"low": low, "high": high}).where("low < high").drop("low", "high")
-        entries = written(entries, "entries-apart")
+        entries = _entries_apart(indexed, groups, percent)
         # two leaders of each entry: one of the first group, and any
         one = F.struct("component", "node")
         leaders = F.array(F.min(one).over(by_entry), F.min_by(one, F.xxhash64("node", "entry")).over(by_entry))
