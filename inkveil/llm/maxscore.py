@@ -4,6 +4,9 @@ A term is a dimension with a sign. Its postings in a shard are the vectors whose
 the size of the component; a query's term matches postings of its own sign, and components of the other sign only lower a
 score. The largest posting bounds what a term can add. Terms whose bounds add up to less than the k-th best score
 so far are non-essential: only vectors in the postings of an essential term can still be among the best k.
+
+Vectors are dense here, so postings are columns, read for a block of queries at once. A block meets the shards of a strip
+one after another and keeps its k best, so each shard but the first has a threshold, and a strip returns k rows a query.
 """
 
 from __future__ import annotations
@@ -20,6 +23,10 @@ from inkveil.llm.common import written
 
 #: Vectors of a shard, and queries that meet it together.
 SHARD, BLOCK = 2048, 256
+#: Shards of a strip at most; strips of all blocks together, as far as there are shards; partitions at most.
+STRIP, CELLS, PARTITIONS = 256, 32, 4096
+#: Terms read at once; shards of a batch that a Python worker gets.
+_TERMS, _ROWS = 16, 16
 
 
 def _largest(vectors: np.ndarray) -> int:
@@ -36,62 +43,84 @@ class Shard:
         most = max(1, _largest(vectors), largest) ** 2 * vectors.shape[1]
         self.kind = np.float64 if most < 1 << 52 else np.int64 if most < 1 << 62 else object
         self.ids, self.vectors = ids[order], vectors[order].astype(self.kind)
-        self.postings = []
-        for d in range(vectors.shape[1]):
-            column = self.vectors[:, d]
-            for rows in (np.flatnonzero(column > 0), np.flatnonzero(column < 0)):
-                self.postings.append((rows, np.abs(column[rows])))
-        self.most = np.array([v.max() if len(v) else 0 for _, v in self.postings], dtype=self.kind)
-
-    def _threshold(self, query: np.ndarray, rows: np.ndarray, own: int, k: int) -> int | None:
-        """The k-th best score among ``rows`` without the query's own vector; None if they are too few."""
-        rows = rows[self.ids[rows] != own]
-        if len(rows) < k:
-            return None
-        return int(np.partition(self.vectors[rows] @ query, len(rows) - k)[len(rows) - k])
+        #: The largest posting of each dimension with each sign.
+        self.most = np.maximum(self.vectors.max(axis=0), 0), np.maximum(-self.vectors.min(axis=0), 0)
 
     def best(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the k best, ties to smaller ids, without ``own``."""
-        query = query.astype(self.kind)
-        terms = 2 * np.arange(len(query)) + (query < 0)
-        weight = np.abs(query)
-        bound = weight * self.most[terms]
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        rest = bound[order][::-1].cumsum()[::-1]
-        reached = np.zeros(len(self.ids), dtype=self.kind)
-        seen = np.zeros(len(self.ids), dtype=bool)
-        least = None
-        done = 0
-        for done, d in enumerate(order, 1):
-            rows, values = self.postings[terms[d]]
-            reached[rows] += weight[d] * values
-            seen[rows] = True
-            if done in (8, 16):  # the best so far give a threshold that ends the essential terms early
-                top = np.argpartition(-reached, min(4 * k, len(reached) - 1))[: 4 * k]
-                found = self._threshold(query, top, own, k)
-                least = found if least is None else max(least, found)
-            if least is not None and done < len(order) and rest[done] < least:
+        one = Block(np.array([own]), query[np.newaxis], k)
+        one.meet(self)
+        return one.ids[0], one.scores[0].astype(np.int64)
+
+
+class Block:
+    """A block of queries, with ids and scores of the k best of each among the shards it has met; ties go to smaller ids."""
+
+    def __init__(self, own: np.ndarray, queries: np.ndarray, k: int):
+        self.own, self.queries, self.k = own, queries, k
+        self.ids = [np.zeros(0, np.int64)] * len(own)
+        self.scores = [np.zeros(0, np.int64)] * len(own)
+
+    def meet(self, shard: Shard) -> None:
+        """Take in the vectors of ``shard`` that are among the best."""
+        # a query without k vectors so far takes all; scores of a shard that isn't of objects are below 2**62
+        full = np.array([len(x) >= self.k for x in self.scores])
+        least = [int(x[-1]) if f else 0 for x, f in zip(self.scores, full, strict=True)]
+        if shard.kind is not object:
+            least = [min(max(x, -(1 << 62)), 1 << 62) for x in least]
+        least = np.array(least, dtype=shard.kind)
+        queries = self.queries.astype(shard.kind)
+        bound = np.abs(queries) * np.where(queries < 0, shard.most[1], shard.most[0])
+        order = np.argsort(-bound.astype(np.float64).sum(axis=0), kind="stable")
+        rest = bound[:, order][:, ::-1].cumsum(axis=1)[:, ::-1]
+        live = np.flatnonzero(~full | (rest[:, 0] >= least))
+        if not len(live):
+            return
+        queries, rest, least, full = queries[live][:, order], rest[live], least[live], full[live]
+        vectors = shard.vectors[:, order]
+        other = shard.ids != self.own[live][:, np.newaxis]
+        width = len(order)
+        score, fits, done = np.zeros(other.shape, dtype=shard.kind), other, 0
+        while done < width:
+            part = slice(done, done + _TERMS)
+            score = score + queries[:, part] @ vectors[:, part].T
+            done = min(width, done + _TERMS)
+            left = rest[:, done] if done < width else np.zeros(len(live), dtype=shard.kind)
+            fits = other & (~full[:, np.newaxis] | (score + left[:, np.newaxis] >= least[:, np.newaxis]).astype(bool))
+            if fits.sum() * 32 < fits.size:
                 break
-        left = int(rest[done]) if done < len(order) else 0
-        if least is None or least <= 0:
-            rows = np.arange(len(self.ids))  # a vector in no posting scores zero at most, and may be needed
-        else:
-            rows = np.flatnonzero(seen & (reached + left >= least))
-        rows = rows[self.ids[rows] != own]
-        # probe: first what the essential terms take away, then the other terms, while competitive
-        score = self.vectors[np.ix_(rows, order[:done])] @ query[order[:done]]
-        others = [d for d in range(len(query)) if query[d] and d not in set(order[:done].tolist())]
-        others.sort(key=lambda d: -bound[d])
-        for at in range(0, len(others), 8):
-            if least is not None and least > 0:
-                fits = score + int(bound[others[at:]].sum()) >= least
-                rows, score = rows[fits], score[fits]
-            part = others[at : at + 8]
-            score = score + self.vectors[np.ix_(rows, part)] @ query[part]
-        # rows are in the order of their ids
-        top = np.argsort(-score, kind="stable")[:k]
-        return self.ids[rows][top], score[top].astype(np.int64)
+        query, row = np.nonzero(fits)
+        score = score[query, row]
+        # probe: the other terms of the few that are left, while competitive
+        while done < width and len(query):
+            part = slice(done, done + _TERMS)
+            score = score + (queries[query, part] * vectors[row, part]).sum(axis=1)
+            done = min(width, done + _TERMS)
+            left = rest[query, done] if done < width else np.zeros(len(query), dtype=shard.kind)
+            fits = ~full[query] | (score + left >= least[query]).astype(bool)
+            query, row, score = query[fits], row[fits], score[fits]
+        if shard.kind is not object:
+            score = score.astype(np.int64)
+        starts = np.searchsorted(query, np.arange(len(live) + 1))
+        for i, a, b in zip(live.tolist(), starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+            if a < b:
+                self._add(i, shard.ids[row[a:b]], score[a:b])
+
+    def _add(self, i: int, ids: np.ndarray, scores: np.ndarray) -> None:
+        if len(ids) > 4 * self.k and scores.dtype != object:
+            some = scores >= np.partition(scores, len(scores) - self.k)[len(scores) - self.k]
+            ids, scores = ids[some], scores[some]
+        ids, scores = np.concatenate((self.ids[i], ids)), np.concatenate((self.scores[i], scores))
+        order = np.argsort(ids, kind="stable")
+        order = order[np.argsort(-scores[order], kind="stable")][: self.k]
+        self.ids[i], self.scores[i] = ids[order], scores[order]
+
+    def rows(self) -> pd.DataFrame:
+        sizes = [len(x) for x in self.ids]
+        return pd.DataFrame({
+            "query_id": np.repeat(self.own, sizes), "vec_id": np.concatenate(self.ids),
+            "score": np.concatenate([x.astype(np.int64) for x in self.scores]),
+        })
 
 
 def _packed(vectors: DataFrame, groups: int, size: int) -> DataFrame:
@@ -109,6 +138,17 @@ def _packed(vectors: DataFrame, groups: int, size: int) -> DataFrame:
     return dealt.groupBy("group").applyInPandas(pack, "group long, ids binary, matrix binary, wide boolean")
 
 
+def _searched(near: DataFrame) -> DataFrame:
+    """Write and read back in batches of few shards; the session's value returns."""
+    conf, key = near.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(key)
+    conf.set(key, _ROWS)
+    try:
+        return written(near, "near")
+    finally:
+        conf.set(key, before)
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` rows of ``vectors`` (id, vector array<long>) with the largest product.
 
@@ -116,8 +156,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     counts: a repeated id is as many candidates, and the queries of one id share its ranks, as in the registered SQL. Ties go
     to smaller ids. Rows with a null id, a null vector or null components take no part. Shorter vectors are filled
     up with zeros; an empty vector scores 0. Other columns are ignored. Products are exact at any size; a score
-    among the best of a shard that 64 bits can't hold is an error, as it is in SQL. Every shard returns its own k best
-    of each query.
+    among the best of a strip that 64 bits can't hold is an error, as it is in SQL. Every strip of shards returns its own k
+    best of each query.
     """
     usable = "id is not null and vector is not null and not exists(vector, x -> x is null)"
     rows = vectors.select(F.col("id").cast("long").alias("id"), "vector").where(usable)
@@ -129,30 +169,36 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     numbered = F.monotonically_increasing_id().alias("row")
     rows = written(rows.select("id", F.expr(filled).alias("vector"), numbered), "vectors")
     shards, blocks = max(1, -(-n // SHARD)), max(1, -(-n_queries // BLOCK))
-    left = _packed(rows, shards, width).select(
-        F.col("group").alias("shard"), "ids", "matrix", "wide", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
+    strips = min(shards, max(-(-CELLS // blocks), -(-shards // STRIP)))
+    # the queries of a cell come first, then its shards
+    left = _packed(rows, shards, width).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(
+        (F.col("block") * F.lit(strips).cast("long") + F.pmod("group", F.lit(strips))).alias("cell"),
+        F.col("group").alias("part"), "ids", "matrix", "wide",
     )
-    right = _packed(rows.where(is_query), blocks, width).select(
-        F.col("group").cast("int").alias("block"), F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"),
-        F.col("wide").alias("q_wide"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"),
+    right = _packed(rows.where(is_query), blocks, width).withColumn("strip", F.explode(F.sequence(F.lit(0), F.lit(strips - 1)))).select(
+        (F.col("group") * F.lit(strips).cast("long") + F.col("strip")).alias("cell"),
+        F.lit(-1).cast("long").alias("part"), "ids", "matrix", "wide",
     )
 
     def matrix(raw: bytes, wide: bool) -> np.ndarray:
         return np.frombuffer(raw, np.int64 if wide else np.int16).reshape(-1, width).astype(np.int64)
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cell, block, largest = None, None, 0
         for batch in batches:
             for row in batch.itertuples():
-                queries = matrix(row.q_matrix, row.q_wide)
-                shard = Shard(np.frombuffer(row.ids, np.int64), matrix(row.matrix, row.wide), _largest(queries))
-                found = []
-                for own, query in zip(np.frombuffer(row.q_ids, np.int64).tolist(), queries, strict=True):
-                    ids, scores = shard.best(query, own, k)
-                    found.append(pd.DataFrame({"query_id": own, "vec_id": ids, "score": scores}))
-                yield pd.concat(found)
-
-    pairs = left.join(right, ["shard", "block"]).select("ids", "matrix", "wide", "q_ids", "q_matrix", "q_wide")
-    near = pairs.mapInPandas(search, "query_id long, vec_id long, score long")
+                ids, vectors = np.frombuffer(row.ids, np.int64), matrix(row.matrix, row.wide)
+                if row.part < 0:
+                    if block is not None:
+                        yield block.rows()
+                    cell, block, largest = row.cell, Block(ids, vectors, k), _largest(vectors)
+                elif row.cell == cell:  # a block may have got no queries
+                    block.meet(Shard(ids, vectors, largest))
+        if block is not None:
+            yield block.rows()
+
+    cells = left.unionByName(right).repartition(min(blocks * strips, PARTITIONS), "cell").sortWithinPartitions("cell", "part")
+    near = _searched(cells.mapInPandas(search, "query_id long, vec_id long, score long"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
