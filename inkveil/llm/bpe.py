@@ -3,6 +3,10 @@
 A space before a character that isn't white space always begins a new pre-token, whatever stands before or after it.
 Text between two such spaces is therefore encoded alike wherever it occurs. Units are encoded by the library,
 once for as long as they stay in the cache.
+
+A unit of Latin letters and other ASCII after them has more sure boundaries: after its letters, and around a single line
+end between visible characters and a letter. Its words are pre-tokens, which the library's model encodes; words with other
+punctuation or at the end of a sentence are thus one word.
 """
 
 from __future__ import annotations
@@ -11,11 +15,15 @@ import re
 from itertools import chain
 
 import numpy as np
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 #: Units kept by one Python worker.
 CACHED_UNITS = 400_000
 _GAP = re.compile(r" (?=\s|\Z)")
+#: Letters of Latin scripts at the beginning of a part, all of a pre-token; a line end that is one, after a word or visible ASCII.
+_LETTERS = "a-zA-ZÀ-ÖØ-öø-ſ"
+_WORD = re.compile(rf" ?[{_LETTERS}]+(?![a-zA-Z\x80-\U0010ffff])")
+_LINE = re.compile(rf"(?:\A|(?<=[!-~]))(\n)(?=[{_LETTERS}])")
 _loaded: dict[str, Encoder] = {}
 
 
@@ -59,22 +67,71 @@ class Encoder:
         self.names = [str(i) for i in range(size)]
         self._spaced = np.array([b[:1] == b" " for b in self.bytes], dtype=bool)
         self._cache: dict[str, bytes] = {}
+        self._parts: dict[str, bytes] = {}
+        before = self.library.pre_tokenizer
+        # the rules above are those of the usual byte-level pre-tokenizer
+        self._usual = (
+            isinstance(before, pre_tokenizers.ByteLevel) and before.use_regex and not before.add_prefix_space and self.library.normalizer is None
+        )
+        self._printed = {b: c for c, b in of.items()}
+        self._bytes_of_ids = [np.array([i], dtype=self.dtype).tobytes() for i in range(size)]
+        self._tokens = self.library.model.tokenize
 
     def _ids(self, text: str) -> bytes:
         (found,) = self.library.encode_batch_fast([text], add_special_tokens=False)
         return np.array(found.ids, dtype=self.dtype).tobytes()
 
+    def _word(self, word: str) -> bytes:
+        """Ids of one pre-token."""
+        printed = word.encode().decode("latin-1").translate(self._printed)
+        return b"".join([self._bytes_of_ids[t.id] for t in self._tokens(printed)])
+
+    def _rest(self, rest: str) -> bytes:
+        """Ids of what follows a word in a unit."""
+        out = []
+        for part in filter(None, _LINE.split(rest) if "\n" in rest else (rest,)):
+            found = _WORD.match(part)
+            at = found.end() if found else 0
+            out.append(self._word(part[:at]) if at else b"")
+            out.append(self._ids(part[at:]) if at < len(part) else b"")
+        return b"".join(out)
+
+    def _learn_by_words(self, units: list[str]) -> list[str]:
+        """Encode units that begin with a word, words and what follows them once; the other units."""
+        others, parts = [], self._parts
+        if len(parts) > CACHED_UNITS:
+            parts.clear()
+        for u in units:
+            found = _WORD.match(u)
+            if found is None:
+                others.append(u)
+                continue
+            word = found[0]
+            ids = parts.get(word)
+            if ids is None:
+                ids = parts[word] = self._word(word)
+            if len(word) < len(u):
+                rest = u[len(word) :]
+                more = parts.get(rest)
+                if more is None:
+                    more = parts[rest] = self._rest(rest)
+                ids += more
+            self._cache[u] = ids
+        return others
+
     def segments(self, text: str) -> list[str]:
         """``text`` cut at added tokens, which are the odd elements."""
         return self._split.split(text) if self._split else [text]
 
     def learn(self, units: set[str]) -> None:
-        """Encode the units that aren't cached. Those with one leading space are encoded as one text, in
-        which each token that begins with a space begins a unit."""
+        """Encode the units that aren't cached, by their words if they begin with one. Of the others, those with one leading
+        space are encoded as one text, in which each token that begins with a space begins a unit."""
         missing = list(units.difference(self._cache))
         if len(self._cache) + len(missing) > CACHED_UNITS:
             self._cache.clear()
             missing = list(units)
+        if self._usual:
+            missing = self._learn_by_words(missing)
         plain = [u for u in missing if u[:1] == " " and u.count(" ") == 1 and len(u) > 1 and not u[1].isspace()]
         for u in set(missing).difference(plain):
             self._cache[u] = self._ids(u)

@@ -1,0 +1,34 @@
+"""Units are encoded by their words as the library encodes whole texts, and each word once."""
+
+from __future__ import annotations
+
+import random
+
+import public_tokenizers
+
+from inkveil.llm import bpe
+
+PATH = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = [
+    " ", "  ", "\n", "\n\n", "\t", "\r\n", " ", " ", " ", "the", "Word", "x", "don't", "'s", "'re", "'", "''", "é", "Größe", "你好", "٣", "²", "Ⅻ",
+    "ñe", "Àb", "÷", "×a", "ſ", "́", "3", "12a", ".", ",", "...", "-", "_", "(", "<|endoftext|>", "<|end", "\x00", "\x7f", "\x85", "\x1c", "😀", "\U0001d400", "ª", "a.\nB", "z\n\nY", ".\n",
+]
+
+
+def test_texts_are_encoded_as_by_the_library():
+    rng = random.Random(3)
+    base = bpe.Encoder(PATH)
+    texts = ["".join(rng.choice(PIECES) for _ in range(rng.randint(0, 40))) for _ in range(6000)]
+    texts += [" ".join(rng.choice(PIECES) + rng.choice(PIECES) + rng.choice(PIECES) for _ in range(30)) for _ in range(2000)]
+    want = base.library.encode_batch_fast(texts, add_special_tokens=False)
+    for text, ids, found in zip(texts, base.encode(texts), want, strict=True):
+        assert ids.tolist() == found.ids, repr(text)
+
+
+def test_a_word_is_encoded_once_whatever_follows_it(monkeypatch):
+    base = bpe.Encoder(PATH)
+    library = []
+    monkeypatch.setattr(base, "_ids", lambda text, own=base._ids: library.append(text) or own(text))
+    words = [f"{a}{b}{c}" for a in ("lor", "ips", "dol") for b in "aeiou" for c in ("tum", "mir")]
+    base.encode([" ".join(w + end for w in words) for end in ("", ".", ",", ".\nThe")])
+    assert sum(map(len, library)) < 20
