@@ -23,7 +23,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents that score below one half. Equal ids have one score each; a document goes if one of its rows does."""
     scored = toxicity.toxicity(docs, table(spark, sf_dir, "labels"))
-    toxic = scored.where("predicted = 1").select(F.col("doc_id").alias("__toxic")).distinct()
+    toxic = written(scored.where("predicted = 1").select(F.col("doc_id").alias("__toxic")).distinct(), "toxic")
+    if toxic.count() <= toxicity.LABELS_BROADCAST:
+        toxic = F.broadcast(toxic)  # whole documents need not be shuffled then
     return docs.join(toxic, docs["doc_id"].eqNullSafe(F.col("__toxic")), "left_anti")
 
 

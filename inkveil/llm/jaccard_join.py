@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from inkveil.llm.common import small_batches, written
+from inkveil.llm.common import dropped, small_batches, written
 from inkveil.llm.components import components
 from inkveil.llm.shingles import mix, shingle_sets
 
@@ -50,6 +50,8 @@ _BLOCK = 256
 _BUCKET, _TOGETHER = 1 << 19, 1 << 21
 #: Pairs compared at once.
 _PAIRS = 1 << 16
+#: Least number of classes of a summary.
+_COARSE = 64
 
 
 def _class(shingles: np.ndarray) -> np.ndarray:
@@ -102,17 +104,44 @@ def _entries(shingles: np.ndarray, frequent: np.ndarray | None, percent: int) ->
 
 
 def _summary(shingles: np.ndarray) -> bytes | None:
-    """How many shingles fall into each of a power of two of classes, about two into each; None if a count is too large."""
-    classes = max(64, 1 << (max(1, len(shingles) // 2) - 1).bit_length())
+    """How many shingles fall into each of a power of two of classes, about two into each; None if a count is too large.
+
+    Counts are given in half bytes where all of them fit, and the last byte tells which form it is.
+    """
+    classes = max(_COARSE, 1 << (max(1, len(shingles) // 2) - 1).bit_length())
     counts = np.bincount((shingles >> np.uint64(20)).astype(np.int64) & (classes - 1), minlength=classes)
-    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else None
+    return _packed(counts) if counts.max() < 256 else None
+
+
+def _packed(counts: np.ndarray) -> bytes:
+    counts = counts.astype(np.uint8)
+    if counts.max() < 16:
+        return (counts[::2] | counts[1::2] << 4).tobytes() + b"\x01"
+    return counts.tobytes() + b"\x00"
+
+
+def _counts(summary: bytes) -> np.ndarray:
+    packed = np.frombuffer(summary, np.uint8)[:-1]
+    return np.stack((packed & 15, packed >> 4), axis=1).ravel() if summary[-1] else packed
+
+
+def _classes(summary: bytes | None) -> int:
+    return 0 if summary is None else (len(summary) - 1) << summary[-1]
+
+
+def _coarse(summary: bytes | None) -> bytes | None:
+    """The summary over the least number of classes, which allows more links."""
+    if summary is None:
+        return None
+    counts = _counts(summary).reshape(-1, _COARSE).sum(axis=0, dtype=np.int64)
+    return _packed(counts) if counts.max() < 256 else None
 
 
 def _may_link(left: bytes | None, right: bytes | None, sizes: int, percent: int) -> bool:
     """Whether two summaries allow a link: no class shares more shingles than the set with fewer of it has."""
     if left is None or right is None:
         return True
-    x, y = np.frombuffer(left, np.uint8).astype(np.int32), np.frombuffer(right, np.uint8).astype(np.int32)
+    x, y = _counts(left).astype(np.int32), _counts(right).astype(np.int32)
     classes = min(len(x), len(y))
     x, y = x.reshape(-1, classes).sum(axis=0), y.reshape(-1, classes).sum(axis=0)
     most = int(np.minimum(x, y).sum())
@@ -154,9 +183,9 @@ def _filtered(batch: pd.DataFrame, bitmap: np.ndarray) -> pd.DataFrame:
 
 
 def _indexed(docs: DataFrame, k: int, percent: int, often: Broadcast | None, wanted: Broadcast | None) -> DataFrame:
-    """One row per document: doc_id, node (name of its set), n_shingles, entries, combinations and summary.
+    """One row per document: doc_id, node (name of its set), n_shingles, entries, combinations, summary and its coarse form.
 
-    A task gives entries, combinations and summary of a set once. ``often``: frequent classes; ``wanted``: filter for documents.
+    A task gives entries, combinations and summaries of a set once. ``often``: frequent classes; ``wanted``: filter for documents.
     """
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -170,16 +199,18 @@ def _indexed(docs: DataFrame, k: int, percent: int, often: Broadcast | None, wan
                 seen.add(node)
                 singles, combined = _entries(shingles, often.value if often else None, percent) if new else (None, None)
                 lists = (singles.view(np.int64), combined.view(np.int64)) if new else (None, None)
-                out.append((node, len(shingles), *lists, _summary(shingles) if new else None))
-            names, sizes, singles, combined, summaries = zip(*out, strict=True) if out else ([],) * 5
+                summary = _summary(shingles) if new else None
+                out.append((node, len(shingles), *lists, summary, _coarse(summary)))
+            names, sizes, singles, combined, summaries, coarse = zip(*out, strict=True) if out else ([],) * 6
             # integers with nulls would become floating point and lose digits
             yield pd.DataFrame({
                 "doc_id": batch["doc_id"].astype("Int64").array, "node": pd.array(list(names), dtype="Int64"),
                 "n_shingles": np.array(sizes, dtype=np.int64), "entries": pd.Series(list(singles), dtype=object),
                 "combinations": pd.Series(list(combined), dtype=object), "summary": pd.Series(list(summaries), dtype=object),
+                "coarse": pd.Series(list(coarse), dtype=object),
             })
 
-    schema = "doc_id long, node long, n_shingles long, entries array<long>, combinations array<long>, summary binary"
+    schema = "doc_id long, node long, n_shingles long, entries array<long>, combinations array<long>, summary binary, coarse binary"
     return written(docs.select("doc_id", "text").mapInPandas(index, schema), "entries")
 
 
@@ -205,13 +236,13 @@ def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
 
 def _fits(summaries: np.ndarray, left: np.ndarray, right: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
     """``_may_link`` for many pairs of places in ``summaries``. ``sizes``: of both sets of a pair together."""
-    widths = np.array([0 if x is None else len(x) for x in summaries], dtype=np.int64)
+    widths = np.array([_classes(x) for x in summaries], dtype=np.int64)
     width = np.minimum(widths[left], widths[right])
     may = width == 0
     for w in np.unique(width[~may]).tolist():
         at = np.flatnonzero(width == w)
         used, place = np.unique(np.concatenate((left[at], right[at])), return_inverse=True)
-        table = np.stack([np.frombuffer(summaries[i], np.uint8).reshape(-1, w).sum(axis=0, dtype=np.uint16) for i in used])
+        table = np.stack([_counts(summaries[i]).reshape(-1, w).sum(axis=0, dtype=np.uint16) for i in used])
         x, y = place[: len(at)], place[len(at) :]
         step = max(1, (1 << 22) // w)
         for i in range(0, len(at), step):
@@ -221,7 +252,7 @@ def _fits(summaries: np.ndarray, left: np.ndarray, right: np.ndarray, sizes: np.
 
 
 def _plausible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sizes and summaries allow a link."""
+    """The pairs (a, b) whose sizes and summaries allow a link: coarse summaries first, whole ones for what is left."""
 
     def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -229,12 +260,18 @@ def _plausible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
             both = np.concatenate((batch["x"].to_numpy(object), batch["y"].to_numpy(object)))
             yield batch.loc[_fits(both, np.arange(n), np.arange(n, 2 * n), batch["sizes"].to_numpy(), percent), ["a", "b"]]
 
-    x = nodes.select(F.col("node").alias("a"), F.col("summary").alias("x"), F.col("n_shingles").alias("m"))
-    y = nodes.select(F.col("node").alias("b"), F.col("summary").alias("y"), F.col("n_shingles").alias("n"))
-    fits = f"100 * least(m, n) >= {percent} * greatest(m, n)"
-    joined = pairs.select("a", "b").join(x, "a").join(y, "b").where(fits)
-    found = joined.select("a", "b", "x", "y", (F.col("m") + F.col("n")).alias("sizes")).mapInPandas(keep, "a long, b long")
-    return written(found, "plausible")
+    def allowed(some: DataFrame, summary: str) -> DataFrame:
+        x = nodes.select(F.col("node").alias("a"), F.col(summary).alias("x"), F.col("n_shingles").alias("m"))
+        y = nodes.select(F.col("node").alias("b"), F.col(summary).alias("y"), F.col("n_shingles").alias("n"))
+        fits = f"100 * least(m, n) >= {percent} * greatest(m, n)"
+        joined = some.select("a", "b").join(x, "a").join(y, "b").where(fits)
+        found = joined.select("a", "b", "x", "y", (F.col("m") + F.col("n")).alias("sizes")).mapInPandas(keep, "a long, b long")
+        return written(found, "plausible")
+
+    coarse = allowed(pairs, "coarse")
+    found = allowed(coarse, "summary")
+    dropped(coarse)
+    return found
 
 
 def _compared(rows: pd.DataFrame, left: np.ndarray, right: np.ndarray, percent: int) -> pd.DataFrame:
@@ -324,7 +361,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, perce
     lefts = sets.select(F.col("node").alias("a"), F.col("shingles").alias("left"))
     rights = sets.select(F.col("node").alias("b"), F.col("shingles").alias("right"))
     joined = pairs.join(lefts, "a").join(rights, "b")
-    return written(joined.select("a", "b", "left", "right").mapInPandas(keep, "a long, b long"), "links")
+    found = written(joined.select("a", "b", "left", "right").mapInPandas(keep, "a long, b long"), "links")
+    dropped(sets)
+    return found
 
 
 def _grouped(entries: DataFrame, groups: DataFrame | None) -> DataFrame:
@@ -444,12 +483,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, frequent: in
     for turn in range(ROUNDS):
         indexed = _indexed(docs, k, percent, often, wanted)
         if groups is None:
-            every = indexed.select("doc_id", "node", "n_shingles")
+            every = written(indexed.select("doc_id", "node", "n_shingles"), "every")
             nodes = written(
                 indexed.where("node is not null").groupBy("node")
-                .agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"), F.max("summary").alias("summary")), "nodes",
+                .agg(F.min("doc_id").alias("doc_id"), *[F.max(c).alias(c) for c in ("n_shingles", "summary", "coarse")]), "nodes",
             )
         entries = _entries_apart(indexed, groups, percent)
+        dropped(indexed)
         # two leaders of each entry: one of the first group, and any
         one = F.struct("component", "node")
         leaders = F.array(F.min(one).over(by_entry), F.min_by(one, F.xxhash64("node", "entry")).over(by_entry))
@@ -458,21 +498,27 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, frequent: in
         pairs = stars.select(F.least("node", "leader.node").alias("a"), F.greatest("node", "leader.node").alias("b")).distinct()
         pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "tried")
         tried = pairs if tried is None else tried.unionByName(pairs)
-        found = _verified(_plausible(pairs, nodes, percent), docs, nodes, k, percent)
+        plausible = _plausible(pairs, nodes, percent)
+        found = _verified(plausible, docs, nodes, k, percent)
         links = found if links is None else links.unionByName(found)
         groups = components(links, "a", "b")
         apart = _grouped(entries.drop("component"), groups).withColumns({"low": low, "high": high, "size": F.count("*").over(by_entry)})
         apart = written(apart.where("low < high").drop("low", "high"), "apart")
+        dropped(plausible, entries)
         some = apart.select("node").distinct().join(nodes.where("doc_id is not null"), "node").select("doc_id")
         wanted = _bitmap(some, _FILTER_BITS, _position)
         if turn + 2 < ROUNDS:
             common = apart.where((F.col("size") >= frequent) & F.col("single").isNotNull()).select("single").distinct()
             often = _bitmap(common, CLASSES, _class, often)
-        else:
+            dropped(apart)
+        elif turn + 1 < ROUNDS:
+            dropped(apart)
             often = docs.sparkSession.sparkContext.broadcast(np.full(CLASSES >> 6, -1, dtype=np.int64))
 
     pairs = _cell_pairs(apart, nodes, percent).join(tried, ["a", "b"], "left_anti")
-    more = _verified(written(pairs, "plausible"), docs, nodes, k, percent)
+    plausible = written(pairs, "plausible")
+    more = _verified(plausible, docs, nodes, k, percent)
+    dropped(apart, plausible, tried, nodes)
     final = components(links.unionByName(more), "a", "b")
 
     named = every.join(final, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component"))

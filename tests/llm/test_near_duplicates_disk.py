@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import time
+import uuid
 
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from inkveil.llm import jaccard_join
+from inkveil.llm import common, jaccard_join
 from inkveil.llm.common import written
 
 
@@ -65,3 +66,35 @@ def test_cells_give_each_pair_that_may_link_once():
         if a // 2 != b // 2 and 100 * m >= 80 * n and jaccard_join._may_link(summaries[a], summaries[b], m + n, 80):
             want.add((a, b))
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_summaries_in_half_bytes_and_coarse_ones_rule_out_no_link():
+    rng = np.random.default_rng(8)
+    for n in (3, 90, 700):
+        for same in (0.0, 0.5, 0.95, 1.0):
+            x = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+            y = np.unique(np.concatenate((x[rng.random(len(x)) < same], rng.integers(0, 1 << 63, 2, dtype=np.uint64))))
+            both = len(np.intersect1d(x, y))
+            linked = 100 * both >= 85 * (len(x) + len(y) - both)
+            fine = [jaccard_join._summary(s) for s in (x, y)]
+            coarse = [jaccard_join._coarse(s) for s in fine]
+            assert [int(jaccard_join._counts(s).sum()) for s in (*fine, *coarse)] == [len(x), len(y)] * 2
+            assert len(fine[0]) <= jaccard_join._classes(fine[0]) // 2 + 1
+            may = [jaccard_join._may_link(*s, len(x) + len(y), 85) for s in (fine, coarse)]
+            assert (may[0] and may[1]) or not linked
+            assert may[1] or not may[0]
+    crowded = (np.arange(20, dtype=np.uint64) << np.uint64(40)) + np.uint64(1)
+    assert jaccard_join._counts(jaccard_join._summary(crowded)).max() == 20
+    assert jaccard_join._summary(np.arange(300, dtype=np.uint64) << np.uint64(40)) is None
+    assert jaccard_join._coarse(None) is None
+
+
+def test_near_duplicates_leave_no_index_behind(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "shared_dir", lambda _, purpose: f"{tmp_path}/{purpose}-{uuid.uuid4().hex}")
+    base = [" ".join(f"w{i}x{j}" for j in range(60)) for i in range(40)]
+    texts = [*base, *[t.replace("x30", "changed") for t in base], *base[:5], None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r["doc_id"]: r["component_id"] for r in jaccard_join.near_duplicates(docs).collect()}
+    assert all(rows[i] == rows[i + 40] == i for i in range(40)) and all(rows[80 + i] == i for i in range(5))
+    left = {f.name.rpartition("-")[0] for f in tmp_path.iterdir()}
+    assert left == {"every", "links"}
